@@ -67,12 +67,15 @@ def pages(files: DataFrame, size: int) -> DataFrame:
     ).drop("place")
 
 
-def select_range(files: DataFrame, first_id: str, second_id: str) -> DataFrame:
-    """Rows from one file to another in input order, either way round (WIN4)."""
-    ends = files.filter(F.col("id").isin(first_id, second_id)).agg(
+def select_range(files: DataFrame, ends: DataFrame) -> DataFrame:
+    """Rows from one file to another in input order, either way round (WIN4).
+
+    ``ends`` holds the ids of the two files.
+    """
+    bounds = files.join(ends.select("id"), "id", "left_semi").agg(
         F.min("pos").alias("low"), F.max("pos").alias("high")
     )
     return files.filter(
-        (F.col("pos") >= ends.select("low").scalar())
-        & (F.col("pos") <= ends.select("high").scalar())
+        (F.col("pos") >= bounds.select("low").scalar())
+        & (F.col("pos") <= bounds.select("high").scalar())
     )

@@ -1,0 +1,49 @@
+"""Compare registered Spark queries with their SQL in DuckDB."""
+
+from __future__ import annotations
+
+import math
+from pathlib import Path
+
+import duckdb
+
+
+def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for file in sorted(Path(sf_dir).glob("*.parquet")):
+        con.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM read_parquet('{file}')")
+    return con
+
+
+def _plain(value):
+    if value is None or (isinstance(value, float) and math.isnan(value)):
+        return None
+    if isinstance(value, bool):
+        return value
+    if isinstance(value, float):
+        return round(value, 6)
+    if isinstance(value, (list, tuple)):
+        return tuple(_plain(v) for v in value)
+    return value
+
+
+def _table(columns: list[str], rows) -> tuple[list[str], list[tuple]]:
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return [columns[i] for i in order], sorted(
+        (tuple(_plain(row[i]) for i in order) for row in rows), key=repr
+    )
+
+
+def compare(df, con: duckdb.DuckDBPyConnection, sql: str) -> str | None:
+    """None when columns and values agree, else what differs."""
+    ours = _table(df.columns, [tuple(r) for r in df.collect()])
+    result = con.execute(sql)
+    theirs = _table([d[0] for d in result.description], result.fetchall())
+    if ours[0] != theirs[0]:
+        return f"columns {ours[0]} != {theirs[0]}"
+    if len(ours[1]) != len(theirs[1]):
+        return f"{len(ours[1])} rows != {len(theirs[1])}"
+    for a, b in zip(ours[1], theirs[1]):
+        if a != b:
+            return f"{a} != {b}"
+    return None
