@@ -44,8 +44,8 @@ def capture_day(date_taken: Column, as_of: dt.date | None = None) -> Column:
 def date_folder(day: Column, style: str) -> Column:
     """Folder of a day in one of the four styles (DAT2)."""
     year = F.year(day).cast("string")
-    month = F.format_string("%02d", F.month(day))
-    dom = F.format_string("%02d", F.dayofmonth(day))
+    month = F.lpad(F.month(day).cast("string"), 2, "0")
+    dom = F.lpad(F.dayofmonth(day).cast("string"), 2, "0")
     if style == "yearMonthDay":
         return F.concat_ws("/", year, month, dom)
     if style == "yearMonth":

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lumenlake.constants import SIZE_UNITS
+from lumenlake.functions.numbers import div
 
 
 def format_size(size: Column) -> Column:
@@ -14,11 +15,10 @@ def format_size(size: Column) -> Column:
     for power, name in enumerate(SIZE_UNITS[1:], start=1):
         unit = 1024 ** power
         rest = F.pmod(size, F.lit(unit))
-        whole = ((size - rest) / F.lit(unit)).cast("long")
-        tenths = whole * 10 + F.floor((rest * 20 + F.lit(unit)) / F.lit(2 * unit))
+        tenths = div(size, unit) * 10 + div(rest * 20 + F.lit(unit), 2 * unit)
         digit = F.pmod(tenths, F.lit(10))
         text = F.concat(
-            F.floor(tenths / 10).cast("string"),
+            div(tenths, 10).cast("string"),
             F.when(digit > 0, F.concat(F.lit("."), digit.cast("string"))).otherwise(""),
             F.lit(" " + name),
         )
@@ -28,8 +28,8 @@ def format_size(size: Column) -> Column:
 
 def format_eta(seconds: Column) -> Column:
     """``H:MM:SS`` from one hour on, else ``M:SS``; nothing known is ``--:--`` (STR12)."""
-    hours = F.floor(seconds / 3600)
-    minutes = F.floor(F.pmod(seconds, F.lit(3600)) / 60)
+    hours = div(seconds, 3600)
+    minutes = div(F.pmod(seconds, F.lit(3600)), 60)
     secs = F.pmod(seconds, F.lit(60))
     return (
         F.when(seconds.isNull() | (seconds == 0), F.lit("--:--"))
@@ -68,4 +68,4 @@ def eta_seconds(done: Column, total: Column, speed: Column) -> Column:
 def percent(current: Column, total: Column) -> Column:
     """Share done in whole percent, half rounded up (MTH3)."""
     return F.when(total == 0, F.lit(0)) \
-        .otherwise(F.floor(current * F.lit(100.0) / total + 0.5)).cast("long")
+        .otherwise(F.floor(current / total * 100 + 0.5)).cast("long")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,10 +32,19 @@ def similar(a: Column, b: Column, threshold: int) -> Column:
 def average_hash(cells: Column) -> Column:
     """64-bit average hash of an 8x8 luminance grid in row order (HSH3).
 
-    Bit i is set when cell i is above the whole-number mean of the grid.  The
-    64 terms are spelled out so that the hash stays inside generated code.
+    Bit i is set when cell i is above the whole-number mean of the grid, which
+    for whole-number cells is the same as 64 times the cell above the sum.  The
+    sum is bound once, as the only element of an array.
     """
-    grid = [F.get(cells, F.lit(i)).cast("long") for i in range(64)]
-    mean = F.floor(reduce(lambda a, b: a + b, grid) / F.lit(64))
-    bits = [F.shiftleft((cell > mean).cast("long"), i) for i, cell in enumerate(grid)]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+    total = F.aggregate(cells, F.lit(0).cast("long"), lambda acc, c: acc + c.cast("long"))
+
+    def bits(bound: Column) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(0), F.lit(63)),
+            F.lit(0).cast("long"),
+            lambda acc, i: acc.bitwiseOR(F.call_function(
+                "shiftleft", (F.get(cells, i).cast("long") * 64 > bound).cast("long"), i
+            )),
+        )
+
+    return F.element_at(F.transform(F.array(total), bits), 1)

@@ -41,13 +41,20 @@ def type_token(ext: Column) -> Column:
     return F.upper(ext)
 
 
+# A character no path can contain marks the joint of two paths.
+_JOINT = "\u0000"
+# The left side and joint before an absolute right side, the joint after an
+# empty left side, and the joint after a slash.
+_NO_SLASH_NEEDED = "(?s)^[^\u0000]*\u0000(?=/)|^\u0000|(?<=/)\u0000"
+
+
 def join_path(left: Column, right: Column) -> Column:
-    """Path join: an absolute right side wins, an empty left side vanishes (STR7)."""
-    return (
-        F.when(right.startswith("/") | (left == ""), right)
-        .when(left.endswith("/"), F.concat(left, right))
-        .otherwise(F.concat(left, F.lit("/"), right))
-    )
+    """Path join: an absolute right side wins, an empty left side vanishes (STR7).
+
+    Each side occurs once in the expression, so nested joins stay small.
+    """
+    joined = F.concat(left, F.lit(_JOINT), right)
+    return F.translate(F.regexp_replace(joined, _NO_SLASH_NEEDED, ""), _JOINT, "/")
 
 
 def parent_folder(path: Column) -> Column:
@@ -56,9 +63,7 @@ def parent_folder(path: Column) -> Column:
     Without a slash the result is empty, also for backslash-only paths.  If the
     only slash is the first character, the last backslash is the boundary.
     """
-    return F.when(
-        path.rlike(r"(?s)^/[^/]*$"), F.regexp_extract(path, r"(?s)^(.*)\\[^\\]*$", 1)
-    ).otherwise(F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1))
+    return F.regexp_extract(path, r"(?s)^(.+(?=/[^/]*$)|/[^/]*(?=\\[^\\/]*$))", 1)
 
 
 def base_name(path: Column) -> Column:

@@ -10,19 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.functions.hashing import average_hash
+from lumenlake.functions.numbers import div
 
 _SIDE = 8
 
 
 def _cell_of(at: Column, size: Column) -> Column:
-    return F.floor(at * _SIDE / size).cast("int")
+    return div(at * _SIDE, size).cast("int")
 
 
 def _cells_under(at: Column, size: Column) -> Column:
     """Grid lines a pixel covers when the picture has fewer pixels than the grid."""
     return F.filter(
         F.sequence(F.lit(0), F.lit(_SIDE - 1)),
-        lambda c: F.floor(c * size / _SIDE).cast("int") == at,
+        lambda c: div(c * size, _SIDE) == at,
     )
 
 
@@ -54,7 +55,7 @@ def reduce_grid(pixels: DataFrame) -> DataFrame:
     )
     means = sums.select(
         "id", "cell",
-        F.floor((F.col("total") * 2 + F.col("n")) / (F.col("n") * 2)).cast("int").alias("mean"),
+        div(F.col("total") * 2 + F.col("n"), F.col("n") * 2).cast("int").alias("mean"),
     )
     # 64 entries per picture, always.
     return means.groupBy("id").agg(

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.operators.near import HOT_BUCKET, bucket_work, choose_bands, near_pairs
-from lumenlake.scratch import store
+from lumenlake.scratch import store, store_counted
 
 # Candidate pairs one stage may test against itself.
 STAGE_PAIRS = 10_000_000_000
@@ -44,6 +44,7 @@ TAIL_PAIRS = 200_000
 def leader_clusters(
     hashes: DataFrame,
     t: int,
+    n_hashes: int | None = None,
     stage_pairs: int = STAGE_PAIRS,
     min_stage: int = MIN_STAGE,
     hot_bucket: int = HOT_BUCKET,
@@ -51,10 +52,11 @@ def leader_clusters(
 ) -> DataFrame:
     """``(pos, leader)`` for every row of ``hashes`` that is not a leader itself.
 
-    ``hashes`` is ``(h, pos)`` with distinct ``h`` and distinct ``pos``.
+    ``hashes`` is ``(h, pos)`` with distinct ``h`` and distinct ``pos``.  It is
+    read several times, so it should be a stored table.
     """
-    rest = store(hashes.select("h", "pos"), "hashes")
-    left = rest.count()
+    rest = hashes.select("h", "pos")
+    left = rest.count() if n_hashes is None else n_hashes
     taken: list[DataFrame] = []
     while left > 1:
         cut = _stage_end(rest, left, t, stage_pairs, min_stage)
@@ -66,14 +68,14 @@ def leader_clusters(
             n_stage = stage.count()
 
         bands = choose_bands(n_stage, n_stage, t)
-        pairs = store(
+        pairs, n_pairs = store_counted(
             near_pairs(
                 stage, stage, t, bands, same_input=True,
                 hot_bucket=hot_bucket if n_stage > hot_bucket else None,
             ).select("lo", "hi"),
             "pairs",
         )
-        followers = _followers(pairs, patient_rounds)
+        followers = _followers(pairs, n_pairs, patient_rounds)
         inside = (
             pairs.join(followers.select(F.col("pos").alias("lo")), "lo", "left_anti")
             .groupBy(F.col("hi").alias("pos")).agg(F.min("lo").alias("leader"))
@@ -93,8 +95,9 @@ def leader_clusters(
             "claimed",
         )
         taken.append(claimed)
-        rest = store(later.join(claimed.select("pos"), "pos", "left_anti"), "rest")
-        left = rest.count()
+        rest, left = store_counted(
+            later.join(claimed.select("pos"), "pos", "left_anti"), "rest"
+        )
 
     if not taken:
         return hashes.select("pos", F.col("pos").alias("leader")).limit(0)
@@ -123,14 +126,14 @@ def _stage_end(
     return cut
 
 
-def _followers(pairs: DataFrame, patient_rounds: int) -> DataFrame:
+def _followers(pairs: DataFrame, n_pairs: int, patient_rounds: int) -> DataFrame:
     """Rows of a stage that are taken by an earlier row, as ``(pos)``.
 
     Per round: a row with no undecided earlier neighbour leads; its neighbours
     are taken; pairs with a taken row drop out.
     """
     found: list[DataFrame] = []
-    open_pairs, n_open, rounds = pairs, pairs.count(), 0
+    open_pairs, n_open, rounds = pairs, n_pairs, 0
     while n_open:
         if rounds >= patient_rounds and n_open <= TAIL_PAIRS:
             found.append(store(_settle_tail(open_pairs), "taken"))
@@ -143,13 +146,12 @@ def _followers(pairs: DataFrame, patient_rounds: int) -> DataFrame:
             "taken",
         )
         found.append(newly)
-        open_pairs = store(
+        open_pairs, n_open = store_counted(
             open_pairs
             .join(newly.select(F.col("pos").alias("hi")), "hi", "left_anti")
             .join(newly.select(F.col("pos").alias("lo")), "lo", "left_anti"),
             "open",
         )
-        n_open = open_pairs.count()
         rounds += 1
     if not found:
         return pairs.select(F.col("hi").alias("pos")).limit(0)

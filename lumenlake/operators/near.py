@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from itertools import combinations
 from math import comb
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Hashes under one band value from which the bucket is cut by a second band.
@@ -29,7 +29,11 @@ HOT_BUCKET = 20_000
 # Cost of shuffling one row, in units of testing one candidate pair.
 _ROW_COST = 20
 
+# Flips listed per band at most; wider balls are not worth listing.
 _MAX_FLIPS = 5_000
+
+# Bits of a band value (64 bits in 3 bands or more) and of a band code.
+_VALUE_BITS = 22
 _CODE_BITS = 28
 
 
@@ -62,13 +66,13 @@ class Bands:
         """Radius on a second band once one band is used up."""
         return self.t // (self.m - 1)
 
-    def value(self, h: Column, band: int) -> Column:
-        moved = F.shiftrightunsigned(h, self.shifts[band])
-        return moved.bitwiseAND(F.lit((1 << self.widths[band]) - 1))
+    def value(self, h: str, band: int) -> str:
+        """SQL text of the band's value in the hash expression ``h``."""
+        return f"(shiftrightunsigned({h}, {self.shifts[band]}) & {(1 << self.widths[band]) - 1}L)"
 
-    def code(self, band: int, value: Column) -> Column:
-        """Band number and value as one number, at least 1."""
-        return value + F.lit((band << 22) + 1)
+    def code(self, band: int, value: str) -> str:
+        """SQL text of band number and value as one number, at least 1."""
+        return f"({value} + {(band << _VALUE_BITS) + 1}L)"
 
 
 def _ball(width: int, radius: int) -> int:
@@ -100,78 +104,75 @@ def choose_bands(n_index: int, n_probe: int, t: int) -> Bands:
     return best or Bands(32, t)
 
 
-def _masks(width: int, radius: int) -> Column:
-    return F.expr("array(" + ",".join(f"{v}L" for v in flip_masks(width, radius)) + ")")
+def _masks(width: int, radius: int) -> str:
+    return "array(" + ",".join(f"{v}L" for v in flip_masks(width, radius)) + ")"
 
 
-def _first_close(x: Column, bands: Bands, radius: int, skip: Column | None = None) -> Column:
-    """Number of the first band on which the difference ``x`` is small enough."""
-    out = None
+def _first_close(bands: Bands, radius: int, skip: str | None = None) -> str:
+    """Number of the first band on which the difference ``h_a ^ h_b`` is small enough."""
+    cases = []
     for band in range(bands.m):
-        close = F.bit_count(bands.value(x, band)) <= radius
+        close = f"bit_count({bands.value('h_a ^ h_b', band)}) <= {radius}"
         if skip is not None:
-            close = close & (skip != band)
-        out = F.when(close, band) if out is None else out.when(close, band)
-    return out
+            close += f" AND {skip} <> {band}"
+        cases.append(f"WHEN {close} THEN {band}")
+    return "CASE " + " ".join(cases) + " END"
 
 
 def _band_rows(df: DataFrame, bands: Bands, flips: bool) -> DataFrame:
     """One row per hash and band, or per hash, band and flipped value."""
     if not flips or bands.radius == 0:
-        listed = F.array(*[
-            F.struct(F.lit(b).alias("band"), bands.code(b, bands.value(F.col("h"), b)).alias("code"))
+        listed = ",".join(
+            f"struct({b} AS band, {bands.code(b, bands.value('h', b))} AS code)"
             for b in range(bands.m)
-        ])
-        return df.select("h", "pos", F.inline(listed))
+        )
+        return df.selectExpr("h", "pos", f"inline(array({listed}))")
     parts = []
     for width in sorted(set(bands.widths)):
         own = [b for b in range(bands.m) if bands.widths[b] == width]
-        listed = F.array(*[
-            F.struct(F.lit(b).alias("band"), bands.value(F.col("h"), b).alias("value"))
-            for b in own
-        ])
-        one = df.select("h", "pos", F.inline(listed)).select(
-            "h", "pos", "band", "value", F.explode(_masks(width, bands.radius)).alias("mask")
+        listed = ",".join(
+            f"struct({b} AS band, {bands.value('h', b)} AS value)" for b in own
+        )
+        parts.append(
+            df.selectExpr("h", "pos", f"inline(array({listed}))")
+            .selectExpr("*", f"explode({_masks(width, bands.radius)}) AS mask")
+            .selectExpr(
+                "h", "pos", "band",
+                f"(value ^ mask) + shiftleft(CAST(band AS BIGINT), {_VALUE_BITS}) + 1 AS code",
+            )
         )
-        parts.append(one.select(
-            "h", "pos", "band",
-            (F.col("value").bitwiseXOR(F.col("mask"))
-             + F.shiftleft(F.col("band").cast("long"), 22) + 1).alias("code"),
-        ))
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _second_rows(bands: Bands, band2: int, radius: int) -> Column:
+def _second_rows(bands: Bands, band2: int, radius: int) -> str:
     """Entries of the second band for one row; none if it is the first band."""
-    value = bands.value(F.col("h"), band2)
-    if radius == 0:
-        codes = F.array(bands.code(band2, value))
-    else:
-        codes = F.transform(
-            _masks(bands.widths[band2], radius),
-            lambda mask: bands.code(band2, value.bitwiseXOR(mask)),
-        )
-    listed = F.transform(
-        codes, lambda code: F.struct(F.lit(band2).alias("band2"), code.alias("code2"))
+    value = bands.value("h", band2)
+    masks = _masks(bands.widths[band2], radius)
+    code = bands.code(band2, f"({value} ^ mask)")
+    return (
+        f"CASE WHEN band <> {band2} "
+        f"THEN transform({masks}, mask -> struct({band2} AS band2, {code} AS code2)) "
+        f"ELSE CAST(array() AS array<struct<band2:int,code2:bigint>>) END"
     )
-    return F.when(F.col("band") != band2, listed).otherwise(F.array().cast(
-        "array<struct<band2:int,code2:bigint>>"
-    ))
 
 
 def _cut_hot(rows: DataFrame, hot: DataFrame, bands: Bands, flips: bool) -> DataFrame:
     """Replace rows under a hot band value by rows under value pairs."""
-    marked = rows.join(F.broadcast(hot), "code", "left")
-    plain = F.array(F.struct(F.lit(-1).alias("band2"), F.lit(0).cast("long").alias("code2")))
     radius = bands.inner_radius if flips else 0
-    second = [_second_rows(bands, b, radius) for b in range(bands.m)]
-    cut = F.when(F.col("hot"), F.flatten(F.array(*second))).otherwise(plain)
-    return marked.select("h", "pos", "band", "code", F.inline(cut)).select(
-        "h", "pos", "band", "band2",
-        (F.shiftleft(F.col("code"), _CODE_BITS) + F.col("code2")).alias("key"),
+    second = ",".join(_second_rows(bands, b, radius) for b in range(bands.m))
+    return (
+        rows.join(F.broadcast(hot), "code", "left")
+        .selectExpr(
+            "h", "pos", "band", "code",
+            f"inline(CASE WHEN hot THEN flatten(array({second})) "
+            "ELSE array(struct(-1 AS band2, 0L AS code2)) END)",
+        )
+        .selectExpr(
+            "h", "pos", "band", "band2", f"shiftleft(code, {_CODE_BITS}) + code2 AS key"
+        )
     )
 
 
@@ -210,17 +211,15 @@ def near_pairs(
     b = keyed[1].select(
         F.col("key").alias("key_b"), F.col("h").alias("h_b"), F.col("pos").alias("pos_b")
     )
-    x = F.col("h_a").bitwiseXOR(F.col("h_b"))
-    on = (F.col("key_a") == F.col("key_b")) & (F.bit_count(x) <= t)
+    on = f"key_a = key_b AND bit_count(h_a ^ h_b) <= {t}"
     if same_input:
-        on = on & (F.col("pos_a") < F.col("pos_b"))
-    on = on & (_first_close(x, bands, bands.radius) == F.col("band"))
+        on += " AND pos_a < pos_b"
+    on += f" AND ({_first_close(bands, bands.radius)}) = band"
     if hot_bucket is not None:
-        second = _first_close(x, bands, bands.inner_radius, skip=F.col("band"))
-        on = on & ((F.col("band2") == -1) | (second == F.col("band2")))
+        on += f" AND (band2 = -1 OR ({_first_close(bands, bands.inner_radius, 'band')}) = band2)"
     lo, hi = ("pos_a", "pos_b") if same_input else ("pos_b", "pos_a")
-    return a.join(b, on).select(
-        F.col(lo).alias("lo"), F.col(hi).alias("hi"), F.bit_count(x).alias("distance")
+    return a.join(b, F.expr(on)).selectExpr(
+        f"{lo} AS lo", f"{hi} AS hi", "CAST(bit_count(h_a ^ h_b) AS INT) AS distance"
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenlake.functions.numbers import div
+
 # Rows of one key that a single task should meet.  Keys above it are split.
 # At most (rows / HOT_ROWS) keys can be above it, which bounds what is broadcast.
 HOT_ROWS = 1_000_000
@@ -31,7 +33,7 @@ def attach(
     single part.  ``rows`` is read and shuffled once.
     """
     hot_rows = int(hot_rows)
-    parts = F.greatest(F.ceil(F.col(count) / F.lit(hot_rows)), F.lit(1)).cast("long")
+    parts = F.greatest(div(F.col(count) + (hot_rows - 1), hot_rows), F.lit(1).cast("long"))
     hot = values.filter(F.col(count) > hot_rows).select(key, parts.alias(_PARTS))
     copies = values.withColumn(
         _SALT, F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))

@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from lumenlake.constants import EXACT, NAME_MATCH, SIMILAR, SIMILARITY_THRESHOLD
 from lumenlake.functions.classify import is_image
+from lumenlake.functions.numbers import div
 from lumenlake.functions.text import name_key
 from lumenlake.operators.leaders import leader_clusters
 from lumenlake.operators.numbering import with_row_number
 from lumenlake.operators.skew import HOT_ROWS, attach
-from lumenlake.scratch import store
+from lumenlake.scratch import store_counted
 
 GROUP_COLUMNS = [
     "group_id", "duplicate_type", "hash", "n_files", "wasted_space", "removable_count",
@@ -123,8 +124,8 @@ def cluster_images(
     files: DataFrame, threshold: int = SIMILARITY_THRESHOLD, **options
 ) -> SimilarImages:
     """Leader clustering of the candidate images (ITR1, AGG4)."""
-    hashes = store(distinct_hashes(similarity_candidates(files)), "distinct")
-    follows = leader_clusters(hashes, threshold, **options)
+    hashes, n = store_counted(distinct_hashes(similarity_candidates(files)), "distinct")
+    follows = leader_clusters(hashes, threshold, n, **options)
     led = hashes.join(follows, "pos", "left").withColumn(
         "leader", F.coalesce("leader", "pos")
     )
@@ -225,7 +226,7 @@ def nested_groups(members: DataFrame, chunk: int = 1000) -> DataFrame:
     so no group has to fit into one row.
     """
     ranked = with_row_number(members, ["group_id"], ["pos"], "place")
-    numbered = ranked.withColumn("chunk_no", F.floor((F.col("place") - 1) / chunk).cast("long"))
+    numbered = ranked.withColumn("chunk_no", div(F.col("place") - 1, chunk))
     return numbered.groupBy("group_id", "duplicate_type", "chunk_no").agg(
         F.array_sort(F.collect_list(F.struct("pos", "id", "file_name", "file_size")))
         .alias("files")

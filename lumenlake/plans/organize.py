@@ -13,6 +13,7 @@ from lumenlake.constants import (
 )
 from lumenlake.functions.classify import type_folder
 from lumenlake.functions.dates import capture_day, date_folder
+from lumenlake.functions.numbers import div
 from lumenlake.functions.text import (
     base_name, join_path, parent_folder, sanitize_folder, type_token,
 )
@@ -40,20 +41,17 @@ def expand_pattern(pattern: str) -> Column:
     Date tokens need a capture date, the camera token a camera; without them
     the token stays as it is.  A value may contain a later token.
     """
-    date, camera = F.col("date_taken"), F.col("camera_model")
+    date = F.col("date_taken")
     text = F.lit(pattern)
-    dated = text
     for token, value in [
         ("{year}", F.year(date).cast("string")),
-        ("{month}", F.format_string("%02d", F.month(date))),
-        ("{day}", F.format_string("%02d", F.dayofmonth(date))),
+        ("{month}", F.lpad(F.month(date).cast("string"), 2, "0")),
+        ("{day}", F.lpad(F.dayofmonth(date).cast("string"), 2, "0")),
+        ("{camera}", sanitize_folder(F.col("camera_model"))),
+        ("{type}", type_token(F.col("extension"))),
     ]:
-        dated = F.replace(dated, F.lit(token), value)
-    text = F.when(date.isNotNull(), dated).otherwise(text)
-    text = F.when(
-        camera.isNotNull(), F.replace(text, F.lit("{camera}"), sanitize_folder(camera))
-    ).otherwise(text)
-    return F.replace(text, F.lit("{type}"), type_token(F.col("extension")))
+        text = F.replace(text, F.lit(token), F.coalesce(value, F.lit(token)))
+    return text
 
 
 def folder_of(strategy: str | dict, as_of: dt.date | None = None) -> Column:
@@ -210,7 +208,7 @@ def error_lists(rows: DataFrame, chunk: int = 1000) -> DataFrame:
     """All messages in input order, as lists of at most ``chunk`` (ARR3)."""
     failed = rows.filter(F.col("message").isNotNull()).select("pos", "message")
     placed = with_row_number(failed, [], ["pos"], "place").withColumn(
-        "chunk_no", F.floor((F.col("place") - 1) / chunk).cast("long")
+        "chunk_no", div(F.col("place") - 1, chunk)
     )
     return placed.groupBy("chunk_no").agg(
         F.array_sort(F.collect_list(F.struct("pos", "message"))).getField("message")
@@ -256,12 +254,12 @@ def folder_report(
     in_order = Window.partitionBy("folder").orderBy("pos")
     first = (
         plan.withColumn("folder", parent_folder(F.col("destination")))
-        .join(F.broadcast(shown.select("folder")), "folder", "left_semi")  # at most `folders` rows
+        .join(F.broadcast(shown), "folder")  # at most `folders` rows
         .withColumn("place", F.row_number().over(in_order))
         .filter(F.col("place") <= per_folder)
     )
     n_folders = counts.agg(F.count("*").alias("n"))
-    return first.join(F.broadcast(shown), "folder").select(
+    return first.select(
         "folder", "place", "pos",
         base_name(F.col("source")).alias("source_name"),
         base_name(F.col("destination")).alias("destination_name"),

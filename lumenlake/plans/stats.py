@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenlake.constants import PREVIEW_FILES, PREVIEW_HASHES
 from lumenlake.functions.classify import scan_category
 from lumenlake.functions.display import format_megabytes, format_size
+from lumenlake.functions.numbers import div
 from lumenlake.functions.text import hash_prefix
 from lumenlake.operators.numbering import with_row_number
 
@@ -62,7 +63,7 @@ def pages(files: DataFrame, size: int) -> DataFrame:
     """Rows with page number and place on the page, both from 0 (WIN5)."""
     placed = with_row_number(files, [], ["pos"], "place")
     index = F.col("place") - 1
-    return placed.withColumn("page", F.floor(index / size).cast("long")).withColumn(
+    return placed.withColumn("page", div(index, size)).withColumn(
         "slot", F.pmod(index, F.lit(size))
     ).drop("place")
 

@@ -273,7 +273,7 @@ timed AS (
 records AS (
   SELECT scan_id, CASE WHEN current >= total THEN 'Complete' ELSE 'Hashing' END AS phase,
          current, total, current_file, round(pace, 6) AS speed, eta AS eta_seconds,
-         CAST(floor(current * 100.0 / total + 0.5) AS BIGINT) AS percent,
+         CAST(floor(CAST(current AS DOUBLE) / total * 100 + 0.5) AS BIGINT) AS percent,
          printf('%.1f files/sec', pace) AS speed_text, {_eta_text('eta')} AS eta_text
   FROM timed)
 """

@@ -20,7 +20,7 @@ from lumenlake.operators.tags import project_tags, with_metadata
 from lumenlake.plans import duplicates as dup
 from lumenlake.plans import organize, retention, stats
 from lumenlake.schema import MEDIA_FILE, from_json_rows, to_json_rows, with_defaults
-from lumenlake.scratch import new_path, store
+from lumenlake.scratch import new_path, store, store_counted
 from lumenlake.sources import tables
 from lumenlake.sources.files import build_catalog, metadata_candidates
 from lumenlake.streaming import progress
@@ -47,6 +47,12 @@ def register(query: Query) -> Query:
 docs = tables.media_docs
 
 
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue as a stored table, for queries that read it several times:
+    contents are hashed once, later steps read the few columns they need."""
+    return store(docs(spark, sf_dir), "catalog")
+
+
 # Duplicates -----------------------------------------------------------------
 
 @register
@@ -67,8 +73,7 @@ def gated_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = docs(spark, sf_dir).filter(F.col("perceptual_hash").isNotNull())
-    hashes = store(dup.distinct_hashes(files).select("h", "pos"), "distinct")
-    n = hashes.count()
+    hashes, n = store_counted(dup.distinct_hashes(files).select("h", "pos"), "distinct")
     return near_pairs(
         hashes, hashes, 10, choose_bands(n, n, 10), same_input=True,
         hot_bucket=HOT_BUCKET if n > HOT_BUCKET else None,
@@ -87,8 +92,8 @@ def similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(average_hash(F.col("cells")).alias("h"), "pos")
         .groupBy("h").agg(F.min("pos").alias("pos"), F.count("*").alias("n"))
     )
-    hashes = store(hashes, "vectors")
-    follows = leader_clusters(hashes, VECTOR_THRESHOLD)
+    hashes, n = store_counted(hashes, "vectors")
+    follows = leader_clusters(hashes, VECTOR_THRESHOLD, n)
     return (
         hashes.join(follows, "pos", "left")
         .groupBy(F.coalesce("leader", "pos").alias("leader"))
@@ -99,23 +104,23 @@ def similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dup.find_duplicates(docs(spark, sf_dir)).groups
+    return dup.find_duplicates(catalog(spark, sf_dir)).groups
 
 
 @register
 def duplicate_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dup.find_duplicates(docs(spark, sf_dir)).totals
+    return dup.find_duplicates(catalog(spark, sf_dir)).totals
 
 
 @register
 def group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = dup.find_duplicates(docs(spark, sf_dir)).members
+    members = dup.find_duplicates(catalog(spark, sf_dir)).members
     return dup.flatten_groups(dup.nested_groups(members, CHUNK))
 
 
 @register
 def name_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = dup.find_duplicates(docs(spark, sf_dir)).members
+    members = dup.find_duplicates(catalog(spark, sf_dir)).members
     return dup.of_type(members, "nameMatch").select("group_id", "pos", "file_name", "file_size")
 
 
@@ -219,33 +224,33 @@ def range_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def keep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = dup.find_duplicates(docs(spark, sf_dir)).members
+    members = dup.find_duplicates(catalog(spark, sf_dir)).members
     return retention.keep_best(members).select("group_id", "duplicate_type", "n_files", "best_pos")
 
 
 @register
 def best_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = dup.exact_members(docs(spark, sf_dir))
+    members = dup.exact_members(catalog(spark, sf_dir))
     return retention.mark_best(members).select("group_id", "pos", "file_size", "is_best")
 
 
 @register
 def deletion_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = docs(spark, sf_dir)
+    files = catalog(spark, sf_dir)
     doomed = retention.files_to_delete(dup.find_duplicates(files).members)
     return retention.deletion_plan(files, doomed).select("pos", "path", "file_size")
 
 
 @register
 def catalog_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = docs(spark, sf_dir)
+    files = catalog(spark, sf_dir)
     doomed = retention.files_to_delete(dup.find_duplicates(files).members)
     return retention.after_deletion(files, doomed).select("pos", "path", "file_size")
 
 
 @register
 def marked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = docs(spark, sf_dir)
+    files = catalog(spark, sf_dir)
     chosen = keysets.all_keys(retention.redundant(dup.exact_members(files)))
     return keysets.mark(files, chosen, "selected").select("pos", "id", "selected")
 
@@ -255,7 +260,7 @@ def _image_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _copied_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keysets.all_keys(dup.exact_members(docs(spark, sf_dir)))
+    return keysets.all_keys(dup.exact_members(catalog(spark, sf_dir)))
 
 
 @register

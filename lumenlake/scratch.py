@@ -11,7 +11,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own_folder: dict[str, str] = {}
 
@@ -46,6 +47,13 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """:func:`store`, with the number of rows counted while writing."""
+    seen = Observation()
+    stored = store(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return stored, seen.get["n"]
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove this application's intermediate tables once results are saved."""
     jvm = spark.sparkContext._jvm

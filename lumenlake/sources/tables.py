@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.constants import TAG_DATE, TAG_HEIGHT, TAG_MODEL, TAG_WIDTH
 from lumenlake.functions.hashing import md5_hex, sha256_hex
+from lumenlake.functions.numbers import div
 from lumenlake.session import use_utc
 from lumenlake.sources.files import gate_hashes, metadata_candidates
 
@@ -32,19 +33,15 @@ def _pick(values: list, k: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), F.pmod(k, F.lit(len(values))).cast("int"))
 
 
-def _whole(k: Column, by: int) -> Column:
-    return F.floor(k / by).cast("long")
-
-
 def media_docs(spark: SparkSession, sf_dir: str, hash_limit: int | None = None) -> DataFrame:
     """A catalogue over ``documents``: one file per document."""
     k = F.col("doc_id")
     ext = _pick(EXTENSIONS, k)
     name = F.concat(
-        F.when(F.pmod(_whole(k, 70), F.lit(2)) == 0, "IMG_").otherwise("img_"),
+        F.when(F.pmod(div(k, 70), F.lit(2)) == 0, "IMG_").otherwise("img_"),
         F.lpad(F.pmod(k, F.lit(70)).cast("string"), 4, "0"), F.lit("."), ext,
     )
-    family = F.conv(F.substring(F.md5(_whole(k, 4).cast("string")), 1, 16), 16, -10).cast("long")
+    family = F.conv(F.substring(F.md5(div(k, 4).cast("string")), 1, 16), 16, -10).cast("long")
     known = F.pmod(k, F.lit(7)) != 0
     text = F.col("text")
     rows = table(spark, sf_dir, "documents").select(
