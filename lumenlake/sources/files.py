@@ -46,6 +46,37 @@ def _media(found: DataFrame, root_no: int, extensions: Sequence[str]) -> DataFra
     )
 
 
+def _indexed_names(found: DataFrame) -> DataFrame:
+    """``(path)`` of all files in a folder's index.
+
+    The index is an object of Spark's driver; the names go from there straight
+    into a table, without passing through Python one by one.
+    """
+    spark = found.sparkSession
+    names = spark._jvm.java.util.Arrays.asList(found._jdf.inputFiles())
+    encoder = spark._jvm.org.apache.spark.sql.Encoders.STRING()
+    urls = DataFrame(spark._jsparkSession.createDataset(names, encoder).toDF(), spark)
+    return urls.select(F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B"))).alias("path"))
+
+
+def _listing(
+    found: DataFrame, root_no: int, extensions: Sequence[str], with_empty: bool
+) -> DataFrame:
+    """``(root_no, path, length)`` of a folder's media files.
+
+    Spark plans no read for files of zero bytes, so they yield no rows.  Their
+    names are in the folder's file index, from which they are taken.
+    """
+    rows = _media(found, root_no, extensions).select("root_no", "path", "length")
+    if not with_empty:
+        return rows
+    indexed = _media(_indexed_names(found), root_no, extensions)
+    empty = indexed.join(rows.select("path"), "path", "left_anti").select(
+        "root_no", "path", F.lit(0).cast("long").alias("length")
+    )
+    return rows.unionByName(empty)
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for more in frames[1:]:
@@ -54,7 +85,10 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def scan_media(
-    spark: SparkSession, roots: Sequence[str], extensions: Sequence[str] = MEDIA_EXTENSIONS
+    spark: SparkSession,
+    roots: Sequence[str],
+    extensions: Sequence[str] = MEDIA_EXTENSIONS,
+    with_empty: bool = True,
 ) -> DataFrame:
     """Media files below the roots as ``(root_no, path, length)`` (SRC1, FIL1).
 
@@ -63,7 +97,7 @@ def scan_media(
     if not roots:
         raise ValueError("no folders given")
     return _union([
-        _media(_folder(spark, root), i, extensions).select("root_no", "path", "length")
+        _listing(_folder(spark, root), i, extensions, with_empty)
         for i, root in enumerate(roots)
     ])
 
@@ -88,6 +122,7 @@ def build_catalog(
     hash_limit: int = HASH_LIMIT,
     meta_limit: int = META_LIMIT,
     extensions: Sequence[str] = MEDIA_EXTENSIONS,
+    with_empty: bool = True,
 ) -> DataFrame:
     """Full catalogue of the media files below the roots (SRC3, SRC4).
 
@@ -100,8 +135,7 @@ def build_catalog(
         raise ValueError("no folders given")
     folders = [_folder(spark, root) for root in roots]
     listed = _union([
-        _media(found, i, extensions).select("root_no", "path", "length")
-        for i, found in enumerate(folders)
+        _listing(found, i, extensions, with_empty) for i, found in enumerate(folders)
     ])
     hashed = store(_union([
         _media(found.filter(F.col("length") < hash_limit), i, extensions).select(
@@ -112,8 +146,11 @@ def build_catalog(
         for i, found in enumerate(folders)
     ]), "digests")
     placed = with_row_number(listed, [], ["root_no", "path"], "place")
+    nothing = (F.col("length") == 0) & (F.col("length") < hash_limit)
     rows = placed.join(hashed, ["root_no", "path"], "left").select(
-        (F.col("place") - 1).alias("pos"), *_row_columns(), "md5_hash", "sha256_hash"
+        (F.col("place") - 1).alias("pos"), *_row_columns(),
+        F.coalesce("md5_hash", F.when(nothing, md5_hex(F.lit("")))).alias("md5_hash"),
+        F.coalesce("sha256_hash", F.when(nothing, sha256_hex(F.lit("")))).alias("sha256_hash"),
     )
     catalog = with_defaults(rows)
     if tags is None:
