@@ -11,7 +11,7 @@ Two things keep the work down where many hashes lie close together:
 * Rows are settled in stages, a prefix of the order at a time.  The leaders of
   a prefix take their neighbours out of all later rows first, so the pairs
   inside a dense region are never listed; only the region's first rows are
-  paired up.  A stage's size follows from measured bucket sizes.
+  paired up.  A stage's size follows from measured bucket sizes and density.
 * Inside a stage only still undecided pairs go to the next round.
 
 Each stage and round is written to the scratch folder, so lost executors do not
@@ -29,8 +29,12 @@ from pyspark.sql import functions as F
 from lumenlake.operators.near import HOT_BUCKET, bucket_work, choose_bands, near_pairs
 from lumenlake.scratch import store, store_counted
 
-# Candidate pairs one stage may test against itself.
-STAGE_PAIRS = 10_000_000_000
+# Pairs one stage may list, and candidate pairs it may test, by estimate.
+STAGE_PAIRS = 1_000_000_000
+STAGE_TESTS = 1_000_000_000_000
+
+# Rows drawn to estimate how many pairs there are.  The draw only sizes stages.
+ESTIMATE_ROWS = 20_000
 
 # A stage never gets smaller than this many rows.
 MIN_STAGE = 4_096
@@ -46,6 +50,7 @@ def leader_clusters(
     t: int,
     n_hashes: int | None = None,
     stage_pairs: int = STAGE_PAIRS,
+    stage_tests: int = STAGE_TESTS,
     min_stage: int = MIN_STAGE,
     hot_bucket: int = HOT_BUCKET,
     patient_rounds: int = PATIENT_ROUNDS,
@@ -59,7 +64,7 @@ def leader_clusters(
     left = rest.count() if n_hashes is None else n_hashes
     taken: list[DataFrame] = []
     while left > 1:
-        cut = _stage_end(rest, left, t, stage_pairs, min_stage)
+        cut = _stage_end(rest, left, t, stage_pairs, stage_tests, min_stage)
         if cut is None:
             stage, later, n_stage = rest, None, left
         else:
@@ -108,24 +113,36 @@ def leader_clusters(
 
 
 def _stage_end(
-    rest: DataFrame, n: int, t: int, stage_pairs: int, min_stage: int
+    rest: DataFrame, n: int, t: int, stage_pairs: int, stage_tests: int, min_stage: int
 ) -> int | None:
     """Last ``pos`` of the next stage, or None when all rows fit into one."""
     bands = choose_bands(n, n, t)
-    if n <= min_stage or n * n * bands.m <= stage_pairs:
-        return None
-    work = bucket_work(rest, bands)
-    if work <= stage_pairs:
+    if n <= min_stage or (n * n <= 2 * stage_pairs and n * n * bands.m <= stage_tests):
         return None
-    share, cut = 1.0, None
-    while work > stage_pairs and n * share > min_stage:
-        share = max(share * min(0.5, sqrt(stage_pairs / work)), min_stage / n)
+    share, cut, stage = 1.0, None, rest
+    while n * share > min_stage:
+        excess = max(
+            bucket_work(stage, bands) / stage_tests,
+            _expected_pairs(stage, n * share, t) / stage_pairs,
+        )
+        if excess <= 1:
+            break
+        share = max(share * min(0.5, 1 / sqrt(excess)), min_stage / n)
         accuracy = int(min(1_000_000, max(10_000, 20 / share)))
         cut = rest.agg(F.percentile_approx("pos", share, accuracy)).first()[0]
-        work = bucket_work(rest.filter(F.col("pos") <= cut), bands)
+        stage = rest.filter(F.col("pos") <= cut)
     return cut
 
 
+def _expected_pairs(stage: DataFrame, n: float, t: int) -> float:
+    """Number of pairs in a stage, scaled up from a draw of its rows."""
+    share = min(1.0, ESTIMATE_ROWS / n)
+    drawn = stage.sample(share, seed=1)
+    bands = choose_bands(ESTIMATE_ROWS, ESTIMATE_ROWS, t)
+    found = near_pairs(drawn, drawn, t, bands, same_input=True, hot_bucket=None).count()
+    return found / share ** 2
+
+
 def _followers(pairs: DataFrame, n_pairs: int, patient_rounds: int) -> DataFrame:
     """Rows of a stage that are taken by an earlier row, as ``(pos)``.
 

@@ -47,7 +47,9 @@ def _sizes() -> list:
     ]
 
 
-def _described(grouped: DataFrame, kind: str, group_id, digest, removable) -> DataFrame:
+def _described(
+    grouped: DataFrame, kind: str, group_id, digest, removable, *more: str
+) -> DataFrame:
     """Group rows: everything but the largest file counts as wasted (AGG3)."""
     return grouped.select(
         group_id.alias("group_id"),
@@ -58,6 +60,7 @@ def _described(grouped: DataFrame, kind: str, group_id, digest, removable) -> Da
         removable.cast("long").alias("removable_count"),
         "max_size",
         "key",
+        *more,
     )
 
 
@@ -114,7 +117,8 @@ def distinct_hashes(files: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class SimilarImages:
-    """Groups of similar images, and the hashes that belong to each."""
+    """Groups of similar images (with their number of distinct hashes), and the
+    hashes that belong to each."""
 
     groups: DataFrame
     hashes: DataFrame
@@ -134,12 +138,13 @@ def cluster_images(
             F.sum("n_files").alias("n_files"),
             F.sum("total_size").alias("total_size"),
             F.max("max_size").alias("max_size"),
+            F.count("*").alias("n_hashes"),
         )
         .filter(F.col("n_files") > 1)
     )
     groups = _described(
         grouped, SIMILAR, F.concat(F.lit("similar:"), F.col("key").cast("string")),
-        F.lit(None), F.col("n_files") - 1,
+        F.lit(None), F.col("n_files") - 1, "n_hashes",
     )
     return SimilarImages(
         groups,
@@ -172,7 +177,9 @@ def name_members(files: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 def similar_members(
     files: DataFrame, images: SimilarImages, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    grouped = images.hashes.join(images.groups, "key").withColumnRenamed("h", "perceptual_hash")
+    grouped = attach(
+        images.hashes, images.groups, "key", "n_hashes", F.col("h"), hot_rows=hot_rows
+    ).withColumnRenamed("h", "perceptual_hash")
     return attach(
         similarity_candidates(files), grouped, "perceptual_hash", "n_copies",
         F.col("pos"), hot_rows=hot_rows,

@@ -451,9 +451,8 @@ SELECT folder, CAST(place AS INTEGER) AS place, pos, split_part(path, '/', -1) A
 FROM ranked WHERE folder_no <= 10 AND place <= 3""",
     "layout_write": _with(MEDIA) + f"""
 SELECT CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month,
-       CAST(day(d) AS INTEGER) AS day, count(*) AS n_files,
-       CAST(sum(file_size) AS BIGINT) AS total_bytes
-FROM (SELECT {_DAY} AS d, file_size FROM media) GROUP BY 1, 2, 3""",
+       count(*) AS n_files, CAST(sum(file_size) AS BIGINT) AS total_bytes
+FROM (SELECT {_DAY} AS d, file_size FROM media) GROUP BY 1, 2""",
     "parse_capture_times": """
 SELECT o_orderkey,
        CASE WHEN o_orderkey % 7 IN (3, 5, 6) THEN NULL

@@ -439,9 +439,9 @@ def folder_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def layout_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "layout")
-    strategy = {"type": "byDate", "format": "yearMonthDay"}
+    strategy = {"type": "byDate", "format": "yearMonth"}
     organize.write_layout(with_defaults(docs(spark, sf_dir)), strategy, path, AS_OF)
-    return spark.read.parquet(path).groupBy("year", "month", "day").agg(
+    return spark.read.parquet(path).groupBy("year", "month").agg(
         F.count("*").alias("n_files"), F.sum("file_size").alias("total_bytes")
     )
 

@@ -53,7 +53,10 @@ def _indexed_names(found: DataFrame) -> DataFrame:
     into a table, without passing through Python one by one.
     """
     spark = found.sparkSession
-    names = spark._jvm.java.util.Arrays.asList(found._jdf.inputFiles())
+    scala = spark._jvm.scala
+    names = scala.jdk.javaapi.CollectionConverters.asJava(
+        scala.collection.immutable.ArraySeq.unsafeWrapArray(found._jdf.inputFiles())
+    )
     encoder = spark._jvm.org.apache.spark.sql.Encoders.STRING()
     urls = DataFrame(spark._jsparkSession.createDataset(names, encoder).toDF(), spark)
     return urls.select(F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B"))).alias("path"))

@@ -33,7 +33,8 @@ def table(spark, rows):
     (18, {}),
     (0, {}),
     (10, {"hot_bucket": 20}),
-    (10, {"hot_bucket": 20, "stage_pairs": 3000, "min_stage": 64}),
+    (10, {"hot_bucket": 20, "stage_pairs": 2000, "min_stage": 64}),
+    (10, {"stage_tests": 40_000, "min_stage": 64}),
     (3, {"hot_bucket": 5}),
 ])
 def test_same_leaders_as_sequential(spark, t, options):
