@@ -30,7 +30,7 @@ from lumenlake.operators.near import HOT_BUCKET, bucket_work, choose_bands, near
 from lumenlake.scratch import store, store_counted
 
 # Pairs one stage may list, and candidate pairs it may test, by estimate.
-STAGE_PAIRS = 1_000_000_000
+STAGE_PAIRS = 50_000_000
 STAGE_TESTS = 1_000_000_000_000
 
 # Rows drawn to estimate how many pairs there are.  The draw only sizes stages.

@@ -29,6 +29,13 @@ HOT_BUCKET = 20_000
 # Cost of shuffling one row, in units of testing one candidate pair.
 _ROW_COST = 20
 
+# Candidate pairs per task.  Joins with fewer in all keep Spark's own partitioning;
+# beyond that the count is set here, since AQE sizes tasks by bytes and these
+# tasks are heavy in tests and light in bytes.
+_TESTS_PER_TASK = 100_000_000
+_FEW_TESTS = 1_000_000
+_MOST_TASKS = 100_000
+
 # Flips listed per band at most; wider balls are not worth listing.
 _MAX_FLIPS = 5_000
 
@@ -43,6 +50,8 @@ class Bands:
 
     m: int
     t: int
+    tests: float = 0.0
+    """Candidate pairs to expect, when known."""
 
     @property
     def widths(self) -> list[int]:
@@ -98,9 +107,10 @@ def choose_bands(n_index: int, n_probe: int, t: int) -> Bands:
             continue
         rows = n_index * m + n_probe * sum(balls)
         share = sum(b / 2.0 ** w for b, w in zip(balls, bands.widths))
-        cost = _ROW_COST * rows + float(n_index) * n_probe * share
+        tests = float(n_index) * n_probe * share
+        cost = _ROW_COST * rows + tests
         if best_cost is None or cost < best_cost:
-            best, best_cost = bands, cost
+            best, best_cost = Bands(m, t, tests), cost
     return best or Bands(32, t)
 
 
@@ -211,15 +221,27 @@ def near_pairs(
     b = keyed[1].select(
         F.col("key").alias("key_b"), F.col("h").alias("h_b"), F.col("pos").alias("pos_b")
     )
+    if bands.tests > _FEW_TESTS:
+        cores = index.sparkSession.sparkContext.defaultParallelism
+        tasks = min(max(cores, int(bands.tests / _TESTS_PER_TASK)), _MOST_TASKS)
+        a, b = a.repartition(tasks, "key_a"), b.repartition(tasks, "key_b")
     on = f"key_a = key_b AND bit_count(h_a ^ h_b) <= {t}"
     if same_input:
         on += " AND pos_a < pos_b"
-    on += f" AND ({_first_close(bands, bands.radius)}) = band"
+    first = f"({_first_close(bands, bands.radius)}) = band"
     if hot_bucket is not None:
-        on += f" AND (band2 = -1 OR ({_first_close(bands, bands.inner_radius, 'band')}) = band2)"
+        first += f" AND (band2 = -1 OR ({_first_close(bands, bands.inner_radius, 'band')}) = band2)"
     lo, hi = ("pos_a", "pos_b") if same_input else ("pos_b", "pos_a")
-    return a.join(b, F.expr(on)).selectExpr(
-        f"{lo} AS lo", f"{hi} AS hi", "CAST(bit_count(h_a ^ h_b) AS INT) AS distance"
+    # The test for the first band is long, and few candidates get that far.  The
+    # generator keeps the optimizer from moving it into the join, whose inner
+    # loop has to stay small enough for the JIT compiler.
+    return (
+        a.join(b, F.expr(on))
+        .selectExpr("inline(array(struct(h_a, h_b, pos_a, pos_b, band, band2)))")
+        .filter(first)
+        .selectExpr(
+            f"{lo} AS lo", f"{hi} AS hi", "CAST(bit_count(h_a ^ h_b) AS INT) AS distance"
+        )
     )
 
 
