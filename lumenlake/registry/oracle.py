@@ -319,7 +319,7 @@ SELECT count(*) AS n_files, count(sha256_hash) AS with_sha256, count(md5_hash) A
 FROM media""",
     "hash_preview": _with(MEDIA) + """
 SELECT pos, file_name, substr(sha256_hash, 1, 16) AS hash_prefix FROM media ORDER BY pos LIMIT 3""",
-    "vector_hashes": _with(_CELLS)
+    "average_hash": _with(_CELLS)
     + f"SELECT vec_id AS pos, {_hex(_hash_of('cells'))} AS phash FROM grids",
     "grid_reduce": _with(_CELLS, _PIXELS) + """
 SELECT CAST(vec_id AS VARCHAR) AS id, CAST(cell AS INTEGER) AS cell, mean FROM boxes""",
@@ -437,7 +437,7 @@ SELECT count(*) AS total_files, count(DISTINCT {_PARENT}) AS n_folders,
     + "SELECT pos, file_name FROM plan WHERE conflict ORDER BY pos LIMIT 5",
     "folder_counts": _PLANNED + f"""
 SELECT {_PARENT} AS folder, count(*) AS n_files, min(pos) AS first_pos FROM plan GROUP BY 1""",
-    "folder_report": _with(MEDIA) + f""",
+    "folder_summary": _with(MEDIA) + f""",
 dated AS (SELECT pos, path, file_name, '/library/' || {_FOLDERS['dest_by_date_ymd']} AS folder
           FROM media),
 counted AS (
@@ -453,7 +453,7 @@ FROM ranked WHERE folder_no <= 10 AND place <= 3""",
 SELECT CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month,
        count(*) AS n_files, CAST(sum(file_size) AS BIGINT) AS total_bytes
 FROM (SELECT {_DAY} AS d, file_size FROM media) GROUP BY 1, 2""",
-    "parse_capture_times": """
+    "parse_capture_time": """
 SELECT o_orderkey,
        CASE WHEN o_orderkey % 7 IN (3, 5, 6) THEN NULL
             ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS taken

@@ -40,7 +40,8 @@ QUERIES: dict[str, Query] = {}
 
 
 def register(query: Query) -> Query:
-    QUERIES[query.__name__] = query
+    """Register under the function's name, less a trailing underscore."""
+    QUERIES[query.__name__.rstrip("_")] = query
     return query
 
 
@@ -142,7 +143,7 @@ def hash_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register
-def vector_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def average_hash_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.vector_cells(spark, sf_dir).select(
         "pos", hex16(average_hash(F.col("cells"))).alias("phash")
     )
@@ -429,7 +430,7 @@ def folder_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register
-def folder_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+def folder_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return organize.folder_report(organize.preview(
         docs(spark, sf_dir), {"type": "byDate", "format": "yearMonthDay"}, DESTINATION,
         as_of=AS_OF,
@@ -449,7 +450,7 @@ def layout_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Metadata -------------------------------------------------------------------
 
 @register
-def parse_capture_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+def parse_capture_time_(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order dates written in good and bad forms, then parsed."""
     day = F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss")
     form = F.pmod(F.col("o_orderkey"), F.lit(7))

@@ -78,13 +78,14 @@ def brute(rows, t):
     return out
 
 
-@pytest.mark.parametrize("m,t,hot", [
-    (4, 10, None), (4, 10, 15), (3, 7, 30), (11, 10, None), (11, 10, 20), (7, 18, 25),
+@pytest.mark.parametrize("m,t,hot,tests", [
+    (4, 10, None, 0), (4, 10, 15, 0), (3, 7, 30, 0), (11, 10, None, 0), (11, 10, 20, 0),
+    (7, 18, 25, 0), (4, 10, 15, 5e6),
 ])
-def test_pairs_once_and_complete(spark, m, t, hot):
+def test_pairs_once_and_complete(spark, m, t, hot, tests):
     rows = hashes(m, 160, 4, 11)
     df = table(spark, rows)
-    got = near_pairs(df, df, t, Bands(m, t), same_input=True, hot_bucket=hot).collect()
+    got = near_pairs(df, df, t, Bands(m, t, tests), same_input=True, hot_bucket=hot).collect()
     assert len(got) == len({(r.lo, r.hi) for r in got})
     assert {(r.lo, r.hi): r.distance for r in got} == brute(rows, t)
 
