@@ -81,16 +81,17 @@ def leader_clusters(
             "pairs",
         )
         followers = _followers(pairs, n_pairs, patient_rounds)
-        inside = (
+        inside = store(
             pairs.join(followers.select(F.col("pos").alias("lo")), "lo", "left_anti")
-            .groupBy(F.col("hi").alias("pos")).agg(F.min("lo").alias("leader"))
+            .groupBy(F.col("hi").alias("pos")).agg(F.min("lo").alias("leader")),
+            "inside",
         )
         taken.append(inside)
         if later is None:
             break
 
         n_later = left - n_stage
-        leading = stage.join(followers, "pos", "left_anti")
+        leading = stage.join(inside.select("pos"), "pos", "left_anti")
         bands = choose_bands(n_later, n_stage, t)
         claimed = store(
             near_pairs(
@@ -147,7 +148,8 @@ def _followers(pairs: DataFrame, n_pairs: int, patient_rounds: int) -> DataFrame
     """Rows of a stage that are taken by an earlier row, as ``(pos)``.
 
     Per round: a row with no undecided earlier neighbour leads; its neighbours
-    are taken; pairs with a taken row drop out.
+    are taken; pairs with a taken row drop out.  What a round takes is derived
+    from its stored pairs and not stored itself.
     """
     found: list[DataFrame] = []
     open_pairs, n_open, rounds = pairs, n_pairs, 0
@@ -158,9 +160,8 @@ def _followers(pairs: DataFrame, n_pairs: int, patient_rounds: int) -> DataFrame
         leads = open_pairs.select("lo").distinct().join(
             open_pairs.select(F.col("hi").alias("lo")).distinct(), "lo", "left_anti"
         )
-        newly = store(
-            open_pairs.join(leads, "lo", "left_semi").select(F.col("hi").alias("pos")).distinct(),
-            "taken",
+        newly = (
+            open_pairs.join(leads, "lo", "left_semi").select(F.col("hi").alias("pos")).distinct()
         )
         found.append(newly)
         open_pairs, n_open = store_counted(
