@@ -8,6 +8,8 @@ of a step once and for all.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,8 +23,9 @@ def scratch_root(spark: SparkSession) -> str:
     """Folder for this application's intermediate tables.
 
     The place is the session's ``spark.checkpoint.dir``.  Only a local-mode
-    session without that setting gets a temporary folder; on a cluster it would
-    not be visible to other machines, so there the setting is required.
+    session without that setting gets a temporary folder, removed on exit; on a
+    cluster it would not be visible to other machines, so there the setting is
+    required.
     """
     app = spark.sparkContext.applicationId
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,6 +35,7 @@ def scratch_root(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         _own_folder[app] = tempfile.mkdtemp(prefix="lumenlake-")
+        atexit.register(shutil.rmtree, _own_folder[app], ignore_errors=True)
     return _own_folder[app]
 
 
