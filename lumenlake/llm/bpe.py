@@ -27,83 +27,82 @@ from pyspark.sql import functions as F
 from lumenlake.llm.common import per_text, text_or_empty
 
 WORD_BITS = 8
-CACHE = 300_000
+WORD_MASK = (1 << WORD_BITS) - 1
+CACHE = 900_000
 #: Pre-tokens longer than this are not cached.
 CACHED_LENGTH = 64
 
 
-class RankQueue:
-    """Positions by rank; :meth:`pop` gives the lowest rank, then the leftmost position."""
-
-    def __init__(self) -> None:
-        self.top = 0
-        self.words: dict[int, int] = {}
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word = rank >> WORD_BITS
-        self.words[word] = self.words.get(word, 0) | 1 << (rank & (1 << WORD_BITS) - 1)
-        self.top |= 1 << word
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        word = (self.top & -self.top).bit_length() - 1
-        bits = self.words[word]
-        low = bits & -bits
-        rank = word << WORD_BITS | low.bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            bits ^= low
-            self.words[word] = bits
-            if not bits:
-                self.top ^= 1 << word
-        return rank, position
-
-
 def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
-    """Ids of one pre-token."""
-    whole = ranks.get(piece)
+    """Ids of one pre-token.
+
+    The queue: ``buckets`` has the positions of a rank as a heap, ``words`` the
+    bits of the ranks in use, WORD_BITS of a rank number a bit within a word,
+    ``top`` the bits of the words in use.  It is written out in place, as it is
+    the inner loop of all encoding.
+    """
+    rank_of = ranks.get
+    whole = rank_of(piece)
     if whole is not None:
         return (whole,)
     n = len(piece)
     after = list(range(1, n + 1))  # where the part that starts here ends
     before = list(range(-1, n - 1))
     pair = [-1] * n  # rank of the part here joined with the next, -1 if none
-    queue = RankQueue()
+    top = 0
+    words: dict[int, int] = {}
+    buckets: dict[int, list[int]] = {}
     for i in range(n - 1):
-        rank = ranks.get(piece[i:i + 2])
+        rank = rank_of(piece[i:i + 2])
         if rank is not None:
             pair[i] = rank
-            queue.push(rank, i)
-    while (entry := queue.pop()) is not None:
-        rank, i = entry
+            if rank in buckets:
+                buckets[rank].append(i)  # in ascending order, so still a heap
+            else:
+                buckets[rank] = [i]
+                word = rank >> WORD_BITS
+                words[word] = words.get(word, 0) | 1 << (rank & WORD_MASK)
+                top |= 1 << word
+    while top:
+        word = (top & -top).bit_length() - 1
+        bits = words[word]
+        low = bits & -bits
+        rank = word << WORD_BITS | low.bit_length() - 1
+        bucket = buckets[rank]
+        i = heappop(bucket) if len(bucket) > 1 else bucket.pop()
+        if not bucket:
+            del buckets[rank]
+            bits ^= low
+            words[word] = bits
+            if not bits:
+                top ^= 1 << word
         if pair[i] != rank:
-            continue
+            continue  # stale
         gone = after[i]
         end = after[gone]
         pair[gone] = -1
         after[i] = end
+        left = before[i]
         if end < n:
             before[end] = i
-            new = ranks.get(piece[i:after[end]])
-            pair[i] = -1 if new is None else new
-            if new is not None:
-                queue.push(new, i)
+            new = rank_of(piece[i:after[end]], -1)
         else:
-            pair[i] = -1
-        left = before[i]
-        if left >= 0:
-            new = ranks.get(piece[left:end])
-            pair[left] = -1 if new is None else new
-            if new is not None:
-                queue.push(new, left)
+            new = -1
+        pair[i] = new
+        at = i
+        while True:  # the pair that starts here, then the one to its left
+            if new >= 0:
+                if new in buckets:
+                    heappush(buckets[new], at)
+                else:
+                    buckets[new] = [at]
+                    word = new >> WORD_BITS
+                    words[word] = words.get(word, 0) | 1 << (new & WORD_MASK)
+                    top |= 1 << word
+            if left < 0 or at == left:
+                break
+            at = left
+            new = pair[left] = rank_of(piece[left:end], -1)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i:after[i]]])
@@ -117,28 +116,32 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, map(bytes.strip, f)))}
 
 
+class _Seen(dict):
+    """Ids by pre-token; what is missing is encoded, and kept unless it is long."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        super().__init__()
+        self.ranks = ranks
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = encode_piece(piece.encode(), self.ranks)
+        if len(piece) <= CACHED_LENGTH:
+            self[piece] = ids
+        return ids
+
+
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.names = {rank: str(rank) for rank in self.tokens}
-        self.seen: dict[str, tuple[int, ...]] = {}
+        self.seen = _Seen(ranks)
 
     def encode(self, text: str) -> list[int]:
-        seen = self.seen
-        pieces = self.split(text)
-        missing = set(pieces).difference(seen)
-        if len(seen) + len(missing) > CACHE:
-            seen.clear()
-            missing = set(pieces)
-        long: dict[str, tuple[int, ...]] = {}
-        for piece in missing:
-            ids = encode_piece(piece.encode(), self.ranks)
-            (seen if len(piece) <= CACHED_LENGTH else long)[piece] = ids
-        if long:
-            return list(chain.from_iterable(long[p] if p in long else seen[p] for p in pieces))
-        return list(chain.from_iterable(map(seen.__getitem__, pieces)))
+        if len(self.seen) > CACHE:
+            self.seen.clear()
+        return list(chain.from_iterable(map(self.seen.__getitem__, self.split(text))))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

@@ -1,0 +1,79 @@
+from __future__ import annotations
+
+import random
+
+import public_tokenizers
+import pytest
+import tiktoken
+
+from lumenlake.llm import bpe
+from lumenlake.llm.queries import VOCABULARY, op9_bpe
+from tests.conftest import SF
+from tests.llm.brute import rows_of, sha
+
+PATH = public_tokenizers.path(VOCABULARY)
+
+
+@pytest.fixture(scope="module")
+def theirs():
+    ranks = bpe.read_ranks(PATH)
+    return tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return bpe.Codec(bpe.read_ranks(PATH), public_tokenizers.PATTERN)
+
+
+@pytest.mark.parametrize("text", [
+    "", " ", "\n\n  x", "don't I'll 'S", "aaaaaaaaaaaaaaaaaaaaa", "éàü ñ 漢字 🙂🙂 ‍", "12345 ²³ Ⅷ", "a\x1cb\x85c d",
+    "<|endoftext|>", "#" * 1000, "ab" * 5000, "́x", "  \t \n y ",
+])
+def test_like_the_library(theirs, codec, text):
+    ids = codec.encode(text)
+    assert ids == theirs.encode_ordinary(text)
+    assert codec.decode(ids) == text.encode()
+
+
+def test_random_bytes_like_the_library(theirs, codec):
+    pick = random.Random(3)
+    for _ in range(400):
+        text = "".join(pick.choice("abetionsr 1é.\n") for _ in range(pick.randrange(80)))
+        assert codec.encode(text) == theirs.encode_ordinary(text)
+
+
+def test_very_long_piece(codec):
+    text = "".join(random.Random(1).choice("abcdefgh") for _ in range(200_000))
+    assert codec.decode(codec.encode(text)) == text.encode()
+
+
+def test_cache_may_be_emptied(monkeypatch, theirs):
+    monkeypatch.setattr(bpe, "CACHE", 3)
+    small = bpe.Codec(bpe.read_ranks(PATH), public_tokenizers.PATTERN)
+    for text in ("one two three four five", "six seven one two"):
+        assert small.encode(text) == theirs.encode_ordinary(text)
+
+
+def test_queue_order_is_lowest_rank_then_leftmost():
+    ranks = {bytes([c]): c for c in range(256)} | {b"ab": 300, b"bc": 299, b"aa": 301, b"abc": 302, b"bca": 70_000}
+    assert bpe.encode_piece(b"abc", ranks) == (302,)
+    assert bpe.encode_piece(b"aaa", ranks) == (301, 97)
+    assert bpe.encode_piece(b"abbca", ranks) == (300, 70_000)
+
+
+def test_query(spark, theirs):
+    rows = {r["doc_id"]: r for r in op9_bpe(spark, SF).collect()}
+    for doc_id, text in rows_of("documents", SF, "doc_id, text"):
+        ids = theirs.encode_ordinary(text or "")
+        assert rows[doc_id]["n_tokens"] == len(ids)
+        assert rows[doc_id]["ids_sha256"] == sha(",".join(map(str, ids)))
+        assert rows[doc_id]["decoded_sha256"] == sha(text or "")
+
+
+def test_edges_and_texts_back(spark):
+    docs = spark.createDataFrame([(1, None, 1), (1, "", 2), (None, "añb", 3)], "doc_id long, text string, ids int")
+    ids = bpe.encode_texts(docs, PATH, public_tokenizers.PATTERN)
+    back = sorted(r["text"] for r in bpe.decode_ids(ids, PATH).collect())
+    assert back == ["", "", "añb"]
+    assert bpe.round_trip(docs, PATH, public_tokenizers.PATTERN).count() == 3
+    assert bpe.round_trip(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0

@@ -1,0 +1,93 @@
+from __future__ import annotations
+
+from itertools import combinations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lumenlake.llm import simhash
+from lumenlake.llm.queries import op2_simhash
+from tests.conftest import SF
+from tests.llm.brute import components, near_groups, rows_of
+from tests.llm.brute import simhash as plain
+
+
+@pytest.mark.parametrize("width", [2, 3, 4])
+def test_any_four_shared_positions_hold_an_index_set(width):
+    sets = [set(s) for s in simhash.position_sets(width)]
+    for shared in combinations(range(8), 4):
+        assert any(s <= set(shared) for s in sets)
+
+
+@pytest.mark.parametrize("text", [
+    "", " ", "one", "one two three", "a b c d", "a b c d e", "A b C d", "É x y z É x y z", "a b c d e",
+    "w " * 50, "x\x1cy a b c",
+])
+def test_fingerprint(text):
+    assert simhash.fingerprint(text.encode()) == plain(text)
+
+
+def test_long_text_in_pieces(monkeypatch):
+    text = " ".join(f"w{i % 97}{i}" for i in range(5000))
+    monkeypatch.setattr(simhash, "PIECE", 100)
+    assert simhash.fingerprint(text.encode()) == plain(text)
+    assert simhash.fingerprint(b"abc" * 100 + b" x") == plain("abc" * 100 + " x")
+
+
+def _prints(seed: int) -> list[int]:
+    pick = np.random.default_rng(seed)
+    out = []
+    for _ in range(40):
+        p = int(pick.integers(0, 2**64, dtype=np.uint64))
+        out.append(p)
+        for _ in range(int(pick.integers(0, 12))):  # chains of close ones
+            for b in pick.choice(64, int(pick.integers(1, 6)), replace=False):
+                p ^= 1 << int(b)
+            out.append(p)
+    return sorted(set(out))
+
+
+@pytest.mark.parametrize("width", [2, 3, 4])
+@pytest.mark.parametrize("list_rows", [4096, 3])
+def test_links_reach_what_brute_force_reaches(spark, width, list_rows):
+    prints = _prints(width * 10 + list_rows)
+    signed = [(p - 2**64 if p >= 2**63 else p,) for p in prints]
+    edges = simhash.links(spark.createDataFrame(signed, "fp long"), width, list_rows)
+    got = {r["node"] % 2**64: r["root"] % 2**64 for r in simhash.components(edges).collect()}
+    expected = components(prints)
+    groups: dict[int, set] = {}
+    for p in prints:
+        groups.setdefault(got.get(p, p), set()).add(p)
+    wanted: dict[int, set] = {}
+    for p in prints:
+        wanted.setdefault(expected[p], set()).add(p)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
+
+
+def test_one_dense_list_does_not_list_all_pairs(spark):
+    prints = [(1 << a | 1 << b,) for a, b in combinations(range(60), 2)]
+    edges = simhash.links(spark.createDataFrame(prints, "fp long"), 2)
+    assert edges.count() < 8 * len(prints)
+    assert {r["root"] for r in simhash.components(edges).collect()} == {3}
+
+
+def test_query_against_brute_force(spark):
+    expected = near_groups(rows_of("documents", SF, "doc_id, text"))
+    rows = op2_simhash(spark, SF).collect()
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in rows} == expected
+    assert len(rows) == len(expected)
+
+
+def test_edges(spark):
+    docs = spark.createDataFrame(
+        [(7, None), (3, ""), (5, "   "), (9, "some words that differ a lot from nothing"), (None, "q r s t u"), (9, "z")],
+        "doc_id long, text string",
+    ).withColumn("fp", F.lit("clash"))
+    rows = simhash.near_duplicates(docs).collect()
+    assert len(rows) == 6
+    by = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in rows}
+    zero = "0" * 16
+    assert by[(7, zero)] == by[(3, zero)] == by[(5, zero)] == 3
+    assert {r["component_id"] for r in rows if r["doc_id"] is None} == {None}
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
