@@ -15,11 +15,24 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is certain enough; ``lang`` becomes that language."""
-    found = language.detect(docs, declared="lang", address="source").filter("kept")
-    decided = store(found.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct(), "stage-lang")
-    return docs.join(decided, docs["doc_id"].eqNullSafe(decided["_id"])).select(
-        *[F.col("_lang").alias("lang") if c == "lang" else docs[c] for c in docs.columns]
+    """Documents whose language is certain enough; ``lang`` becomes that language.
+
+    Only the exceptions are joined: ids that go, and ids whose language is not the
+    declared one.  Rows that share an id go if all of them are rejected.
+    """
+    found = language.detect(docs, declared="lang", address="source")
+    per_id = found.groupBy("doc_id").agg(
+        F.max("kept").alias("_kept"), F.min(F.when(F.col("kept"), F.col("lang"))).alias("_lang"),
+        F.min("declared").alias("low"), F.max("declared").alias("high"),
+    )
+    odd = per_id.filter("NOT _kept OR _lang <> low OR low <> high")
+    changes = store(odd.select(F.col("doc_id").alias("_id"), "_kept", "_lang"), "stage-lang")
+    joined = docs.join(changes, docs["doc_id"].eqNullSafe(changes["_id"]), "left").filter(
+        F.coalesce("_kept", F.lit(True))
+    )
+    stated = language.declared_language(docs["lang"])
+    return joined.select(
+        *[F.coalesce("_lang", stated).alias("lang") if c == "lang" else docs[c] for c in docs.columns]
     )
 
 
@@ -29,10 +42,16 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document that names it."""
-    groups = simhash.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = store(groups.select(F.col("doc_id").alias("_id")).distinct(), "stage-near")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    """Of each group of near-duplicates, the document that names it.
+
+    Only the ids that go are joined.  Rows that share an id stay if one of them
+    names a group; rows without an id cannot be told apart and stay.
+    """
+    per_id = simhash.near_duplicates(docs).groupBy("doc_id").agg(
+        F.max(F.col("doc_id") == F.col("component_id")).alias("names")
+    )
+    gone = store(per_id.filter("NOT names").select(F.col("doc_id").alias("_id")), "stage-near")
+    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

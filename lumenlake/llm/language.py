@@ -72,6 +72,11 @@ def markup_language(html: str | Column) -> Column:
     return F.lower(tag)
 
 
+def declared_language(column: Column) -> Column:
+    """The primary part of a language tag, in lower case; empty if there is none."""
+    return F.lower(F.regexp_extract(F.coalesce(column, F.lit("")), r"^\s*([A-Za-z]+)", 1))
+
+
 def _languages(docs: DataFrame) -> list[str]:
     rows = (
         docs.filter("declared != ''").groupBy("declared").count()
@@ -126,7 +131,7 @@ def detect(
 
     source = docs.select(
         F.col(id_column).alias("doc_id"),
-        F.lower(F.regexp_extract(given(declared), r"^\s*([A-Za-z]+)", 1)).alias("declared"),
+        declared_language(given(declared)).alias("declared"),
         address_host(given(address)).alias("host"),
         text_or_empty(text).cast("binary").alias("text"),
     )
