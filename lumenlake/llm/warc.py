@@ -37,6 +37,7 @@ from lumenlake.scratch import new_path, store
 LEAST_BYTES = 100
 MAGIC = b"\x1f\x8b\x08"
 RANGE = 8 << 20
+MOST_TASKS = 100_000
 LEVEL = 4
 BLOCK = 1 << 16
 VERSION = b"WARC/1.1"
@@ -236,8 +237,10 @@ def read_archives(files: DataFrame, folder: str, range_bytes: int = RANGE) -> Da
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=names)
 
-    # A range is a unit of work; its row is a few bytes, so they are dealt out by number.
-    return ranges.repartition("path", "start").mapInArrow(read, schema)
+    # A range is a unit of work though its row is a few bytes: the number of tasks is
+    # given, or rows so small would all be merged into one.
+    tasks = min(max(ranges.count(), 1), MOST_TASKS)
+    return ranges.repartition(tasks, "path", "start").mapInArrow(read, schema)
 
 
 def _row(path: str, offset: int, fields: dict[str, str], block: bytes) -> dict:
