@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: ASCII white space as the contracts define it: space and \t \n \v \f \r.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -40,7 +42,7 @@ def per_text(
     id_type = source.schema["doc_id"].dataType.simpleString()
     extra = "".join(f"{k} {source.schema[k].dataType.simpleString()}, " for k in kept)
     schema = f"doc_id {id_type}, {extra}{fields}"
-    names = [part.split()[0] for part in fields.split(",")]
+    made = to_arrow_schema(T.StructType.fromDDL(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
@@ -48,9 +50,9 @@ def per_text(
             if not batch.num_rows:
                 continue
             rows = [function(t) for t in batch.column("_text").to_pylist()]
-            columns = [pa.array(list(values)) for values in zip(*rows)]
+            columns = [pa.array(list(values), field.type) for values, field in zip(zip(*rows), made)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(k) for k in ("doc_id", *kept)] + columns, ["doc_id", *kept, *names]
+                [batch.column(k) for k in ("doc_id", *kept)] + columns, ["doc_id", *kept, *made.names]
             )
 
     return source.mapInArrow(run, schema)

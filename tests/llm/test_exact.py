@@ -7,7 +7,7 @@ from lumenlake.scratch import new_path
 
 
 def _by_id(df):
-    return sorted(tuple(r) for r in df.select("doc_id", "keep_id", "group_size", "kept").collect())
+    return sorted(tuple(r)[:4] for r in df.collect())
 
 
 ROWS = [(5, "a  b"), (2, "a\tb"), (9, "a b"), (4, "a b"), (1, None), (3, ""), (6, " "), (8, "x")]
@@ -33,7 +33,8 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
         [(1, "a", "k"), (1, "a", "k"), (2, "a", "k"), (None, "b", "k"), (None, "c", "k"), (7, "c", "k")],
         "doc_id long, text string, locator string",
     )
-    assert sorted(map(str, _by_id(exact.exact_duplicates(docs)))) == sorted(map(str, [
+    found = [tuple(r)[:4] for r in exact.exact_duplicates(docs).collect()]
+    assert sorted(map(str, found)) == sorted(map(str, [
         (1, 1, 3, True), (1, 1, 3, True), (2, 1, 3, False), (None, None, 1, True), (None, 7, 2, False), (7, 7, 2, True),
     ]))
     kept = exact.drop_duplicates(docs)

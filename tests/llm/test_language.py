@@ -21,7 +21,7 @@ def test_evidence_columns(spark):
     )
     host = language.address_host(F.col("a"))
     got = rows.select(host, language.address_suffix(host), language.markup_language(F.col("h"))).collect()
-    assert [tuple(r) for r in got] == [("a.example.de", "de", "de"), ("src1", "", ""), (None, None, None)]
+    assert [tuple(r) for r in got] == [("a.example.de", "de", "de"), ("src1", "", ""), (None, "", None)]
 
 
 def test_every_document_has_a_row_and_clean_ones_stay(spark):
