@@ -12,7 +12,10 @@ Two things keep the work down where many hashes lie close together:
   a prefix take their neighbours out of all later rows first, so the pairs
   inside a dense region are never listed; only the region's first rows are
   paired up.  A stage's size follows from measured bucket sizes and density.
-* Inside a stage only still undecided pairs go to the next round.
+* Inside a stage only still undecided pairs go to the next round.  Long chains
+  settle one link per round; after a few rounds what is left is settled in blocks
+  along the order instead, each of a bounded number of pairs by the sequential
+  rule, so the number of rounds is about open pairs / block size.
 
 Each stage and round is written to the scratch folder, so lost executors do not
 repeat earlier ones.
@@ -39,10 +42,10 @@ ESTIMATE_ROWS = 20_000
 # A stage never gets smaller than this many rows.
 MIN_STAGE = 4_096
 
-# After this many rounds a remainder of few pairs is settled in one go ...
+# After this many rounds the remainder is settled in blocks ...
 PATIENT_ROUNDS = 6
-# ... few meaning at most this many; longer remainders stay with the rounds.
-TAIL_PAIRS = 200_000
+# ... of at most this many pairs.
+BLOCK_PAIRS = 200_000
 
 
 def leader_clusters(
@@ -54,6 +57,7 @@ def leader_clusters(
     min_stage: int = MIN_STAGE,
     hot_bucket: int = HOT_BUCKET,
     patient_rounds: int = PATIENT_ROUNDS,
+    block_pairs: int = BLOCK_PAIRS,
 ) -> DataFrame:
     """``(pos, leader)`` for every row of ``hashes`` that is not a leader itself.
 
@@ -80,7 +84,7 @@ def leader_clusters(
             ).select("lo", "hi"),
             "pairs",
         )
-        followers = _followers(pairs, n_pairs, patient_rounds)
+        followers = _followers(pairs, n_pairs, patient_rounds, block_pairs)
         inside = store(
             pairs.join(followers.select(F.col("pos").alias("lo")), "lo", "left_anti")
             .groupBy(F.col("hi").alias("pos")).agg(F.min("lo").alias("leader")),
@@ -144,28 +148,27 @@ def _expected_pairs(stage: DataFrame, n: float, t: int) -> float:
     return found / share ** 2
 
 
-def _followers(pairs: DataFrame, n_pairs: int, patient_rounds: int) -> DataFrame:
+def _followers(
+    pairs: DataFrame, n_pairs: int, patient_rounds: int, block_pairs: int = BLOCK_PAIRS
+) -> DataFrame:
     """Rows of a stage that are taken by an earlier row, as ``(pos)``.
 
     Per round: a row with no undecided earlier neighbour leads; its neighbours
-    are taken; pairs with a taken row drop out.  What a round takes is derived
-    from its stored pairs and not stored itself.
+    are taken; pairs with a taken row drop out.  Each round's result is written.
     """
     found: list[DataFrame] = []
     open_pairs, n_open, rounds = pairs, n_pairs, 0
     while n_open:
-        if rounds >= patient_rounds and n_open <= TAIL_PAIRS:
-            found.append(store(_settle_tail(open_pairs), "taken"))
-            break
-        leads = open_pairs.select("lo").distinct().join(
-            open_pairs.select(F.col("hi").alias("lo")).distinct(), "lo", "left_anti"
-        )
-        newly = (
-            open_pairs.join(leads, "lo", "left_semi").select(F.col("hi").alias("pos")).distinct()
-        )
+        cut = _block_end(open_pairs, n_open, block_pairs) if rounds >= patient_rounds else None
+        if cut is None:
+            newly = store(_round(open_pairs), "taken")
+            left = open_pairs
+        else:
+            newly = _settle_block(open_pairs, cut)
+            left = open_pairs.filter(F.col("lo") > cut)
         found.append(newly)
         open_pairs, n_open = store_counted(
-            open_pairs
+            left
             .join(newly.select(F.col("pos").alias("hi")), "hi", "left_anti")
             .join(newly.select(F.col("pos").alias("lo")), "lo", "left_anti"),
             "open",
@@ -179,12 +182,40 @@ def _followers(pairs: DataFrame, n_pairs: int, patient_rounds: int) -> DataFrame
     return out
 
 
-def _settle_tail(open_pairs: DataFrame) -> DataFrame:
-    """Sequential rule on at most :data:`TAIL_PAIRS` pairs, checked by the caller.
+def _round(open_pairs: DataFrame) -> DataFrame:
+    """Neighbours of the rows that no undecided row comes before."""
+    leads = open_pairs.select("lo").distinct().join(
+        open_pairs.select(F.col("hi").alias("lo")).distinct(), "lo", "left_anti"
+    )
+    return open_pairs.join(leads, "lo", "left_semi").select(F.col("hi").alias("pos")).distinct()
+
+
+def _block_end(open_pairs: DataFrame, n_open: int, block_pairs: int) -> int | None:
+    """A place in the order up to which at most ``block_pairs`` pairs lie; None if
+    the first row with pairs has more than that."""
+    if n_open <= block_pairs:
+        return open_pairs.agg(F.max("hi")).first()[0]
+    share = block_pairs / n_open / 2
+    accuracy = int(min(10_000_000, max(10_000, 20 / share)))
+    cut = open_pairs.agg(F.percentile_approx("hi", share, accuracy)).first()[0]
+    inside = open_pairs.filter(F.col("hi") <= cut).count()
+    return cut if inside <= block_pairs else None
+
+
+def _settle_block(open_pairs: DataFrame, cut: int) -> DataFrame:
+    """Rows taken by rows up to ``cut``.  What happens up to there depends on the
+    pairs inside only; leaders among them then take their later neighbours."""
+    inside = store(_settle(open_pairs.filter(F.col("hi") <= cut)), "taken")
+    later = (
+        open_pairs.filter((F.col("lo") <= cut) & (F.col("hi") > cut))
+        .join(inside.select(F.col("pos").alias("lo")), "lo", "left_anti")
+        .select(F.col("hi").alias("pos")).distinct()
+    )
+    return store(inside.unionByName(later), "taken")
 
-    Long chains (bursts where every picture resembles the next) settle one link
-    per round; this ends them once few pairs are left.
-    """
+
+def _settle(block: DataFrame) -> DataFrame:
+    """Sequential rule on at most ``block_pairs`` pairs, checked by the caller."""
 
     def settle(frame: pd.DataFrame) -> pd.DataFrame:
         later: dict[int, list[int]] = {}
@@ -197,7 +228,7 @@ def _settle_tail(open_pairs: DataFrame) -> DataFrame:
         return pd.DataFrame({"pos": sorted(gone)}, dtype="int64")
 
     return (
-        open_pairs.withColumn("all", F.lit(0))
+        block.withColumn("all", F.lit(0))
         .groupBy("all")
         .applyInPandas(lambda frame: settle(frame[["lo", "hi"]]), "pos long")
     )

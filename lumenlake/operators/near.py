@@ -11,7 +11,8 @@ which the join condition checks, so no ``distinct`` over pairs is needed.
 
 A band value shared by very many hashes (dark or bright picture areas) would
 make one huge bucket.  Such a bucket is cut again by a second band: the pair
-must also agree within ``t div (m - 1)`` bits on one of the other bands.
+must also agree within ``t div (m - 1)`` bits on one of the other bands.  What is
+still too large then is split: each part of the index meets a copy of the probe.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ from dataclasses import dataclass
 from itertools import combinations
 from math import comb
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenlake.scratch import store, store_counted
+
 # Hashes under one band value from which the bucket is cut by a second band.
 HOT_BUCKET = 20_000
 
@@ -36,9 +39,12 @@ _TESTS_PER_TASK = 100_000_000
 _FEW_TESTS = 1_000_000
 _MOST_TASKS = 100_000
 
-# Flips listed per band at most; wider balls are not worth listing.
+# Flips listed per band at most, first or second; wider balls are not worth listing.
 _MAX_FLIPS = 5_000
 
+# Share of entries that a cost estimate takes to be under hot band values.
+_HOT_SHARE = 0.001
+
 # Bits of a band value (64 bits in 3 bands or more) and of a band code.
 _VALUE_BITS = 22
 _CODE_BITS = 28
@@ -103,9 +109,10 @@ def choose_bands(n_index: int, n_probe: int, t: int) -> Bands:
     for m in range(3, 33):
         bands = Bands(m, t)
         balls = [_ball(w, bands.radius) for w in bands.widths]
-        if max(balls) > _MAX_FLIPS:
+        inner = [_ball(w, bands.inner_radius) for w in bands.widths]
+        if max(balls + inner) > _MAX_FLIPS:
             continue
-        rows = n_index * m + n_probe * sum(balls)
+        rows = n_index * m + n_probe * sum(balls) * (1 + _HOT_SHARE * sum(inner))
         share = sum(b / 2.0 ** w for b, w in zip(balls, bands.widths))
         tests = float(n_index) * n_probe * share
         cost = _ROW_COST * rows + tests
@@ -114,8 +121,12 @@ def choose_bands(n_index: int, n_probe: int, t: int) -> Bands:
     return best or Bands(32, t)
 
 
-def _masks(width: int, radius: int) -> str:
-    return "array(" + ",".join(f"{v}L" for v in flip_masks(width, radius)) + ")"
+def _mask_table(spark: SparkSession, bands: Bands, radius: int, name: str) -> DataFrame:
+    """``name, masks``: what to flip on each band, and nothing on band -1.  At most
+    ``_MAX_FLIPS`` values per band if the bands come from :func:`choose_bands`."""
+    by_width = {w: flip_masks(w, radius) for w in set(bands.widths)}
+    rows = [(b, by_width[w]) for b, w in enumerate(bands.widths)]
+    return F.broadcast(spark.createDataFrame([*rows, (-1, [0])], f"{name} int, masks array<bigint>"))
 
 
 def _first_close(bands: Bands, radius: int, skip: str | None = None) -> str:
@@ -131,61 +142,60 @@ def _first_close(bands: Bands, radius: int, skip: str | None = None) -> str:
 
 def _band_rows(df: DataFrame, bands: Bands, flips: bool) -> DataFrame:
     """One row per hash and band, or per hash, band and flipped value."""
-    if not flips or bands.radius == 0:
-        listed = ",".join(
-            f"struct({b} AS band, {bands.code(b, bands.value('h', b))} AS code)"
-            for b in range(bands.m)
-        )
-        return df.selectExpr("h", "pos", f"inline(array({listed}))")
-    parts = []
-    for width in sorted(set(bands.widths)):
-        own = [b for b in range(bands.m) if bands.widths[b] == width]
-        listed = ",".join(
-            f"struct({b} AS band, {bands.value('h', b)} AS value)" for b in own
-        )
-        parts.append(
-            df.selectExpr("h", "pos", f"inline(array({listed}))")
-            .selectExpr("*", f"explode({_masks(width, bands.radius)}) AS mask")
-            .selectExpr(
-                "h", "pos", "band",
-                f"(value ^ mask) + shiftleft(CAST(band AS BIGINT), {_VALUE_BITS}) + 1 AS code",
-            )
-        )
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def _second_rows(bands: Bands, band2: int, radius: int) -> str:
-    """Entries of the second band for one row; none if it is the first band."""
-    value = bands.value("h", band2)
-    masks = _masks(bands.widths[band2], radius)
-    code = bands.code(band2, f"({value} ^ mask)")
-    return (
-        f"CASE WHEN band <> {band2} "
-        f"THEN transform({masks}, mask -> struct({band2} AS band2, {code} AS code2)) "
-        f"ELSE CAST(array() AS array<struct<band2:int,code2:bigint>>) END"
+    listed = ",".join(
+        f"struct({b} AS band, {bands.value('h', b)} AS value)" for b in range(bands.m)
+    )
+    rows = df.selectExpr("h", "pos", f"inline(array({listed}))")
+    value = "value"
+    if flips and bands.radius > 0:
+        masks = _mask_table(df.sparkSession, bands, bands.radius, "band")
+        rows = rows.join(masks, "band").selectExpr("h", "pos", "band", "value", "explode(masks) AS mask")
+        value = "(value ^ mask)"
+    return rows.selectExpr(
+        "h", "pos", "band", f"{value} + shiftleft(CAST(band AS BIGINT), {_VALUE_BITS}) + 1 AS code"
     )
 
 
 def _cut_hot(rows: DataFrame, hot: DataFrame, bands: Bands, flips: bool) -> DataFrame:
     """Replace rows under a hot band value by rows under value pairs."""
+    second = ",".join(
+        f"struct({b} AS band2, {bands.value('h', b)} AS value2)" for b in range(bands.m)
+    )
+    cut = rows.join(hot, "code", "left").selectExpr(
+        "h", "pos", "band", "code",
+        f"inline(CASE WHEN hot THEN filter(array({second}), x -> x.band2 <> band) "
+        "ELSE array(struct(-1 AS band2, 0L AS value2)) END)",
+    )
     radius = bands.inner_radius if flips else 0
-    second = ",".join(_second_rows(bands, b, radius) for b in range(bands.m))
-    return (
-        rows.join(F.broadcast(hot), "code", "left")
-        .selectExpr(
-            "h", "pos", "band", "code",
-            f"inline(CASE WHEN hot THEN flatten(array({second})) "
-            "ELSE array(struct(-1 AS band2, 0L AS code2)) END)",
-        )
-        .selectExpr(
-            "h", "pos", "band", "band2", f"shiftleft(code, {_CODE_BITS}) + code2 AS key"
-        )
+    masks = _mask_table(rows.sparkSession, bands, radius, "band2")
+    return cut.join(masks, "band2").selectExpr(
+        "h", "pos", "band", "band2", "code", "value2", "explode(masks) AS mask"
+    ).selectExpr(
+        "h", "pos", "band", "band2",
+        f"shiftleft(code, {_CODE_BITS}) + CASE WHEN band2 < 0 THEN 0L ELSE "
+        f"(value2 ^ mask) + shiftleft(CAST(band2 AS BIGINT), {_VALUE_BITS}) + 1 END AS key",
     )
 
 
+def _split_crowded(
+    index: DataFrame, probe: DataFrame, hot_bucket: int
+) -> tuple[DataFrame, DataFrame]:
+    """Add ``part``: index rows of a key with too many are dealt to parts, probe rows
+    are copied to each of them, so every pair still meets once."""
+    crowded, n = store_counted(
+        index.groupBy("key").count().filter(F.col("count") > hot_bucket)
+        .select("key", F.ceil(F.col("count") / hot_bucket).cast("long").alias("parts")),
+        "crowded",
+    )
+    zero = F.lit(0).cast("long")
+    if not n:
+        return index.withColumn("part", zero), probe.withColumn("part", zero)
+    one = F.coalesce("parts", F.lit(1).cast("long"))
+    dealt = index.join(crowded, "key", "left").withColumn("part", F.pmod(F.xxhash64("pos"), one))
+    copied = probe.join(crowded, "key", "left").withColumn("part", F.explode(F.sequence(zero, one - 1)))
+    return dealt.drop("parts"), copied.drop("parts")
+
+
 def near_pairs(
     index: DataFrame,
     probe: DataFrame,
@@ -203,33 +213,41 @@ def near_pairs(
     """
     left = _band_rows(index, bands, flips=False)
     right = _band_rows(probe, bands, flips=True)
-    if hot_bucket is None:
-        keyed = [
-            side.select("h", "pos", "band", F.lit(-1).alias("band2"), F.col("code").alias("key"))
-            for side in (left, right)
-        ]
+    n_hot = 0
+    if hot_bucket is not None:
+        hot, n_hot = store_counted(
+            left.groupBy("code").count().filter(F.col("count") > hot_bucket)
+            .select("code", F.lit(True).alias("hot")),
+            "hot",
+        )
+    if n_hot:
+        left = store(_cut_hot(left, hot, bands, False), "index")
+        left, right = _split_crowded(left, _cut_hot(right, hot, bands, True), hot_bucket)
     else:
-        # At most m * hashes / hot_bucket values can be hot, and never more than
-        # the bands have values; either way a small table.
-        hot = left.groupBy("code").count().filter(F.col("count") > hot_bucket) \
-            .select("code", F.lit(True).alias("hot"))
-        keyed = [_cut_hot(left, hot, bands, False), _cut_hot(right, hot, bands, True)]
-    a = keyed[0].select(
-        F.col("key").alias("key_a"), F.col("h").alias("h_a"), F.col("pos").alias("pos_a"),
-        "band", "band2",
+        left, right = (
+            side.select(
+                "h", "pos", "band", F.lit(-1).alias("band2"), F.col("code").alias("key"),
+                F.lit(0).cast("long").alias("part"),
+            )
+            for side in (left, right)
+        )
+    a = left.select(
+        F.col("key").alias("key_a"), F.col("part").alias("part_a"), F.col("h").alias("h_a"),
+        F.col("pos").alias("pos_a"), "band", "band2",
     )
-    b = keyed[1].select(
-        F.col("key").alias("key_b"), F.col("h").alias("h_b"), F.col("pos").alias("pos_b")
+    b = right.select(
+        F.col("key").alias("key_b"), F.col("part").alias("part_b"), F.col("h").alias("h_b"),
+        F.col("pos").alias("pos_b"),
     )
     if bands.tests > _FEW_TESTS:
         cores = index.sparkSession.sparkContext.defaultParallelism
         tasks = min(max(cores, int(bands.tests / _TESTS_PER_TASK)), _MOST_TASKS)
-        a, b = a.repartition(tasks, "key_a"), b.repartition(tasks, "key_b")
-    on = f"key_a = key_b AND bit_count(h_a ^ h_b) <= {t}"
+        a, b = a.repartition(tasks, "key_a", "part_a"), b.repartition(tasks, "key_b", "part_b")
+    on = f"key_a = key_b AND part_a = part_b AND bit_count(h_a ^ h_b) <= {t}"
     if same_input:
         on += " AND pos_a < pos_b"
     first = f"({_first_close(bands, bands.radius)}) = band"
-    if hot_bucket is not None:
+    if n_hot:
         first += f" AND (band2 = -1 OR ({_first_close(bands, bands.inner_radius, 'band')}) = band2)"
     lo, hi = ("pos_a", "pos_b") if same_input else ("pos_b", "pos_a")
     # The test for the first band is long, and few candidates get that far.  The

@@ -4,8 +4,9 @@ import random
 
 import pytest
 
+import lumenlake.operators.leaders as module
 from lumenlake.operators.leaders import leader_clusters
-from lumenlake.operators.near import Bands, choose_bands, flip_masks, near_pairs
+from lumenlake.operators.near import Bands, _ball, choose_bands, flip_masks, near_pairs
 from lumenlake.scratch import store
 from tests.models import leaders, signed
 
@@ -56,6 +57,22 @@ def test_chain_is_not_one_cluster(spark, patient_rounds):
     assert {r.pos: r.leader for r in got.collect()} == expected
 
 
+@pytest.mark.parametrize("block_pairs", [1, 7, 40])
+def test_long_chain_in_blocks(spark, block_pairs, monkeypatch):
+    h, rows = 0, []
+    for i in range(90):
+        rows.append((signed(h), i))
+        for b in range(3):
+            h ^= 1 << ((i * 3 + b) % 61)
+    rounds = []
+    settle = module._settle_block
+    monkeypatch.setattr(module, "_settle_block", lambda p, cut: rounds.append(cut) or settle(p, cut))
+    got = leader_clusters(table(spark, rows), 4, patient_rounds=0, block_pairs=block_pairs)
+    assert {r.pos: r.leader for r in got.collect()} == leaders(rows, 4)
+    if block_pairs == 40:
+        assert 2 <= len(rounds) <= 10
+
+
 def test_three_rows_not_transitive(spark):
     rows = [(0, 1), (0xFF, 2), (0xFFFF, 3)]
     got = leader_clusters(table(spark, rows), 10).collect()
@@ -80,7 +97,7 @@ def brute(rows, t):
 
 @pytest.mark.parametrize("m,t,hot,tests", [
     (4, 10, None, 0), (4, 10, 15, 0), (3, 7, 30, 0), (11, 10, None, 0), (11, 10, 20, 0),
-    (7, 18, 25, 0), (4, 10, 15, 5e6),
+    (7, 18, 25, 0), (4, 10, 15, 5e6), (4, 10, 2, 0), (5, 18, 3, 0), (3, 10, 25, 0),
 ])
 def test_pairs_once_and_complete(spark, m, t, hot, tests):
     rows = hashes(m, 160, 4, 11)
@@ -106,3 +123,7 @@ def test_band_plans():
         assert sum(Bands(m, 10).widths) == 64
     assert len(flip_masks(16, 2)) == 1 + 16 + 120
     assert choose_bands(1000, 1000, 10).m > choose_bands(10 ** 8, 10 ** 8, 10).m
+    for n in (10 ** 7, 10 ** 8, 10 ** 9):
+        for t in (4, 10, 18):
+            bands = choose_bands(n, n, t)
+            assert max(_ball(w, bands.inner_radius) for w in bands.widths) <= 5000
