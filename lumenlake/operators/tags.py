@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.constants import TAG_DATE, TAG_HEIGHT, TAG_MODEL, TAG_WIDTH, TAGS
+from lumenlake.constants import TAG_DATE, TAG_HEIGHT, TAG_MODEL, TAG_WIDTH
 from lumenlake.functions.dates import parse_capture_time
 
 
 def project_tags(tags: DataFrame) -> DataFrame:
     """Tag rows ``(path, tag, value)`` to one row per file (NUL2).
 
-    A file without any readable tag has no row.  Values are turned into numbers
-    and times before grouping, which leaves little text to carry.
+    Every file with a tag of whatever name has a row, if of nulls: its metadata
+    could be read.  Values are turned into numbers and times before grouping,
+    which leaves little text to carry.
     """
     def of(tag: str, value):
         return F.when(F.col("tag") == tag, value)
 
     value = F.col("value")
     return (
-        tags.filter(F.col("tag").isin(TAGS))
-        .groupBy("path")
+        tags.groupBy("path")
         .agg(
             F.max(of(TAG_DATE, parse_capture_time(value))).alias("date_taken"),
             F.max(of(TAG_WIDTH, value.try_cast("long"))).alias("width"),
@@ -35,8 +35,8 @@ def with_metadata(files: DataFrame, tags: DataFrame, decoded: DataFrame | None =
     """Fill capture date, size and camera from tags (NUL1).
 
     ``decoded`` is ``(path, width, height)`` from reading the picture itself.  It
-    fills in a missing width or height, each on its own, but only for files that
-    have tags; files without any keep nulls.
+    fills in a missing width or height, each on its own, but only for files whose
+    metadata could be read (some tag, of any name); others keep nulls.
     """
     known = project_tags(tags)
     if decoded is not None:

@@ -8,35 +8,38 @@ of a step once and for all.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-_own_folder: dict[str, str] = {}
+_roots: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder for this application's intermediate tables.
+    """Folder for this application's intermediate tables, removed when its JVM ends.
 
-    The place is the session's ``spark.checkpoint.dir``.  Only a local-mode
-    session without that setting gets a temporary folder, removed on exit; on a
-    cluster it would not be visible to other machines, so there the setting is
-    required.
+    The place is the session's ``spark.checkpoint.dir``, else the folder set with
+    ``SparkContext.setCheckpointDir``, else one beside the warehouse.  On a cluster
+    all of these are shared by its machines.
     """
-    app = spark.sparkContext.applicationId
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/lumenlake-{app}"
-    if app not in _own_folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        _own_folder[app] = tempfile.mkdtemp(prefix="lumenlake-")
-        atexit.register(shutil.rmtree, _own_folder[app], ignore_errors=True)
-    return _own_folder[app]
+    shared = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getCheckpointDir()
+        or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-scratch"
+    )
+    root = f"{shared.rstrip('/')}/lumenlake-{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        system, folder = _at(spark, root)
+        system.mkdirs(folder)
+        system.deleteOnExit(folder)
+        _roots.add(root)
+    return root
+
+
+def _at(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -48,19 +51,31 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.scratch_path = path
+    return stored
+
+
+def store_observed(df: DataFrame, name: str, **facts: Column) -> tuple[DataFrame, dict]:
+    """:func:`store`, with aggregates taken while writing."""
+    seen = Observation()
+    stored = store(df.observe(seen, *[value.alias(k) for k, value in facts.items()]), name)
+    return stored, seen.get
 
 
 def store_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """:func:`store`, with the number of rows counted while writing."""
-    seen = Observation()
-    stored = store(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
-    return stored, seen.get["n"]
+    stored, seen = store_observed(df, name, n=F.count(F.lit(1)))
+    return stored, seen["n"]
+
+
+def drop_table(stored: DataFrame) -> None:
+    """Delete a table of :func:`store` that no later step reads."""
+    system, folder = _at(stored.sparkSession, stored.scratch_path)
+    system.delete(folder, True)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Remove this application's intermediate tables once results are saved."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    folder.getFileSystem(conf).delete(folder, True)
+    system, folder = _at(spark, scratch_root(spark))
+    system.delete(folder, True)

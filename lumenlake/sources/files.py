@@ -1,9 +1,19 @@
-"""Catalogue of the files below some folders."""
+"""Catalogue of the files below some folders.
+
+Folders are listed in tasks, one directory level per round: a table of directories
+gives a table of their files and subdirectories, which is written, and so on until
+no directory is left.  No file name passes through the driver.  Contents are read
+in tasks too, in blocks, and only of files below the digest limit.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import os
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,70 +24,119 @@ from lumenlake.functions.text import extension, file_name
 from lumenlake.operators.numbering import with_row_number
 from lumenlake.operators.tags import with_metadata
 from lumenlake.schema import with_defaults
-from lumenlake.scratch import store
+from lumenlake.scratch import store, store_observed
 
 MEDIA_EXTENSIONS = SCAN_IMAGE + SCAN_VIDEO
+MOST_TASKS = 100_000
+BLOCK = 1 << 20
+BYTES_PER_TASK = 128 << 20
 
-
-def _plain(path: Column) -> Column:
-    """Local paths without their scheme; others as they are."""
-    return F.regexp_replace(path, "^file:/+", "/")
+_ENTRY = "root_no int, root string, inner string, is_dir boolean, length long, trail array<string>"
 
 
-def _folder(spark: SparkSession, root: str) -> DataFrame:
-    # Files that vanish or cannot be read while hashing come back without
-    # digests (see build_catalog) instead of failing the job.
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("ignoreMissingFiles", "true")
-        .option("ignoreCorruptFiles", "true")
-        .load(root)
-    )
+def _place(root: str) -> tuple[str, str]:
+    """What comes before a path inside the root's file system, and the path of the root."""
+    if root.startswith("file:"):
+        root = "/" + root[len("file:"):].lstrip("/")
+    if "://" not in root:
+        return "", os.path.abspath(root)
+    inner = fs.FileSystem.from_uri(root)[1]
+    scheme, rest = root.split("://", 1)
+    return f"{scheme}://{rest.split('/', 1)[0]}", inner if inner.startswith("/") else f"/{inner}"
 
 
-def _media(found: DataFrame, root_no: int, extensions: Sequence[str]) -> DataFrame:
-    path = _plain(F.col("path"))
-    name = file_name(path)
-    return (
-        found.filter(extension(name).isin(list(extensions)))
-        .withColumn("root_no", F.lit(root_no))
-        .withColumn("path", path)
-    )
+def _system(prefix: str) -> fs.FileSystem:
+    return fs.FileSystem.from_uri(f"{prefix}/")[0] if prefix else fs.LocalFileSystem()
 
 
-def _indexed_names(found: DataFrame) -> DataFrame:
-    """``(path)`` of all files in a folder's index.
+def _children(system: fs.FileSystem, local: bool, inner: str, trail: list[str]) -> Iterator[tuple]:
+    """``inner, is_dir, length, trail`` of a directory's entries.
 
-    The index is an object of Spark's driver; the names go from there straight
-    into a table, without passing through Python one by one.
+    Links are followed unless they lead to a directory on the way to themselves.
+    What cannot be read gives nothing.
     """
-    spark = found.sparkSession
-    scala = spark._jvm.scala
-    names = scala.jdk.javaapi.CollectionConverters.asJava(
-        scala.collection.immutable.ArraySeq.unsafeWrapArray(found._jdf.inputFiles())
-    )
-    encoder = spark._jvm.org.apache.spark.sql.Encoders.STRING()
-    urls = DataFrame(spark._jsparkSession.createDataset(names, encoder).toDF(), spark)
-    return urls.select(F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B"))).alias("path"))
+    try:
+        entries = system.get_file_info(fs.FileSelector(inner))
+    except OSError:
+        return
+    for entry in entries:
+        if entry.type == fs.FileType.File:
+            yield entry.path, False, entry.size, []
+        elif entry.type == fs.FileType.Directory:
+            real = os.path.realpath(entry.path) if local else entry.path
+            if real not in trail:
+                yield entry.path, True, 0, [*trail, real]
+
+
+def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    systems: dict[str, fs.FileSystem] = {}
+    for batch in batches:
+        rows = []
+        for row in batch.to_pylist():
+            prefix = row["root"]
+            try:
+                system = systems.setdefault(prefix, None) or _system(prefix)
+            except OSError:
+                continue
+            systems[prefix] = system
+            for inner, is_dir, length, trail in _children(system, not prefix, row["inner"], row["trail"]):
+                rows.append({
+                    "root_no": row["root_no"], "root": prefix, "inner": inner, "is_dir": is_dir,
+                    "length": length, "trail": trail,
+                })
+        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW_ENTRY)
+
+
+_ARROW_ENTRY = pa.schema([
+    ("root_no", pa.int32()), ("root", pa.string()), ("inner", pa.string()), ("is_dir", pa.bool_()),
+    ("length", pa.int64()), ("trail", pa.list_(pa.string())),
+])
+
+
+def _roots(roots: Sequence[str]) -> list[tuple]:
+    """The roots as entries; one that is no file or cannot be read is left to the listing."""
+    out = []
+    for number, root in enumerate(roots):
+        prefix, inner = _place(root)
+        try:
+            info = _system(prefix).get_file_info(inner)
+        except OSError:
+            continue
+        if info.type == fs.FileType.File:
+            out.append((number, prefix, inner, False, info.size, []))
+        elif info.type == fs.FileType.Directory:
+            out.append((number, prefix, inner, True, 0, [inner if prefix else os.path.realpath(inner)]))
+    return out
 
 
-def _listing(
-    found: DataFrame, root_no: int, extensions: Sequence[str], with_empty: bool
+def scan_media(
+    spark: SparkSession,
+    roots: Sequence[str],
+    extensions: Sequence[str] = MEDIA_EXTENSIONS,
 ) -> DataFrame:
-    """``(root_no, path, length)`` of a folder's media files.
+    """Media files below the roots as ``(root_no, path, length)`` (SRC1, FIL1).
 
-    Spark plans no read for files of zero bytes, so they yield no rows.  Their
-    names are in the folder's file index, from which they are taken.
+    File contents are not read.  A file below two roots is listed for each.
+    Names may start with any character, and files may be empty.  Roots or folders
+    that are missing or unreadable give no rows.
     """
-    rows = _media(found, root_no, extensions).select("root_no", "path", "length")
-    if not with_empty:
-        return rows
-    indexed = _media(_indexed_names(found), root_no, extensions)
-    empty = indexed.join(rows.select("path"), "path", "left_anti").select(
-        "root_no", "path", F.lit(0).cast("long").alias("length")
+    if not roots:
+        raise ValueError("no folders given")
+    level = spark.createDataFrame(_roots(roots), _ENTRY)
+    levels, n = [level], level.filter("is_dir").count()
+    while n:
+        # A directory is a unit of work though its row is a few bytes.
+        dealt = level.filter("is_dir").repartition(min(n, MOST_TASKS), "root_no", "inner")
+        level, seen = store_observed(
+            dealt.mapInArrow(_list, _ENTRY), "listing", n_dirs=F.count_if("is_dir")
+        )
+        levels.append(level)
+        n = seen["n_dirs"]
+    found = _union([x.filter("NOT is_dir") for x in levels])
+    path = F.concat("root", "inner")
+    return found.filter(extension(file_name(path)).isin(list(extensions))).select(
+        "root_no", path.alias("path"), "length"
     )
-    return rows.unionByName(empty)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -87,22 +146,43 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def scan_media(
-    spark: SparkSession,
-    roots: Sequence[str],
-    extensions: Sequence[str] = MEDIA_EXTENSIONS,
-    with_empty: bool = True,
-) -> DataFrame:
-    """Media files below the roots as ``(root_no, path, length)`` (SRC1, FIL1).
+def digests(files: DataFrame, total_bytes: int) -> DataFrame:
+    """``path, md5_hash, sha256_hash`` of ``files (path)``; nulls for unreadable ones."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        systems: dict[str, fs.FileSystem] = {}
+        for batch in batches:
+            paths = batch.column(0).to_pylist()
+            found = [_digest(systems, path) for path in paths]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(list(x), pa.string()) for x in zip(*found))]
+                if paths else [batch.column(0), pa.array([], pa.string()), pa.array([], pa.string())],
+                ["path", "md5_hash", "sha256_hash"],
+            )
+
+    tasks = min(max(total_bytes // BYTES_PER_TASK, files.sparkSession.sparkContext.defaultParallelism), MOST_TASKS)
+    return files.select("path").repartition(int(tasks), "path").mapInArrow(
+        read, "path string, md5_hash string, sha256_hash string"
+    )
 
-    File contents are not read.  A file below two roots is listed for each.
-    """
-    if not roots:
-        raise ValueError("no folders given")
-    return _union([
-        _listing(_folder(spark, root), i, extensions, with_empty)
-        for i, root in enumerate(roots)
-    ])
+
+def _digest(systems: dict[str, fs.FileSystem], path: str) -> tuple[str | None, str | None]:
+    prefix, inner = "", path
+    if "://" in path:
+        scheme, rest = path.split("://", 1)
+        host, _, inner = rest.partition("/")
+        prefix, inner = f"{scheme}://{host}", f"/{inner}"
+    md5, sha = hashlib.md5(), hashlib.sha256()
+    try:
+        if prefix not in systems:
+            systems[prefix] = _system(prefix)
+        with systems[prefix].open_input_stream(inner, compression=None) as file:
+            while block := file.read(BLOCK):
+                md5.update(block)
+                sha.update(block)
+    except OSError:
+        return None, None
+    return md5.hexdigest(), sha.hexdigest()
 
 
 def _row_columns() -> list[Column]:
@@ -125,35 +205,22 @@ def build_catalog(
     hash_limit: int = HASH_LIMIT,
     meta_limit: int = META_LIMIT,
     extensions: Sequence[str] = MEDIA_EXTENSIONS,
-    with_empty: bool = True,
 ) -> DataFrame:
     """Full catalogue of the media files below the roots (SRC3, SRC4).
 
-    Contents are read once, and only of files under ``hash_limit``: the size
-    test sits on the file listing, so larger files are never opened.  The
-    digests are then joined to the listing, which keeps every file: a larger or
-    unreadable one just has no digests.  ``pos`` follows root and path order.
+    Contents are read once per path, however many roots list it, and only of files
+    under ``hash_limit``: the size test sits on the listing, so larger files are
+    never opened.  The digests are then joined to the listing, which keeps every
+    file: a larger or unreadable one just has no digests.  ``pos`` follows root and
+    path order.
     """
-    if not roots:
-        raise ValueError("no folders given")
-    folders = [_folder(spark, root) for root in roots]
-    listed = _union([
-        _listing(found, i, extensions, with_empty) for i, found in enumerate(folders)
-    ])
-    hashed = store(_union([
-        _media(found.filter(F.col("length") < hash_limit), i, extensions).select(
-            "root_no", "path",
-            md5_hex(F.col("content")).alias("md5_hash"),
-            sha256_hex(F.col("content")).alias("sha256_hash"),
-        )
-        for i, found in enumerate(folders)
-    ]), "digests")
+    listed = scan_media(spark, roots, extensions)
+    small = listed.filter(F.col("length") < hash_limit).groupBy("path").agg(F.max("length").alias("length"))
+    small, seen = store_observed(small, "to-hash", n_bytes=F.sum("length"))
+    hashed = store(digests(small, seen["n_bytes"] or 0), "digests")
     placed = with_row_number(listed, [], ["root_no", "path"], "place")
-    nothing = (F.col("length") == 0) & (F.col("length") < hash_limit)
-    rows = placed.join(hashed, ["root_no", "path"], "left").select(
-        (F.col("place") - 1).alias("pos"), *_row_columns(),
-        F.coalesce("md5_hash", F.when(nothing, md5_hex(F.lit("")))).alias("md5_hash"),
-        F.coalesce("sha256_hash", F.when(nothing, sha256_hex(F.lit("")))).alias("sha256_hash"),
+    rows = placed.join(hashed, "path", "left").select(
+        (F.col("place") - 1).alias("pos"), *_row_columns(), "md5_hash", "sha256_hash"
     )
     catalog = with_defaults(rows)
     if tags is None:

@@ -94,12 +94,17 @@ def missing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tag_rows(files: DataFrame) -> DataFrame:
-    """Tag rows ``(path, tag, value)`` of the files whose metadata is read."""
+    """Tag rows ``(path, tag, value)`` of the files whose metadata is read.
+
+    Some also have a tag that the catalogue does not use, and some only that one.
+    """
+    usual, other = F.pmod("pos", F.lit(11)) != 0, F.pmod("pos", F.lit(3)) == 0
     values = F.array(
-        _tag(TAG_DATE, F.date_format("date_taken", "yyyy:MM:dd HH:mm:ss")),
-        _tag(TAG_WIDTH, F.col("width").cast("string")),
-        _tag(TAG_HEIGHT, F.col("height").cast("string")),
-        _tag(TAG_MODEL, F.col("camera_model")),
+        _tag(TAG_DATE, F.when(usual, F.date_format("date_taken", "yyyy:MM:dd HH:mm:ss"))),
+        _tag(TAG_WIDTH, F.when(usual, F.col("width").cast("string"))),
+        _tag(TAG_HEIGHT, F.when(usual, F.col("height").cast("string"))),
+        _tag(TAG_MODEL, F.when(usual, F.col("camera_model"))),
+        _tag("Software", F.when(~usual | other, F.lit("1.0"))),
     )
     return (
         metadata_candidates(files).select("path", F.inline(values))

@@ -54,9 +54,27 @@ def test_scan_of_overlapping_roots_lists_twice(spark, folder):
         src.build_catalog(spark, [])
 
 
-def test_scan_does_not_read_contents(spark, folder):
-    plan = src.scan_media(spark, [str(folder)])._jdf.queryExecution().toString()
-    assert "content" not in plan.split("== Physical Plan ==")[1]
+def test_scan_keeps_all_names_and_bears_bad_roots(spark, tmp_path):
+    for name in ("a.jpg", "_DSC0001.jpg", ".x.jpg", "_roll/b.jpg", ".hidden/c.jpg", "ok/d.jpg", "ok/empty.jpg"):
+        file = tmp_path / "lib" / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_bytes(b"" if "empty" in name else b"x")
+    (tmp_path / "lib/ok/up").symlink_to(tmp_path / "lib")
+    (tmp_path / "lib/ok/gone.jpg").symlink_to(tmp_path / "nowhere.jpg")
+    (tmp_path / "lib/link.jpg").symlink_to(tmp_path / "lib/a.jpg")
+    (tmp_path / "lib/again").symlink_to(tmp_path / "lib/_roll")
+    roots = [str(tmp_path / "missing"), str(tmp_path / "lib"), f"file://{tmp_path}/lib/a.jpg"]
+    rows = src.scan_media(spark, roots).collect()
+    lib = str(tmp_path / "lib") + "/"
+    assert sorted((r.root_no, r.path.removeprefix(lib), r.length) for r in rows) == [
+        (1, ".hidden/c.jpg", 1), (1, ".x.jpg", 1), (1, "_DSC0001.jpg", 1), (1, "_roll/b.jpg", 1), (1, "a.jpg", 1),
+        (1, "again/b.jpg", 1), (1, "link.jpg", 1), (1, "ok/d.jpg", 1), (1, "ok/empty.jpg", 0), (2, "a.jpg", 1)]
+    assert src.scan_media(spark, [str(tmp_path / "missing")]).count() == 0
+
+
+def test_files_that_vanish_have_no_digests(spark, tmp_path):
+    rows = spark.createDataFrame([(str(tmp_path / "gone.jpg"),)], "path string")
+    assert [tuple(r)[1:] for r in src.digests(rows, 0).collect()] == [(None, None)]
 
 
 def test_catalog(spark, folder):
@@ -120,8 +138,10 @@ def test_metadata_fallback(spark):
         [(0, "p1"), (1, "p2"), (2, "p3")], "pos long, path string"))
     rows = with_metadata(files, tags, decoded).orderBy("pos").collect()
     assert [(r.width, r.height, r.camera_model) for r in rows] == [
-        (640, 2, "Cam"), (None, None, None), (5, 6, None)]
-    assert project_tags(tags).count() == 2
+        (640, 2, "Cam"), (3, 4, None), (5, 6, None)]
+    assert project_tags(tags).count() == 3
+    untagged = tags.filter("path <> 'p2'")
+    assert with_metadata(files, untagged, decoded).filter("path = 'p2'").first().width is None
 
 
 def test_json_form(spark):
