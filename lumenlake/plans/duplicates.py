@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.constants import EXACT, NAME_MATCH, SIMILAR, SIMILARITY_THRESHOLD
@@ -25,28 +25,59 @@ GROUP_COLUMNS = [
     "group_id", "duplicate_type", "hash", "n_files", "wasted_space", "removable_count",
 ]
 MEMBER_COLUMNS = [
-    "group_id", "duplicate_type", "n_files", "max_size",
-    "pos", "id", "file_name", "file_size", "date_taken",
+    "group_id", "duplicate_type", "n_files", "max_size", "best_pos",
+    "pos", "id", "path", "file_name", "file_size", "date_taken",
 ]
+# The file to keep in a group, as a mergeable aggregate.
+BEST_COLUMNS = ["first", "latest"]
 
 
 @dataclass(frozen=True)
 class Duplicates:
-    """Result of :func:`find_duplicates`."""
+    """Result of :func:`find_duplicates`.  Members are joined up when asked for."""
 
     groups: DataFrame
-    members: DataFrame
+    best: DataFrame
+    """``group_id, duplicate_type, n_files, best_pos``: the file to keep."""
     totals: DataFrame
+    files: DataFrame
+    images: SimilarImages
+
+    @property
+    def members(self) -> DataFrame:
+        """Files of all groups."""
+        return self.deletable.unionByName(name_members(self.files))
+
+    @property
+    def deletable(self) -> DataFrame:
+        """Files of the groups from which files may be deleted: not of same-name groups."""
+        return exact_members(self.files).unionByName(similar_members(self.files, self.images))
 
 
 def _sizes() -> list:
+    size, back = F.col("file_size"), -F.col("pos")
     return [
         F.count("*").alias("n_files"),
-        F.sum("file_size").alias("total_size"),
-        F.max("file_size").alias("max_size"),
+        F.sum(size).alias("total_size"),
+        F.max(size).alias("max_size"),
+        # Of the files of the greatest size: the first, and the first of the latest date.
+        F.max(F.struct(size.alias("size"), back.alias("back"), F.col("date_taken").alias("day"))).alias("first"),
+        F.max(F.struct(size.alias("size"), F.col("date_taken").alias("day"), back.alias("back"))).alias("latest"),
     ]
 
 
+def best_pos() -> Column:
+    """The file to keep (WIN1).
+
+    The rule is a walk in input order: a larger file wins; at equal size a later
+    one wins only if both have a capture date and its date is later.  So among the
+    files of the greatest size: if the first has no date it stays, else the first
+    one with the latest date wins.
+    """
+    kept = F.when(F.col("first.day").isNull(), F.col("first.back")).otherwise(F.col("latest.back"))
+    return -kept
+
+
 def _described(
     grouped: DataFrame, kind: str, group_id, digest, removable, *more: str
 ) -> DataFrame:
@@ -59,6 +90,7 @@ def _described(
         (F.col("total_size") - F.col("max_size")).alias("wasted_space"),
         removable.cast("long").alias("removable_count"),
         "max_size",
+        best_pos().alias("best_pos"),
         "key",
         *more,
     )
@@ -138,6 +170,7 @@ def cluster_images(
             F.sum("n_files").alias("n_files"),
             F.sum("total_size").alias("total_size"),
             F.max("max_size").alias("max_size"),
+            *[F.max(c).alias(c) for c in BEST_COLUMNS],
             F.count("*").alias("n_hashes"),
         )
         .filter(F.col("n_files") > 1)
@@ -186,6 +219,11 @@ def similar_members(
     ).select(*MEMBER_COLUMNS)
 
 
+def best_of_groups(groups: DataFrame) -> DataFrame:
+    """``group_id, duplicate_type, n_files, best_pos`` of described groups."""
+    return groups.select("group_id", "duplicate_type", "n_files", "best_pos")
+
+
 def totals(groups: DataFrame) -> DataFrame:
     """One row: wasted bytes of exact and similar groups, group counts (AGG5, AGG6).
 
@@ -213,17 +251,9 @@ def find_duplicates(
 ) -> Duplicates:
     """The three kinds of groups with members and totals (DUP1, SET3)."""
     images = cluster_images(files, threshold, **options)
-    groups = (
-        exact_groups(files)
-        .unionByName(images.groups.select(*GROUP_COLUMNS))
-        .unionByName(name_groups(files))
-    )
-    members = (
-        exact_members(files)
-        .unionByName(similar_members(files, images))
-        .unionByName(name_members(files))
-    )
-    return Duplicates(groups, members, totals(groups))
+    parts = [g.select(*GROUP_COLUMNS, "best_pos") for g in (_exact(files), images.groups, _same_name(files))]
+    groups = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return Duplicates(groups.select(*GROUP_COLUMNS), best_of_groups(groups), totals(groups), files, images)
 
 
 def nested_groups(members: DataFrame, chunk: int = 1000) -> DataFrame:

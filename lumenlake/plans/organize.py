@@ -19,6 +19,7 @@ from lumenlake.functions.text import (
 )
 from lumenlake.operators.numbering import with_row_number
 from lumenlake.operators.skew import HOT_ROWS, attach
+from lumenlake.scratch import store_counted
 
 MOVED, COPIED, SKIPPED, FAILED = "moved", "copied", "skipped", "failed"
 
@@ -229,8 +230,11 @@ def conflict_summary(plan: DataFrame) -> DataFrame:
 
 
 def first_conflicts(plan: DataFrame, n: int = PREVIEW_CONFLICTS) -> DataFrame:
-    """The first few colliding files (LIM3)."""
-    return plan.filter("conflict").select("pos", "file_name").orderBy("pos").limit(n)
+    """The first few colliding files, and how many more there are (LIM3)."""
+    conflicts, total = store_counted(plan.filter("conflict").select("pos", "file_name"), "conflicts")
+    return conflicts.orderBy("pos").limit(n).withColumn(
+        "n_more", F.lit(max(total - n, 0)).cast("long")
+    )
 
 
 def folder_counts(plan: DataFrame) -> DataFrame:

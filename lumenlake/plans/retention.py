@@ -6,51 +6,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.constants import NAME_MATCH
-from lumenlake.operators.skew import HOT_ROWS, attach
 
 
 def keep_best(members: DataFrame) -> DataFrame:
     """The file to keep in every group, as ``(group_id, ..., best_pos)`` (WIN1).
 
-    The rule is a walk in input order: a larger file wins; at equal size a later
-    one wins only if both have a capture date and its date is later.  So among
-    the files of the greatest size: if the first has no date it stays, else the
-    first one with the latest date wins.  That is a plain aggregate, which needs
-    no group in one place.
+    It comes with the groups (``Duplicates.best``); this is the same from members.
     """
-    top = members.filter(F.col("file_size") == F.col("max_size"))
-    best = top.groupBy("group_id", "duplicate_type", "n_files").agg(
-        F.min("pos").alias("first_pos"),
-        F.min_by("date_taken", "pos").alias("first_date"),
-        F.max(F.struct(F.col("date_taken"), (-F.col("pos")).alias("back"))).alias("latest"),
-    )
-    return best.select(
-        "group_id", "duplicate_type", "n_files",
-        F.when(F.col("first_date").isNull(), F.col("first_pos"))
-        .otherwise(-F.col("latest.back")).alias("best_pos"),
+    return members.groupBy("group_id", "duplicate_type", "n_files").agg(
+        F.max("best_pos").alias("best_pos")
     )
 
 
-def mark_best(members: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def mark_best(members: DataFrame) -> DataFrame:
     """Members with ``is_best``."""
-    best = keep_best(members).select("group_id", "n_files", "best_pos")
-    return attach(
-        members.drop("n_files"), best, "group_id", "n_files", F.col("pos"), hot_rows=hot_rows
-    ).withColumn("is_best", F.col("pos") == F.col("best_pos")).drop("best_pos")
+    return members.withColumn("is_best", F.col("pos") == F.col("best_pos"))
 
 
-def redundant(members: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def redundant(members: DataFrame) -> DataFrame:
     """All but the best of every group (FIL7)."""
-    return mark_best(members, hot_rows).filter(~F.col("is_best"))
+    return mark_best(members).filter(~F.col("is_best"))
 
 
-def files_to_delete(members: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Distinct ``(pos, id)`` of redundant files; name matches are never deleted (PLN1).
+def files_to_delete(members: DataFrame) -> DataFrame:
+    """Distinct ``(pos, id, path, file_size)`` of redundant files; name matches are
+    never deleted (PLN1).
 
     A file redundant in two groups is listed once (set union, not toggling).
     """
     safe = members.filter(F.col("duplicate_type") != NAME_MATCH)
-    return redundant(safe, hot_rows).select("pos", "id").distinct()
+    return redundant(safe).groupBy("pos").agg(
+        *[F.first(c).alias(c) for c in ("id", "path", "file_size")]
+    )
 
 
 def deletion_plan(files: DataFrame, doomed: DataFrame) -> DataFrame:

@@ -35,10 +35,13 @@ media AS (
 MEDIA = _MEDIA.format(gate="9223372036854775807")
 GATED = _MEDIA.format(gate="20000")
 
+# Extension lists.
 _IMAGES = "('jpg','jpeg','png','gif','bmp','webp','heic','heif','tiff','tif')"
 _VIDEOS = "('mp4','mov','avi','mkv','wmv','flv','webm','m4v')"
-_SCAN_IMAGES = _IMAGES[:-1] + ",'raw','cr2','nef','arw','dng')"
-_SCAN_VIDEOS = _VIDEOS[:-1] + ",'3gp')"
+_SCAN_IMAGES = (
+    "('jpg','jpeg','png','gif','bmp','webp','heic','heif','tiff','tif','raw','cr2','nef','arw','dng')"
+)
+_SCAN_VIDEOS = "('mp4','mov','avi','mkv','wmv','flv','webm','m4v','3gp')"
 
 # The sequential rule itself: one row at a time, carrying the leaders so far.
 _WALK = """
@@ -242,10 +245,14 @@ _PARENT = "regexp_extract(destination, '^(.*)/[^/]*$', 1)"
 
 _TAGS = f"""
 tags AS (
-  SELECT path, tag, value FROM (
-    SELECT path, unnest(['DateTimeOriginal', 'PixelXDimension', 'PixelYDimension', 'Model']) AS tag,
-           unnest([strftime(date_taken, '%Y:%m:%d %H:%M:%S'), CAST(width AS VARCHAR),
-                   CAST(height AS VARCHAR), camera_model]) AS value
+  SELECT path, tag, value, file_size FROM (
+    SELECT path, file_size, pos,
+           unnest(['DateTimeOriginal', 'PixelXDimension', 'PixelYDimension', 'Model', 'Software']) AS tag,
+           unnest([CASE WHEN pos % 11 <> 0 THEN strftime(date_taken, '%Y:%m:%d %H:%M:%S') END,
+                   CASE WHEN pos % 11 <> 0 THEN CAST(width AS VARCHAR) END,
+                   CASE WHEN pos % 11 <> 0 THEN CAST(height AS VARCHAR) END,
+                   CASE WHEN pos % 11 <> 0 THEN camera_model END,
+                   CASE WHEN pos % 11 = 0 OR pos % 3 = 0 THEN '1.0' END]) AS value
     FROM media WHERE extension IN {_IMAGES} AND file_size < 10485760)
   WHERE value IS NOT NULL),
 known AS (
@@ -270,12 +277,25 @@ paced AS (
 timed AS (
   SELECT *, CASE WHEN pace > 0 THEN CAST(floor((total - current) / pace) AS BIGINT) END AS eta
   FROM paced),
+per_file AS (
+  SELECT scan_id, current + 2 AS step, 'Hashing' AS phase, current, total, current_file,
+         round(pace, 6) AS speed, eta AS eta_seconds FROM timed),
+runs AS (SELECT event_type AS scan_id, count(*) AS n FROM events GROUP BY 1),
+whole_run AS (
+  SELECT scan_id, 0 AS step, 'Initializing' AS phase, 0 AS current, 0 AS total, NULL AS current_file FROM runs
+  UNION ALL SELECT scan_id, 1, 'Scanning', 0, 1, NULL FROM runs
+  UNION ALL SELECT scan_id, 2, 'Scanning', 1, n, 'Found ' || n || ' files' FROM runs
+  UNION ALL SELECT scan_id, n + 3, 'Complete', n, n, NULL FROM runs),
+all_records AS (
+  SELECT * FROM per_file WHERE (current - 1) % 10 = 0 OR current = total
+  UNION ALL
+  SELECT *, CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT) FROM whole_run),
 records AS (
-  SELECT scan_id, CASE WHEN current >= total THEN 'Complete' ELSE 'Hashing' END AS phase,
-         current, total, current_file, round(pace, 6) AS speed, eta AS eta_seconds,
-         CAST(floor(CAST(current AS DOUBLE) / total * 100 + 0.5) AS BIGINT) AS percent,
-         printf('%.1f files/sec', pace) AS speed_text, {_eta_text('eta')} AS eta_text
-  FROM timed)
+  SELECT *, CASE WHEN total = 0 THEN 0
+                 ELSE CAST(floor(CAST(current AS DOUBLE) / total * 100 + 0.5) AS BIGINT) END AS percent,
+         CASE WHEN speed IS NOT NULL THEN printf('%.1f files/sec', speed) END AS speed_text,
+         {_eta_text('eta_seconds')} AS eta_text
+  FROM all_records)
 """
 
 ORACLE: dict[str, str] = {
@@ -434,7 +454,8 @@ FROM (SELECT *, (row_number() OVER (ORDER BY pos) - 1) // 25 AS chunk_no
 SELECT count(*) AS total_files, count(DISTINCT {_PARENT}) AS n_folders,
        count(*) FILTER (conflict) AS would_overwrite FROM plan""",
     "first_conflicts": _PLANNED
-    + "SELECT pos, file_name FROM plan WHERE conflict ORDER BY pos LIMIT 5",
+    + """SELECT pos, file_name, greatest((SELECT count(*) FROM plan WHERE conflict) - 5, 0) AS n_more
+FROM plan WHERE conflict ORDER BY pos LIMIT 5""",
     "folder_counts": _PLANNED + f"""
 SELECT {_PARENT} AS folder, count(*) AS n_files, min(pos) AS first_pos FROM plan GROUP BY 1""",
     "folder_summary": _with(MEDIA) + f""",
@@ -459,6 +480,15 @@ SELECT o_orderkey,
             ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS taken
 FROM orders""",
     "tag_projection": _with(MEDIA, _TAGS) + "SELECT * FROM known",
+    "gated_tag_projection": _with(MEDIA, _TAGS)
+    + "SELECT * FROM known WHERE path IN (SELECT path FROM media WHERE file_size < 2000)",
+    "scan_documents": """
+WITH files AS (SELECT doc_id, coalesce(text, '') || chr(10) AS body FROM documents),
+sized AS (SELECT *, octet_length(encode(body)) AS file_size FROM files)
+SELECT doc_id, file_size, 'txt' AS extension,
+       CASE WHEN file_size < 3000 THEN md5(body) END AS md5_hash,
+       CASE WHEN file_size < 3000 THEN sha256(body) END AS sha256_hash, true AS indexed
+FROM sized""",
     "metadata_fill": _with(MEDIA, _TAGS) + """
 SELECT m.pos, k.taken,
        CASE WHEN k.path IS NOT NULL THEN coalesce(k.width, length(m.file_name)) END AS width,
@@ -466,8 +496,8 @@ SELECT m.pos, k.taken,
        k.camera_model
 FROM media m LEFT JOIN known k USING (path)""",
     "progress_series": _with(_PROGRESS)
-    + "SELECT * FROM records WHERE (current - 1) % 10 = 0 OR current = total",
-    "progress_stream": _with(_PROGRESS) + "SELECT * FROM records WHERE current = total",
+    + "SELECT * FROM records",
+    "progress_stream": _with(_PROGRESS) + "SELECT * FROM records WHERE phase = 'Complete'",
 }
 ORACLE.update({
     name: _with(MEDIA)

@@ -22,7 +22,7 @@ from lumenlake.plans import organize, retention, stats
 from lumenlake.schema import MEDIA_FILE, from_json_rows, to_json_rows, with_defaults
 from lumenlake.scratch import new_path, store, store_counted
 from lumenlake.sources import tables
-from lumenlake.sources.files import build_catalog, metadata_candidates
+from lumenlake.sources.files import build_catalog, gated_tags, metadata_candidates
 from lumenlake.streaming import progress
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = dt.date(2024, 6, 15)
 DESTINATION = "/library"
 GATE = 20_000
+TAG_GATE = 2_000
+SCAN_GATE = 3_000
 PATTERN = "{year}/{month}-{day}/{camera}/{type}"
 ROOTED_PATTERN = "/archive/{type}/{year}"
 VECTOR_THRESHOLD = 18
@@ -225,8 +227,7 @@ def range_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def keep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = dup.find_duplicates(catalog(spark, sf_dir)).members
-    return retention.keep_best(members).select("group_id", "duplicate_type", "n_files", "best_pos")
+    return dup.find_duplicates(catalog(spark, sf_dir)).best
 
 
 @register
@@ -238,14 +239,14 @@ def best_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def deletion_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = catalog(spark, sf_dir)
-    doomed = retention.files_to_delete(dup.find_duplicates(files).members)
+    doomed = retention.files_to_delete(dup.find_duplicates(files).deletable)
     return retention.deletion_plan(files, doomed).select("pos", "path", "file_size")
 
 
 @register
 def catalog_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = catalog(spark, sf_dir)
-    doomed = retention.files_to_delete(dup.find_duplicates(files).members)
+    doomed = retention.files_to_delete(dup.find_duplicates(files).deletable)
     return retention.after_deletion(files, doomed).select("pos", "path", "file_size")
 
 
@@ -477,6 +478,17 @@ def tag_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def gated_tag_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of the images below a limit that some documents reach."""
+    files = docs(spark, sf_dir)
+    tags = gated_tags(files, tables.tag_rows(files), TAG_GATE)
+    return project_tags(tags).select(
+        "path", F.date_format("date_taken", "yyyy-MM-dd HH:mm:ss").alias("taken"),
+        "width", "height", "camera_model",
+    )
+
+
 @register
 def metadata_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue rows filled from tags; picture sizes stand in for missing ones."""
@@ -528,3 +540,17 @@ def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_catalog(spark, [sf_dir], extensions=["parquet"]).select(
         "pos", "file_name", "file_size", "extension", "md5_hash", "sha256_hash"
     )
+
+
+@register
+def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document written as a file of its own, and the folder catalogued."""
+    folder = new_path(spark, "files")
+    lines = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines.write.partitionBy("doc_id").text(folder)
+    found = build_catalog(spark, [folder], hash_limit=SCAN_GATE, extensions=["txt"])
+    return found.select(
+        F.regexp_extract("path", "/doc_id=([0-9]+)/", 1).cast("long").alias("doc_id"),
+        "file_size", "extension", "md5_hash", "sha256_hash",
+        F.col("indexed_at").isNotNull().alias("indexed"),
+    )

@@ -1,7 +1,9 @@
 """Progress records of processing runs.
 
 A log has one row per processed file: ``(scan_id, current_file, seq, ts)``, with
-``(ts, seq)`` unique within a run.
+``(ts, seq)`` unique within a run.  A run starts with a record for its set-up and
+one for the folders it looks through, then says how many files were found, reports
+on files, and ends with a record of its own that names no file.
 """
 
 from __future__ import annotations
@@ -10,13 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lumenlake.constants import PROGRESS_EVERY
+from lumenlake.constants import PHASES, PROGRESS_EVERY
 from lumenlake.functions.display import eta_seconds, format_eta, format_speed, percent, throughput
 from lumenlake.operators.numbering import with_row_number
 from lumenlake.operators.skew import HOT_ROWS, attach
 
+INITIALIZING, SCANNING, HASHING, COMPLETE = (PHASES[i] for i in (0, 1, 2, 6))
+NOTHING_FOUND = "No media files found"  # Fixed value: message text.
+
 PROGRESS_COLUMNS = [
-    "scan_id", "phase", "current", "total", "current_file", "speed", "eta_seconds",
+    "scan_id", "step", "phase", "current", "total", "current_file", "speed", "eta_seconds",
     "percent", "speed_text", "eta_text",
 ]
 
@@ -25,18 +30,19 @@ def _seconds(start: Column, end: Column) -> Column:
     return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(1e6)
 
 
-def _records(rows: DataFrame) -> DataFrame:
-    """Progress columns from ``scan_id, current, total, current_file, start, ts``."""
+def _paced(rows: DataFrame) -> DataFrame:
+    """Add ``speed`` and ``eta_seconds`` to ``current, total, start, ts``."""
     current, total = F.col("current"), F.col("total")
     timed = rows.withColumn("speed", throughput(current, _seconds(F.col("start"), F.col("ts"))))
-    timed = timed.withColumn("eta_seconds", eta_seconds(current, total, F.col("speed")))
-    # Phase names.
-    return timed.select(
-        "scan_id",
-        F.when(current >= total, "Complete").otherwise("Hashing").alias("phase"),
-        "current", "total", "current_file", "speed", "eta_seconds",
-        percent(current, total).alias("percent"),
-        format_speed(F.col("speed")).alias("speed_text"),
+    return timed.withColumn("eta_seconds", eta_seconds(current, total, F.col("speed")))
+
+
+def _records(rows: DataFrame) -> DataFrame:
+    """Progress columns from ``scan_id, step, phase, current, total, current_file, speed, eta_seconds``."""
+    return rows.select(
+        "scan_id", "step", "phase", "current", "total", "current_file", "speed", "eta_seconds",
+        percent(F.col("current"), F.col("total")).alias("percent"),
+        F.when(F.col("speed").isNotNull(), format_speed(F.col("speed"))).alias("speed_text"),
         format_eta(F.col("eta_seconds")).alias("eta_text"),
     )
 
@@ -46,17 +52,62 @@ def run_totals(log: DataFrame) -> DataFrame:
     return log.groupBy("scan_id").agg(F.count("*").alias("total"), F.min("ts").alias("start"))
 
 
+def _around(totals: DataFrame) -> DataFrame:
+    """The records before and after the files of ``totals (scan_id, total, folders)``."""
+    def record(step, phase, current, total, text=None) -> Column:
+        return F.struct(
+            step.cast("long").alias("step"), F.lit(phase).alias("phase"),
+            current.cast("long").alias("current"), total.cast("long").alias("total"),
+            (F.lit(None) if text is None else text).cast("string").alias("current_file"),
+        )
+
+    zero, total, folders = F.lit(0), F.col("total"), F.col("folders")
+    found = F.concat(F.lit("Found "), total.cast("string"), F.lit(" files"))
+    records = F.when(total == 0, F.array(
+        record(zero, INITIALIZING, zero, zero),
+        record(F.lit(1), SCANNING, zero, folders),
+        record(F.lit(2), COMPLETE, zero, zero, F.lit(NOTHING_FOUND)),
+    )).otherwise(F.array(
+        record(zero, INITIALIZING, zero, zero),
+        record(F.lit(1), SCANNING, zero, folders),
+        record(F.lit(2), SCANNING, folders, total, found),
+        record(total + 3, COMPLETE, total, total),
+    ))
+    return totals.select("scan_id", F.inline(records)).withColumns({
+        "speed": F.lit(None).cast("double"), "eta_seconds": F.lit(None).cast("long"),
+    })
+
+
 def progress_series(
-    log: DataFrame, every: int = PROGRESS_EVERY, hot_rows: int = HOT_ROWS
+    log: DataFrame,
+    every: int = PROGRESS_EVERY,
+    hot_rows: int = HOT_ROWS,
+    runs: DataFrame | None = None,
 ) -> DataFrame:
-    """Progress after the first, every ``every``-th further and the last file (WIN3)."""
+    """All records of every run, in the order of ``step`` (WIN3).
+
+    Files are reported after the first, every ``every``-th further and the last.
+    ``runs`` is ``(scan_id, folders)``: how many folders each run looks through, one
+    if not given; a run that is listed there and has no files ends at once.
+    """
+    totals = run_totals(log)
     placed = with_row_number(log, ["scan_id"], ["ts", "seq"], "current")
-    rows = attach(placed, run_totals(log), "scan_id", "total", F.col("seq"), hot_rows=hot_rows)
+    rows = attach(placed, totals, "scan_id", "total", F.col("seq"), hot_rows=hot_rows)
     index = F.col("current") - 1
     emitted = rows.filter(
         (F.pmod(index, F.lit(every)) == 0) | (F.col("current") == F.col("total"))
     )
-    return _records(emitted)
+    files = _paced(emitted).select(
+        "scan_id", (F.col("current") + 2).alias("step"), F.lit(HASHING).alias("phase"),
+        "current", "total", "current_file", "speed", "eta_seconds",
+    )
+    if runs is None:
+        known = totals.select("scan_id", "total", F.lit(1).alias("folders"))
+    else:
+        known = runs.join(totals, "scan_id", "left").select(
+            "scan_id", F.coalesce("total", F.lit(0)).alias("total"), "folders"
+        )
+    return _records(files.unionByName(_around(known)))
 
 
 def latest_progress(log: DataFrame, totals: DataFrame) -> DataFrame:
@@ -64,7 +115,7 @@ def latest_progress(log: DataFrame, totals: DataFrame) -> DataFrame:
 
     One aggregate per run, combined before the shuffle; the state of a stream is
     one row per run.  ``totals`` is a batch table ``(scan_id, total)``: how many
-    files each run has to do.
+    files each run has to do.  Once all are done, the closing record is the latest.
     """
     state = log.groupBy("scan_id").agg(
         F.count("*").alias("current"),
@@ -72,7 +123,13 @@ def latest_progress(log: DataFrame, totals: DataFrame) -> DataFrame:
         F.max("ts").alias("ts"),
         F.max_by("current_file", F.struct("ts", "seq")).alias("current_file"),
     )
-    return _records(state.join(totals.select("scan_id", "total"), "scan_id"))
+    rows = _paced(state.join(totals.select("scan_id", "total"), "scan_id"))
+    done = F.col("current") >= F.col("total")
+    return _records(rows.select(
+        "scan_id", (F.col("current") + F.when(done, 3).otherwise(2)).alias("step"),
+        F.when(done, COMPLETE).otherwise(HASHING).alias("phase"), "current", "total",
+        *[F.when(~done, F.col(c)).alias(c) for c in ("current_file", "speed", "eta_seconds")],
+    ))
 
 
 def stream_progress(

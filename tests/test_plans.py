@@ -11,6 +11,7 @@ from lumenlake.operators.numbering import with_row_number
 from lumenlake.operators.skew import attach
 from lumenlake.plans import duplicates as dup
 from lumenlake.plans import organize, retention, stats
+from lumenlake.scratch import store
 from lumenlake.schema import with_defaults
 from tests import models
 
@@ -104,7 +105,7 @@ def test_keep_best_is_the_sequential_rule(spark, hot_rows):
     expected = {f"exact:{k}": models.best(v)["pos"] for k, v in groups.items() if len(v) > 1}
     got = {r.group_id: r.best_pos for r in retention.keep_best(members).collect()}
     assert got == expected
-    doomed = retention.files_to_delete(members, hot_rows=hot_rows)
+    doomed = retention.files_to_delete(members)
     gone = {p["pos"] for k, v in groups.items() if len(v) > 1 for p in v} - set(expected.values())
     assert {r.pos for r in doomed.collect()} == gone
     left = retention.after_deletion(files, doomed)
@@ -114,8 +115,9 @@ def test_keep_best_is_the_sequential_rule(spark, hot_rows):
 
 def test_name_matches_are_never_deleted(spark):
     files = catalog(spark, [f("a", 1, "x"), f("A", 2, "y")])
-    members = dup.find_duplicates(files).members
-    assert members.count() == 2
+    found = dup.find_duplicates(files)
+    members = found.members
+    assert members.count() == 2 and found.deletable.count() == 0 and found.best.count() == 1
     assert retention.files_to_delete(members).count() == 0
 
 
@@ -304,3 +306,25 @@ def test_roots(spark):
         "/b", "/c", "/a/"]
     assert [r.root for r in keysets.remove_root(got, "/b").orderBy("pos").collect()] == [
         "/a", "/c", "/a/"]
+
+
+def test_scratch_is_emptied(spark, tmp_path):
+    from lumenlake import scratch
+
+    files = store(catalog(spark, [f("a", 1, "x"), f("b", 2, "x")]), "files")
+    dup.exact_members(files).write.parquet(str(tmp_path / "out"))
+    root = scratch.scratch_root(spark)
+    assert spark.read.parquet(files.scratch_path).count() == 2
+    scratch.drop_table(files)
+    scratch.drop_scratch(spark)
+    system, folder = scratch._at(spark, root)
+    assert not system.exists(folder)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_scratch_follows_the_context(spark, tmp_path):
+    from lumenlake import scratch
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    assert scratch.scratch_root(spark).startswith(f"file:{tmp_path}/")
+    assert store(spark.range(3), "some").count() == 3

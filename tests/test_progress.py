@@ -19,21 +19,37 @@ def log(spark, runs):
 
 def test_series_every_tenth_and_last(spark):
     rows = progress.progress_series(log(spark, {"a": (25, 2.0), "b": (1, 1.0)})) \
-        .orderBy("scan_id", "current").collect()
-    assert [(r.scan_id, r.current, r.total) for r in rows] == [
-        ("a", 1, 25), ("a", 11, 25), ("a", 21, 25), ("a", 25, 25), ("b", 1, 1)]
-    first, second, _, last, single = rows
+        .orderBy("scan_id", "step").collect()
+    assert [(r.scan_id, r.phase, r.current, r.total, r.current_file) for r in rows] == [
+        ("a", "Initializing", 0, 0, None), ("a", "Scanning", 0, 1, None),
+        ("a", "Scanning", 1, 25, "Found 25 files"),
+        ("a", "Hashing", 1, 25, "a-0"), ("a", "Hashing", 11, 25, "a-10"),
+        ("a", "Hashing", 21, 25, "a-20"), ("a", "Hashing", 25, 25, "a-24"),
+        ("a", "Complete", 25, 25, None),
+        ("b", "Initializing", 0, 0, None), ("b", "Scanning", 0, 1, None),
+        ("b", "Scanning", 1, 1, "Found 1 files"), ("b", "Hashing", 1, 1, "b-0"),
+        ("b", "Complete", 1, 1, None)]
+    first, second, _, last, closing = rows[3:8]
     assert (first.speed, first.eta_seconds, first.eta_text) == (0.0, None, "--:--")
     assert second.speed == 11 / 20 and second.eta_seconds == int(14 / (11 / 20))
-    assert (last.phase, last.percent, last.eta_seconds) == ("Complete", 100, 0)
-    assert single.phase == "Complete"
+    assert (last.percent, last.eta_seconds) == (100, 0)
+    assert (closing.speed, closing.eta_seconds, closing.speed_text, closing.percent) == (None, None, None, 100)
+
+
+def test_run_without_files(spark):
+    runs = spark.createDataFrame([("a", 2), ("none", 3)], "scan_id string, folders int")
+    rows = progress.progress_series(log(spark, {"a": (1, 1.0)}), runs=runs).orderBy("step").collect()
+    assert [(r.phase, r.current, r.total, r.current_file) for r in rows if r.scan_id == "none"] == [
+        ("Initializing", 0, 0, None), ("Scanning", 0, 3, None),
+        ("Complete", 0, 0, "No media files found")]
+    assert [(r.current, r.total) for r in rows if r.scan_id == "a" and r.phase == "Scanning"] == [(0, 2), (2, 1)]
 
 
 def test_series_splits_big_runs(spark):
     data = log(spark, {"a": (95, 1.0), "b": (12, 1.0)})
-    plain = progress.progress_series(data).orderBy("scan_id", "current").collect()
-    split = progress.progress_series(data, hot_rows=10).orderBy("scan_id", "current").collect()
-    assert plain == split and len(plain) == 11 + 3
+    plain = progress.progress_series(data).orderBy("scan_id", "step").collect()
+    split = progress.progress_series(data, hot_rows=10).orderBy("scan_id", "step").collect()
+    assert plain == split and len(plain) == 11 + 3 + 2 * 4
 
 
 def test_stream_over_several_batches(spark, tmp_path):
@@ -53,4 +69,4 @@ def test_stream_over_several_batches(spark, tmp_path):
 
     assert run() == [("a", "Hashing", 5, 25, "a-4"), ("b", "Hashing", 5, 8, "b-4")]
     data.filter("seq >= 5 AND scan_id = 'b'").coalesce(1).write.mode("append").parquet(source)
-    assert run() == [("a", "Hashing", 5, 25, "a-4"), ("b", "Complete", 8, 8, "b-7")]
+    assert run() == [("a", "Hashing", 5, 25, "a-4"), ("b", "Complete", 8, 8, None)]
