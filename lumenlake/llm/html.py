@@ -289,7 +289,7 @@ def host_paths(pages: DataFrame, url_column: str = "url", html_column: str = "ht
 
     host = F.lower(F.regexp_extract(F.coalesce(url_column, F.lit("")), r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/@]*@)?([^/:?#]*)", 1))
     votes = per_text(pages.withColumn("_host", host), url_column, text_or_empty(html_column), "path string", make, keep="_host")
-    counted = votes.groupBy(F.col("_host").alias("host"), "path").agg(F.count("*").alias("votes"))
+    counted = store(votes.groupBy(F.col("_host").alias("host"), "path").agg(F.count("*").alias("votes")), "votes")
     total = counted.groupBy("host").agg(F.sum("votes").alias("pages"))
     agreed = counted.join(total, "host").filter(
         (F.col("path") != "") & (F.col("votes") >= LEAST_VOTES) & (F.col("votes") >= LEAST_SHARE * F.col("pages"))
