@@ -42,6 +42,17 @@ def test_random_bytes_like_the_library(theirs, codec):
         assert codec.encode(text) == theirs.encode_ordinary(text)
 
 
+def test_latin_pattern_is_the_public_one(codec):
+    pick = random.Random(9)
+    latin = [chr(c) for c in range(bpe.LATIN_END)]
+    texts = [a + b for c in latin for a, b in ((c, "x"), ("x", c), (" ", c), (c, " "), ("'", c), (c, c))]
+    texts += ["".join(pick.choices(latin + [" ", "\n", "'", "s"] * 40, k=60)) for _ in range(3000)]
+    for text in texts:
+        assert codec.latin(text) == codec.general(text), repr(text)
+        assert codec.beyond_latin(text) is None
+    assert codec.beyond_latin("abɐ")
+
+
 def test_very_long_piece(codec):
     text = "".join(random.Random(1).choice("abcdefgh") for _ in range(200_000))
     assert codec.decode(codec.encode(text)) == text.encode()
