@@ -322,9 +322,12 @@ def test_scratch_is_emptied(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
-def test_scratch_follows_the_context(spark, tmp_path):
+def test_scratch_follows_the_setting_or_the_context(spark, tmp_path):
     from lumenlake import scratch
 
-    spark.sparkContext.setCheckpointDir(str(tmp_path))
-    assert scratch.scratch_root(spark).startswith(f"file:{tmp_path}/")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+        shared = f"file:{tmp_path}"
+    assert scratch.scratch_root(spark).startswith(f"{shared.rstrip('/')}/")
     assert store(spark.range(3), "some").count() == 3
