@@ -34,14 +34,15 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 LEAST_WORDS = 20
 MOST_REPEATED = 30
-WIDE = 5.0
+#: Outer fences as Tukey has them.
+WIDE = 3.0
 LEAST_TEXTS = 50
-#: Texts with fewer tokens say too little about entropy.
-LEAST_TOKENS = 30
+#: Texts with fewer tokens are not judged by them: their measures scatter too much.
+LEAST_TOKENS = 100
 CACHE = 300_000
 CACHED_LENGTH = 64
 #: Step of the histogram and least distance of a bound from its quartile.
-STEPS = {"chars_per_token": (0.01, 0.5), "byte_share": (0.001, 0.1), "evenness": (0.002, 0.1)}
+STEPS = {"chars_per_token": (0.01, 0.1), "byte_share": (0.001, 0.05), "evenness": (0.002, 0.05)}
 
 
 def repeated_words(words: list[bytes]) -> int:

@@ -53,7 +53,7 @@ def test_query_against_brute_force(spark):
 
 
 def test_foreign_bytes_are_rejected_and_edges(spark):
-    fine = [(i, " ".join(random.Random(i).choices("the and of to in is with water house great".split(), k=60)) + f" {i}", "en") for i in range(80)]
+    fine = [(i, " ".join(random.Random(i).choices("the and of to in is with water house great".split(), k=150)) + f" {i}", "en") for i in range(80)]
     odd = [(500, " ".join(chr(0x13000 + i) for i in range(60)), "en")]
     edges = [(600, None, None), (600, "", "en"), (None, "short text", None)]
     docs = spark.createDataFrame(fine + odd + edges, "doc_id long, text string, lang string")
