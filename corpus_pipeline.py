@@ -28,11 +28,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     odd = per_id.filter("NOT _kept OR _lang <> low OR low <> high")
     changes = store(odd.select(F.col("doc_id").alias("_id"), "_kept", "_lang"), "stage-lang")
     joined = docs.join(changes, docs["doc_id"].eqNullSafe(changes["_id"]), "left").filter(
-        F.coalesce("_kept", F.lit(True))
+        F.coalesce(changes["_kept"], F.lit(True))
     )
     stated = language.declared_language(docs["lang"])
     return joined.select(
-        *[F.coalesce("_lang", stated).alias("lang") if c == "lang" else docs[c] for c in docs.columns]
+        *[F.coalesce(changes["_lang"], stated).alias("lang") if c == "lang" else docs[c] for c in docs.columns]
     )
 
 

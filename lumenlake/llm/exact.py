@@ -174,15 +174,18 @@ def drop_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     decided = store(exact_duplicates(docs, id_column, text_column).filter("kept"), "dedup-kept")
     listed = decided.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("listings"))
     sha = F.sha2(normalized(text_column).cast("binary"), 256)
+    own = "_own"
+    while own in docs.columns:
+        own += "_"
 
     def chosen(condition: str) -> DataFrame:
         keep = listed.filter(condition).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-        marked = docs.withColumn("_own", sha)
-        on = marked[id_column].eqNullSafe(keep["_id"]) & (marked["_own"] == keep["_sha"])
+        marked = docs.withColumn(own, sha)
+        on = marked[id_column].eqNullSafe(keep["_id"]) & (marked[own] == keep["_sha"])
         return marked.join(keep, on, "left_semi")
 
-    out = chosen("listings = 1").drop("_own")
+    out = chosen("listings = 1").drop(own)
     if not listed.filter("listings > 1").isEmpty():
-        repeated = chosen("listings > 1").dropDuplicates([id_column, "_own"]).drop("_own")
+        repeated = chosen("listings > 1").dropDuplicates([id_column, own]).drop(own)
         out = out.unionByName(repeated)
     return out

@@ -94,7 +94,7 @@ class Page:
         opened: dict[str, int] = {}
         parts: list[str] = []
         linked = 0
-        container = 0
+        containers = [0]  # those on the stack
 
         def flush() -> None:
             nonlocal linked
@@ -102,18 +102,18 @@ class Page:
                 block = " ".join(entities.unescape("".join(parts)).split())
                 parts.clear()
                 if block:
-                    self.blocks.append((container, block, linked))
+                    self.blocks.append((containers[-1], block, linked))
             linked = 0
 
         def leave(to: int) -> None:
             """Close elements down to the stack length ``to``."""
-            nonlocal container
-            if any(self.tag[e] not in INLINE for e in stack[to:]):
+            if containers[-1] >= stack[to]:
                 flush()
+            while containers[-1] >= stack[to]:
+                containers.pop()
             for e in stack[to:]:
                 opened[self.tag[e]] -= 1
             del stack[to:]
-            container = next((e for e in reversed(stack) if self.tag[e] not in INLINE), 0)
 
         def add(piece: str) -> None:
             nonlocal linked
@@ -174,7 +174,7 @@ class Page:
             stack.append(len(self.tag) - 1)
             opened[tag] = opened.get(tag, 0) + 1
             if tag not in INLINE:
-                container = stack[-1]
+                containers.append(stack[-1])
         add(text[at:])
         flush()
 
@@ -215,12 +215,13 @@ class Page:
         for e in range(n - 1, 0, -1):
             weight[self.parent[e]] += weight[e]
         children: dict[int, int] = {}
+        nearest = [0] * n  # block around the element; inline parents are passed through
         for e in range(1, n):
+            up = self.parent[e]
+            if self.tag[up] in INLINE:
+                up = nearest[up]
+            nearest[e] = up
             if self.tag[e] not in TEXTUAL and self.tag[e] not in INLINE:
-                # Inline parents are passed through: the nearest block is what counts.
-                up = self.parent[e]
-                while up > 0 and self.tag[up] in INLINE:
-                    up = self.parent[up]
                 best = children.get(up)
                 if best is None or weight[e] > weight[best]:
                     children[up] = e

@@ -15,8 +15,9 @@ The cost of a sequence is its length plus a share that grows with the square of
 its length (attention), plus a fixed part.
 
 Null texts count as empty; every document has at least its end marker, so none
-is lost.  Rows that repeat an id are packed as they come, told apart by
-``copy``.  Null ids are packed like others.  Empty tables give no rows.
+is lost.  Rows that repeat an id are packed as they come, told apart by ``copy``
+within their shard.  An id that would fill more than a shard by itself, null
+included, is dealt out row by row.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -114,7 +115,21 @@ def best_fit_pack(
     )
     shards = -(-n // shard_pieces) or 1
     id_type = cut.schema["doc_id"].dataType.simpleString()
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards).cast("long")))
+    # Row numbers are those of the written table, so a repeated task deals alike.
+    numbered = cut.withColumn("row", F.monotonically_increasing_id())
+    crowded, n_crowded = store_counted(
+        cut.groupBy("doc_id", "piece").count().filter(F.col("count") > shard_pieces)
+        .select(F.col("doc_id").alias("id"), F.col("piece").alias("part"), F.lit(True).alias("crowded")),
+        "crowded",
+    )
+    salt = F.lit(0).cast("long")
+    if n_crowded:
+        same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("piece") == F.col("part"))
+        numbered = numbered.join(crowded, same, "left")
+        salt = F.when(F.col("crowded"), F.col("row")).otherwise(salt)
+    dealt = numbered.select(
+        *cut.columns, F.pmod(F.xxhash64("doc_id", "piece", salt), F.lit(shards).cast("long")).alias("shard")
+    )
     permitted = tuple(lengths)
 
     def one(rows: pa.Table) -> pa.Table:

@@ -31,7 +31,7 @@ def test_colliding_digests_are_told_apart_by_their_bytes(spark):
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     docs = spark.createDataFrame(
         [(1, "a", "k"), (1, "a", "k"), (2, "a", "k"), (None, "b", "k"), (None, "c", "k"), (7, "c", "k")],
-        "doc_id long, text string, locator string",
+        "doc_id long, text string, _own string",
     )
     found = [tuple(r)[:4] for r in exact.exact_duplicates(docs).collect()]
     assert sorted(map(str, found)) == sorted(map(str, [

@@ -68,3 +68,9 @@ def test_edges(spark):
     rows = html.main_text(pages).collect()
     assert sorted(r["text"] for r in rows) == ["", "", "t"] and all(r["n_chars"] == len(r["text"]) for r in rows)
     assert html.main_text(pages.limit(0)).count() == 0
+
+
+def test_deep_nesting_takes_linear_time():
+    deep = "<b>" * 50_000
+    assert html.extract(f"{deep}x{'</b>' * 50_000}", [])[0] == "x"
+    assert html.extract(deep + "<div>y</div>" * 50_000, [])[0].count("y") == 50_000

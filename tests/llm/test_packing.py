@@ -74,3 +74,12 @@ def test_edges(spark):
     assert sum(r["n_tokens"] for r in rows) == 1 + 1 + 20001 + 1
     assert sorted(r["copy"] for r in rows if r["doc_id"] == 1) == [0, 1]
     assert packing.best_fit_pack(docs.limit(0)).count() == 0
+
+
+def test_an_id_beyond_a_shard_is_dealt_out(spark):
+    docs = spark.range(900).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("abc").alias("text"))
+    rows = packing.best_fit_pack(docs, shard_pieces=100).collect()
+    check_bins(rows, packing.LENGTHS)
+    assert len(rows) == 900 and len({(r["doc_id"], r["shard"], r["copy"]) for r in rows}) == 900
+    shards = [r["shard"] for r in rows if r["doc_id"] is None]
+    assert len(shards) == 300 and max(map(shards.count, set(shards))) < 100

@@ -31,7 +31,7 @@ def test_run_against_a_plain_version(spark):
 
 
 def test_stages_keep_columns_and_bear_odd_rows(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, _id string, host string"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _id string, _kept string"
     docs = spark.createDataFrame(
         [(1, "the cat sat with the dog and a@b.cd", "en", "s", 35, "x", "y"), (1, "the cat sat with the dog and a@b.cd", "en", "s", 35, "x", "y"),
          (2, None, "en", "s", None, None, None), (None, "another text of the same kind", None, None, 9, None, None),
