@@ -309,6 +309,8 @@ SELECT a.pos AS lo, b.pos AS hi, CAST(bit_count(xor(a.phash, b.phash)) AS INTEGE
 FROM hashes a JOIN hashes b ON a.pos < b.pos AND bit_count(xor(a.phash, b.phash)) <= 10""",
     "similar_groups": _FULL
     + "SELECT group_id, duplicate_type, n_files, wasted_space, removable_count FROM similar_",
+    "similar_groups_dense": _FULL
+    + "SELECT group_id, duplicate_type, n_files, wasted_space, removable_count FROM similar_",
     "similar_vectors": _with(
         _CELLS,
         f"candidates AS (SELECT row_number() OVER (ORDER BY vec_id) AS rn, vec_id AS pos, "

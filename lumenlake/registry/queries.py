@@ -35,6 +35,7 @@ SCAN_GATE = 3_000
 PATTERN = "{year}/{month}-{day}/{camera}/{type}"
 ROOTED_PATTERN = "/archive/{type}/{year}"
 VECTOR_THRESHOLD = 18
+DENSE = {"hot_bucket": 16, "patient_rounds": 1, "block_pairs": 500}
 PAGE = 48
 CHUNK = 25
 
@@ -88,6 +89,12 @@ def similar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dup.similar_groups(docs(spark, sf_dir)).drop("hash")
 
 
+@register
+def similar_groups_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same groups by way of second bands, split lists and blocks, as dense inputs take it."""
+    return dup.similar_groups(docs(spark, sf_dir), **DENSE).drop("hash")
+
+
 @register
 def similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     hashes = (
