@@ -2,8 +2,9 @@
 
 Each page is parsed into containers and text blocks.  Navigation, headers and
 footers of the page, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are left out by element, role, class or id.  The container that
-holds most of the remaining text is the page's own choice; its path of elements
+reader comments are left out by element, role, class or id.  The lowest container
+outside of which no heading and next to no other text remains is the page's own
+choice, so lead, body and continuation stay together; its path of elements
 and classes, with digits made alike, is a vote for its host.  Votes are grouped
 counts, so a host of any size is a few rows per task.  Pages are then extracted
 again with the paths their host agreed on; a page that has none of them keeps
@@ -31,8 +32,12 @@ from lumenlake.scratch import store
 #: A path is agreed on from so many votes and this share of its host's pages.
 LEAST_VOTES = 2
 LEAST_SHARE = 0.1
-#: A container is entered further while one child holds this share of its text.
-DESCEND = 0.6
+#: A container is entered further while less than so many bytes of text outside of
+#: links, and at most this share of the page's, stay out; no heading may.
+LEAST_TEXT = 20
+LEAST_PART = 0.15
+#: Text outside a page's only ``main`` is not its main text, if that holds this share.
+MAIN_SHARE = 0.5
 PATH_DEPTH = 12
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,6 +50,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike "
     "strong sub sup time tt u var wbr".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that hold text rather than other blocks; they are no containers.
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption caption td th tr ul ol dl table".split())
 #: Starting one of these ends an open paragraph.
@@ -86,7 +92,7 @@ class Page:
 
     def __init__(self, text: str) -> None:
         self.tag, self.label, self.parent, self.dropped, self.depth = ["#page"], [""], [-1], [False], [0]
-        self.blocks: list[tuple[int, str, int]] = []  # container, text, characters in links
+        self.blocks: list[tuple[int, str, int]] = []  # container, text, bytes in links
         self._parse(text)
 
     def _parse(self, text: str) -> None:
@@ -120,7 +126,7 @@ class Page:
             if piece and not self.dropped[stack[-1]]:
                 parts.append(piece)
                 if opened.get("a"):
-                    linked += len(piece)
+                    linked += len(piece.encode())
 
         at = 0
         while (found := _TOKEN.search(text, at)) is not None:
@@ -206,14 +212,16 @@ class Page:
         return ">".join(reversed(labels))
 
     def choice(self) -> int:
-        """The container with most of the article's text."""
+        """The lowest container that holds all headings and nearly all other text."""
         n = len(self.tag)
-        weight = [0] * n
+        weight, headings = [0] * n, [0] * n
         for element, block, linked in self.blocks:
-            weight[element] += max(0, len(block) - 2 * linked)
-        own = weight.copy()
+            unlinked = max(0, len(block.encode()) - 2 * linked)
+            weight[element] += unlinked
+            headings[element] += unlinked > 0 and self.tag[element] in HEADINGS
         for e in range(n - 1, 0, -1):
             weight[self.parent[e]] += weight[e]
+            headings[self.parent[e]] += headings[e]
         children: dict[int, int] = {}
         nearest = [0] * n  # block around the element; inline parents are passed through
         for e in range(1, n):
@@ -225,15 +233,16 @@ class Page:
                 best = children.get(up)
                 if best is None or weight[e] > weight[best]:
                     children[up] = e
-        at = 0
-        while (child := children.get(at)) is not None and weight[child] and weight[child] >= DESCEND * weight[at]:
-            at = child
-            if self.tag[at] in ("article", "main"):
-                inner = children.get(at)
-                if inner is None or self.tag[inner] != "article" or weight[inner] < DESCEND * weight[at]:
-                    break
-            elif own[at] > (1 - DESCEND) * weight[at]:
+        mains = [e for e in range(1, n) if self.tag[e] == "main" and weight[e]]
+        at = mains[0] if len(mains) == 1 and weight[mains[0]] >= MAIN_SHARE * weight[0] else 0
+        total, titles = weight[at], headings[at]
+        while (child := children.get(at)) is not None and weight[child]:
+            left = total - weight[child]
+            if left >= LEAST_TEXT or left > LEAST_PART * total or headings[child] < titles:
                 break
+            if self.tag[at] in ("article", "main") and self.tag[child] != "article":
+                break
+            at = child
         return at
 
     def chosen(self, paths: list[str]) -> list[int]:

@@ -74,3 +74,27 @@ def test_deep_nesting_takes_linear_time():
     deep = "<b>" * 50_000
     assert html.extract(f"{deep}x{'</b>' * 50_000}", [])[0] == "x"
     assert html.extract(deep + "<div>y</div>" * 50_000, [])[0].count("y") == 50_000
+
+
+def test_siblings_of_the_largest_container_stay():
+    def p(n: int) -> str:
+        return f"<p>{'word ' * n}</p>"
+
+    for inner in (
+        f"<h1>T</h1>{p(9) * 5}<div class=body>{p(90)}</div>",
+        f"<h1>T</h1><div class=body>{p(90)}</div>",
+        f"<div class=lead>{p(9)}</div><div class=body>{p(90)}</div><div class=more>{p(9)}</div>",
+        f"<section class=a>{p(65)}</section><section class=b>{p(35)}</section>",
+        f"<div class=x>{p(9)}<div class=y>{p(20)}<div class=z>{p(90)}</div></div></div>",
+    ):
+        page = f"<nav>n</nav><div class=content>{inner}</div><footer>f</footer>"
+        text, path = html.extract(page, [])
+        assert text == " ".join(re.sub("<[^>]*>", " ", inner).split())
+        assert html.extract(page, [path])[0] == text
+
+
+def test_siblings_stay_when_the_host_votes(spark):
+    page = "<div class=content><h1>T{0}</h1><p>the lead of page {0}</p><div class=body>" + "<p>some words of it</p>" * 9 + "</div></div>"
+    pages = [(i, "http://h.example/p", page.format(i)) for i in range(5)]
+    rows = html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert all(r["text"].startswith(f"T{r['page_id']} the lead of page") for r in rows)
