@@ -2,13 +2,16 @@
 
 Each page is parsed into containers and text blocks.  Navigation, headers and
 footers of the page, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are left out by element, role, class or id.  The lowest container
-outside of which no heading and next to no other text remains is the page's own
-choice, so lead, body and continuation stay together; its path of elements
-and classes, with digits made alike, is a vote for its host.  Votes are grouped
-counts, so a host of any size is a few rows per task.  Pages are then extracted
-again with the paths their host agreed on; a page that has none of them keeps
-its own choice.
+reader comments are left out by element, role, class or id.  An element marked by
+words, or a form, stays if it holds the article or, without one, most of the text;
+all of them stay if nothing else is left.
+
+The lowest container outside of which no heading and next to no other text remains
+is the page's own choice, so lead, body and continuation stay together; its path of
+elements and classes, with digits made alike, is a vote for its host.  Votes are
+grouped counts, so a host of any size is a few rows per task.  Pages are then
+extracted again with the paths their host agreed on; a page that has none of them
+keeps its own choice.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are joined in page order by one space.  Nulls count as empty pages and
@@ -43,7 +46,7 @@ PATH_DEPTH = 12
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 DROPPED = frozenset(
-    "script style noscript template head title nav footer aside form button select textarea input label "
+    "script style noscript template head title nav footer aside button select textarea input label "
     "iframe object embed svg canvas map dialog menu audio video math xmp noembed noframes".split()
 )
 INLINE = frozenset(
@@ -64,7 +67,8 @@ ENDS_SIBLING = {
     "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"),
 }
 ENDS_SIBLING = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS_SIBLING.items()}
-#: Words in class, id or role that mark something other than the article.
+#: Whole values of class, id or role that mark something other than the article; also
+#: joined with each other and with words of :data:`PLACE` only, as in ``site-footer``.
 NOISE = frozenset(
     "ad ads adv advert advertisement adverts adbox adslot banner breadcrumb breadcrumbs comment comments commentlist "
     "cookie cookies consent disqus footer gdpr login masthead menu menubar modal nav navbar navigation navigate "
@@ -74,6 +78,15 @@ NOISE = frozenset(
 )
 #: Page headers only: inside an article the same words belong to it.
 OUTER_NOISE = frozenset("header head top".split())
+ANY_NOISE = NOISE | OUTER_NOISE
+PLACE = frozenset(
+    "area bar block bottom box container global inner left list main outer page primary right secondary section site "
+    "wrap wrapper".split()
+)
+#: Reader comments are left out however long they are.
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Others with over this share of the page's text outside of links stay, if no article is elsewhere.
+MOST = 0.5
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
@@ -82,7 +95,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-_PART = re.compile(r"[a-z]+")
+_PART = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
 _HOST = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/@]*@)?([^/:?#]*)", re.I)
 
@@ -91,11 +104,18 @@ class Page:
     """Elements by number (parents come first) and text blocks in page order."""
 
     def __init__(self, text: str) -> None:
+        self._parse(text, frozenset())
+        if self.marked and (spared := self._spared()):
+            self._parse(text, spared)
+        if not self.blocks and self.marked:
+            self._parse(text, frozenset(self.marked))
+
+    def _parse(self, text: str, spared: frozenset[int]) -> None:
         self.tag, self.label, self.parent, self.dropped, self.depth = ["#page"], [""], [-1], [False], [0]
         self.blocks: list[tuple[int, str, int]] = []  # container, text, bytes in links
-        self._parse(text)
-
-    def _parse(self, text: str) -> None:
+        self.marked: dict[int, bool] = {}  # forms and elements marked by words; whether as comments
+        self.sure = [False]  # dropped whatever the words say
+        self.unlinked = [0]  # characters outside of links, also in marked elements
         stack = [0]
         opened: dict[str, int] = {}
         parts: list[str] = []
@@ -123,6 +143,8 @@ class Page:
 
         def add(piece: str) -> None:
             nonlocal linked
+            if piece and not self.sure[stack[-1]] and not opened.get("a"):
+                self.unlinked[stack[-1]] += len(piece.strip())
             if piece and not self.dropped[stack[-1]]:
                 parts.append(piece)
                 if opened.get("a"):
@@ -171,12 +193,17 @@ class Page:
             if tag not in INLINE:
                 flush()
             above = stack[-1]
-            label, noise = self._label(tag, attributes, bool(opened.get("article") or opened.get("main")))
+            label, noise, words = self._label(tag, attributes, bool(opened.get("article") or opened.get("main")))
+            number = len(self.tag)
+            if words:
+                self.marked[number] = words == "comments"
             self.tag.append(tag)
             self.label.append(label)
             self.parent.append(above)
             self.depth.append(self.depth[above] + 1)
-            self.dropped.append(self.dropped[above] or noise)
+            self.sure.append(self.sure[above] or noise)
+            self.unlinked.append(0)
+            self.dropped.append(self.dropped[above] or noise or (words != "" and number not in spared))
             stack.append(len(self.tag) - 1)
             opened[tag] = opened.get(tag, 0) + 1
             if tag not in INLINE:
@@ -184,9 +211,30 @@ class Page:
         add(text[at:])
         flush()
 
+    def _spared(self) -> frozenset[int]:
+        """Marked elements that stay: those with most of the page's text or with an article,
+        unless there is an article outside of marked elements."""
+        n = len(self.tag)
+        below = self.unlinked.copy()
+        article = [t in ("article", "main") for t in self.tag]
+        for e in range(n - 1, 0, -1):
+            up = self.parent[e]
+            below[up] += below[e]
+            article[up] = article[up] or (article[e] and below[e] > 0)
+        outside = any(
+            t in ("article", "main") and below[e] and not self.dropped[e] for e, t in enumerate(self.tag)
+        )
+        return frozenset(
+            e for e, comments in self.marked.items()
+            if not outside and not comments and (article[e] or below[e] > MOST * below[0])
+        )
+
     @staticmethod
-    def _label(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
+    def _label(tag: str, attributes: str, inside: bool) -> tuple[str, bool, str]:
+        """Label, whether the element is dropped for sure, and what its words or its being a
+        form mark it as: ``comments``, ``noise`` or nothing."""
         noise = tag in DROPPED or (tag == "header" and not inside)
+        marks = "noise" if tag == "form" else ""
         classes: list[str] = []
         if attributes and not attributes.isspace():
             for key, value in _ATTRIBUTE.findall(attributes):
@@ -196,12 +244,16 @@ class Page:
                 elif key == "style":
                     noise = noise or re.search(r"display\s*:\s*none", value) is not None
                 else:
-                    words = set(_PART.findall(value))
-                    if tag not in ("html", "body", "article", "main"):
-                        noise = noise or bool(words & NOISE) or (not inside and bool(words & OUTER_NOISE))
+                    # The id of a heading is made from its text.
+                    if tag not in ("html", "body", "article", "main") and not (key == "id" and tag in HEADINGS):
+                        for token in value.split():
+                            words = set(_PART.findall(token))
+                            telling = words & NOISE if inside else words & ANY_NOISE
+                            if telling and words <= telling | PLACE:
+                                marks = "comments" if words & COMMENTS else marks or "noise"
                     if key == "class":
                         classes = sorted(_DIGITS.sub("#", c) for c in value.split())[:2]
-        return ".".join([tag, *classes]), noise
+        return ".".join([tag, *classes]), noise, marks
 
     def path(self, element: int) -> str:
         """Labels from the outermost element; deep paths keep their lowest part."""

@@ -98,3 +98,18 @@ def test_siblings_stay_when_the_host_votes(spark):
     pages = [(i, "http://h.example/p", page.format(i)) for i in range(5)]
     rows = html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert all(r["text"].startswith(f"T{r['page_id']} the lead of page") for r in rows)
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<div class='layout has-sidebar'>{BODY}</div>", CLEAN), (f"<div class='no-sidebar'><article>{BODY}</article></div>", CLEAN),
+    (f"<div id='top'>{BODY}</div><div>z</div>", CLEAN), (f"<div class='header-and-content'>{BODY}</div>", CLEAN),
+    (f"<form id=aspnetForm><div>{BODY}</div><input><button>b</button></form>", CLEAN),
+    (f"<div id=top><article>{BODY}</article></div><div class=comments>{BODY * 3}</div>", CLEAN),
+    (f"<article>{BODY}<section id='related-work'><p>r</p></section><h2 id='social-history'>s</h2><h2 id=search>h</h2>"
+     "<p class='notice-of-intent'>i</p></article>", CLEAN + " r s h i"),
+    ("<div class='comments'><p>c</p></div>", "c"), (f"<div>{BODY}</div><div class=comments>{BODY * 3}</div>", CLEAN),
+    (f"<article>{BODY}</article><div class='related'><article>r</article></div>", CLEAN),
+    (f"<div>{BODY}</div><div class='site-footer'>f</div><form>q</form><div id='cookie_notice'>c</div><div class='nav-bar'>n</div>", CLEAN),
+])
+def test_marked_elements_are_dropped_unless_they_hold_the_article(page, text):
+    assert html.extract(page, [])[0] == text
