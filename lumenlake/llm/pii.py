@@ -50,7 +50,22 @@ _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9]+(?:[ -][0-9]+)*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+#: What may follow those four characters; it cannot end before a letter or digit.
+_IBAN_REST = re.compile(r"(?: ?[A-Z0-9]){1,30}")
+_IBAN_INSIDE = re.compile(r"[A-Za-z0-9]")
+LEAST_IBAN = 15
+#: Characters of an IBAN by country.
+IBAN_LENGTH = {
+    country: int(length) for length, countries in (
+        line.split(":") for line in (
+            "15:NO", "16:BE", "18:DK FI FK FO GL NL SD", "19:MK SI", "20:AT BA EE KZ LT LU MN XK", "21:CH HR LI LV",
+            "22:BG BH CR DE GB GE IE ME RS VA", "23:AE GI IL IQ OM SO TL", "24:AD CZ ES MD PK RO SA SE SK TN VG",
+            "25:LY PT ST", "26:IS TR", "27:BI DJ FR GR IT MC MR SM", "28:AL AZ BY CY DO GT HN HU LB NI PL SV",
+            "29:BR EG PS QA UA", "30:JO KW MU YE", "31:MT SC", "32:LC", "33:RU",
+        )
+    ) for country in countries.split()
+}
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _DIGIT = re.compile("[0-9]")
 _WORD = re.compile(r"[a-z][a-z-]*")
@@ -91,6 +106,26 @@ def _in_byte(part: str) -> bool:
     return len(part) < 4 and int(part or "0") < 256
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """The country's length decides where an IBAN ends; without one, the first end of a
+    run of characters at which the checksum holds."""
+    floor = 0
+    for m in _IBAN.finditer(text):
+        start = m.start()
+        if start < floor:
+            continue
+        rest = _IBAN_REST.match(text, m.end())
+        length = IBAN_LENGTH.get(m[0][:2])
+        for end in range(m.end() + 1, rest.end() + 1):
+            if text[end - 1] == " " or _IBAN_INSIDE.match(text, end):
+                continue
+            iban = text[start:end].replace(" ", "")
+            if (len(iban) >= LEAST_IBAN if length is None else len(iban) == length) and mod97(iban):
+                yield start, end
+                floor = end
+                break
+
+
 def proposals(text: str) -> Iterator[tuple[str, int, int]]:
     """Spans whose pattern and check both hold."""
     if "@" in text:
@@ -110,9 +145,8 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _PHONE.finditer(text):
             if 10 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in _IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            yield "iban", m.start(), m.end()
+    for start, end in _ibans(text):
+        yield "iban", start, end
     if "-" in text:
         for m in _SSN.finditer(text):
             area, group, serial = m.groups()

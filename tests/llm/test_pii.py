@@ -69,3 +69,22 @@ def test_edges(spark):
     masked = {tuple(r) for r in pii.mask_pii(docs).collect()}
     assert masked == {(1, None, "x", 3), (1, "", "x", 0), (None, "<EMAIL>", None, 7)}
     assert pii.find_pii(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text,found", [
+    ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF", ["DE89 3704 0044 0532 0130 00"]),
+    ("GB82WEST12345698765432 2024", ["GB82WEST12345698765432"]),
+    ("GB82 WEST 1234 5698 7654 32 USD 500", ["GB82 WEST 1234 5698 7654 32"]),
+    ("DE89370400440532013000 GB82WEST12345698765432", ["DE89370400440532013000", "GB82WEST12345698765432"]),
+    ("AB12 DE89 3704 0044 0532 0130 00", ["DE89 3704 0044 0532 0130 00"]),
+    ("CI93CI0080111301134291200589 ABIDJAN", ["CI93CI0080111301134291200589"]),
+    ("DE89370400440532013000X", []), ("DE8937040044053201300", []),
+])
+def test_ibans_end_where_their_country_says(text, found):
+    assert [text[s:e] for s, e, kind, _ in pii.spans(text) if kind == "iban"] == found
+    assert pii.mask(text).count("<IBAN>") == len(found)
+
+
+def test_runs_of_iban_starts_are_linear():
+    for text in ("DE89 " * 60_000, "XX00 " * 60_000, "A" * 300_000, "XX00" + " A" * 150_000):
+        pii.spans(text)
