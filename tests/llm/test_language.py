@@ -72,3 +72,18 @@ def test_edges(spark):
     assert language.detect(docs.limit(0), declared="lang", address="source").count() == 0
     bare = language.detect(docs.select("doc_id", "text")).collect()
     assert {r["lang"] for r in bare} == {"und"} and len(bare) == 4
+
+
+def test_every_declared_language_is_a_candidate(spark):
+    tags = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(70)]
+
+    def text(i: int) -> str:
+        return " ".join(chr(0x4E00 + 40 * i + k) * 2 + chr(0x4E00 + 40 * i + (7 * k) % 40) for k in range(40))
+
+    rows = [(100 * i + k, text(i), tag, f"h{i}.example") for i, tag in enumerate(tags) for k in range(3 if i < 64 else 2)]
+    rows += [(100_000 + i, text(i), None, f"h{i}.example") for i in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    truth = {r[0]: tags[r[0] // 100 if r[0] < 100_000 else r[0] - 100_000] for r in rows}
+    found = language.detect(docs, declared="lang", address="source").collect()
+    assert len(found) == len(rows)
+    assert all(r["lang"] == r["text_lang"] == truth[r["doc_id"]] and r["kept"] for r in found)
