@@ -3,7 +3,7 @@
 A public vocabulary measures each text: characters per token, the share of tokens
 that fall back to bytes, and the evenness of the token distribution (entropy over
 its maximum for that many tokens).  Bands come from all texts of a language, or
-of a script where no language is given: quartiles of a histogram in fixed steps,
+of the script of most words where no language is given: quartiles of a histogram in fixed steps,
 widened by :data:`WIDE` times their distance (and by a least width), so that only
 texts far from their language are rejected.  Histograms are grouped counts; their
 quartiles do not depend on the order of rows.
@@ -87,6 +87,7 @@ class Meter:
         size = self.pieces.get_piece_size()
         self.is_byte = np.array([self.pieces.is_byte(i) for i in range(size)])
         self.seen: dict[bytes, bytes] = {}
+        self.scripts: dict[bytes, str] = {}
 
     def tokens(self, words: list[bytes]) -> np.ndarray:
         seen = self.seen
@@ -101,6 +102,22 @@ class Meter:
         found = (long[w] if w in long else seen[w] for w in words) if long else map(seen.__getitem__, words)
         return np.frombuffer(b"".join(found), dtype="<u4")
 
+    def script(self, words: list[bytes]) -> str:
+        """The script of most words."""
+        known = self.scripts
+        if len(known) > CACHE:
+            known.clear()
+        scripts: Counter[str] = Counter()
+        for w, n in Counter(words).items():
+            found = known.get(w)
+            if found is None:
+                found = _script(w.decode())
+                if len(w) <= CACHED_LENGTH:
+                    known[w] = found
+            scripts[found] += n
+        scripts.pop("", None)
+        return min(scripts, key=lambda s: (-scripts[s], s)) if scripts else ""
+
     def measure(self, text: str) -> tuple:
         words = text.encode().split()
         ids = self.tokens(words)
@@ -111,12 +128,9 @@ class Meter:
         if n > 1:
             share = np.unique(ids, return_counts=True)[1] / n
             evenness = float(-(share * np.log(share)).sum() / np.log(n))
-        scripts = Counter(_script(w.decode()) for w in words[:: max(1, len(words) // 64)])
-        scripts.pop("", None)
-        script = min(scripts, key=lambda s: (-scripts[s], s)) if scripts else ""
         return (
             len(words), chars, sum(map(text.count, SYMBOLS)), repeated_lines(text), repeated_words(words),
-            n, chars / n if n else 0.0, fell_back / n if n else 0.0, round(evenness, 6), script,
+            n, chars / n if n else 0.0, fell_back / n if n else 0.0, round(evenness, 6), self.script(words),
         )
 
 

@@ -64,3 +64,14 @@ def test_foreign_bytes_are_rejected_and_edges(spark):
     assert not got[600]["kept"] and not got[None]["kept"]
     assert quality.fertility_rules(docs.limit(0), MODEL).count() == 0
     assert {r["band"] for r in quality.fertility_rules(docs, MODEL, language_column=None).collect()} >= {"LATIN"}
+
+
+def test_the_script_is_that_of_all_words():
+    with open(MODEL, "rb") as f:
+        meter = quality.Meter(f.read())
+    text = " ".join("слово" if i % 2 == 0 and i % 6 else "word" for i in range(128))
+    glossary = " ".join(["слово", "word", "word"] * 128 + ["слово"] * 3)
+    every_other = " ".join("слово" if i % 2 == 0 else "word" for i in range(128)) + " word"
+    for t in (text, glossary, every_other):
+        assert meter.measure(t)[-1] == "LATIN"
+    assert meter.measure("12 - слово " + "с" * 100)[-1] == "CYRILLIC" and meter.measure("1 2")[-1] == ""
