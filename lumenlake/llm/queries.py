@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenlake.llm import bpe, exact, html, language, packing, pii, quality, simhash, toxicity, warc
+from lumenlake.llm import bpe, exact, html, language, packing, pii, quality, sharding, simhash, toxicity, warc
 from lumenlake.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -59,11 +59,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.fertility_rules(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pii, op2_simhash, op3_packing, op4_exact_dedup, op5_warc, op6_language, op7_html, op8_toxicity, op9_bpe,
-        op10_quality,
+        op10_quality, op12_sharding,
     )
 }
 
