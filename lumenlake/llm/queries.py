@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenlake.llm import bpe, exact, html, language, packing, pii, quality, sharding, simhash, toxicity, warc
+from lumenlake.llm import bpe, exact, html, language, packing, phrases, pii, quality, sharding, simhash, toxicity, warc
 from lumenlake.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -63,11 +63,15 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pii, op2_simhash, op3_packing, op4_exact_dedup, op5_warc, op6_language, op7_html, op8_toxicity, op9_bpe,
-        op10_quality, op12_sharding,
+        op10_quality, op12_sharding, op13_phrases,
     )
 }
 
@@ -89,4 +93,50 @@ ORACLE: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
         FROM q
     """,
+    "op13_phrases": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\x0A-\x0D]') AS pieces
+            FROM documents
+        ),
+        p AS (SELECT lang, row_number() OVER () AS p, piece FROM (SELECT lang, unnest(pieces) AS piece FROM d)),
+        v AS (SELECT lang, p, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        w AS (SELECT lang, p, unnest(w) AS x, unnest(range(len(w))) AS i FROM v),
+        t AS (
+            SELECT lang, x, lead(x) OVER own AS y, lead(x, 2) OVER own AS z FROM w
+            WINDOW own AS (PARTITION BY p ORDER BY i)
+        ),
+        g AS (
+            SELECT lang, 1 AS m, x AS phrase FROM t
+            UNION ALL SELECT lang, 2, x || ' ' || y FROM t WHERE y IS NOT NULL
+            UNION ALL SELECT lang, 3, x || ' ' || y || ' ' || z FROM t WHERE z IS NOT NULL
+        ),
+        f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+        c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 10),
+        k AS (
+            SELECT c.*, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y
+            FROM c CROSS JOIN (VALUES (1), (2)) AS cuts(k) WHERE k < m
+        ),
+        s AS (
+            SELECT k.lang, k.m, k.phrase, k.a, k.k, x.f AS l, y.f AS r,
+                   ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+            FROM k JOIN f AS x ON x.lang = k.lang AND x.phrase = k.x JOIN f AS y ON y.lang = k.lang AND y.phrase = k.y
+        ),
+        best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        longer AS (
+            SELECT lang, part, max(a) AS b FROM (
+                SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part
+                FROM c WHERE m = 3
+            ) GROUP BY ALL
+        ),
+        kept AS (
+            SELECT best.* FROM best LEFT JOIN longer ON longer.lang = best.lang AND longer.part = best.phrase
+            WHERE longer.b IS NULL OR 100 * longer.b < 50 * a
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM kept JOIN n USING (lang)
+        QUALIFY rank <= 2000
+    """,
 }
