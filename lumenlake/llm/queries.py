@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenlake.llm import bpe, exact, html, language, packing, phrases, pii, quality, sharding, simhash, toxicity, warc
+from lumenlake.llm import bpe, exact, html, language, packing, phrases, pii, quality, search, sharding, simhash, toxicity, warc
 from lumenlake.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -59,6 +59,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.fertility_rules(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -71,7 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pii, op2_simhash, op3_packing, op4_exact_dedup, op5_warc, op6_language, op7_html, op8_toxicity, op9_bpe,
-        op10_quality, op12_sharding, op13_phrases,
+        op10_quality, op11_search, op12_sharding, op13_phrases,
     )
 }
 
@@ -93,6 +97,34 @@ ORACLE: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
         FROM q
     """,
+    "op11_search": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+            FROM documents
+        ),
+        i AS (
+            SELECT row_number() OVER () AS i, item_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+            FROM benchmark
+        ),
+        corpus AS (SELECT count(*) FILTER (len(w) > 0)::BIGINT AS n, sum(len(w))::BIGINT AS l FROM d),
+        q AS (SELECT DISTINCT i, item_id, term FROM (SELECT i, item_id, unnest(w) AS term FROM i)),
+        occ AS (SELECT d, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d),
+        tf AS (SELECT d, doc_id, n, term, count(*)::BIGINT AS tf FROM occ GROUP BY ALL),
+        df AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term),
+        s AS (
+            SELECT q.i, q.item_id, tf.d, tf.doc_id,
+                   sum(floor(1000 * ln((2 * c.n + 2)::DOUBLE / (2 * df.df + 1)))::BIGINT
+                       * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (100 - 90 + (90 * tf.n * c.n) // c.l))))::BIGINT AS score
+            FROM q JOIN tf USING (term) JOIN df USING (term) CROSS JOIN corpus AS c GROUP BY ALL
+        )
+        SELECT item_id, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+        FROM s WHERE score > 0
+        QUALIFY rank <= 10
+    """,
     "op13_phrases": r"""
         WITH d AS (
             SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, regexp_split_to_array(
