@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +22,15 @@ def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def large_text(parts: Iterable[pa.Array]) -> pa.Array:
+    """String arrays in a row, with offsets of their own that start at 0.
+
+    A cast slice shares its offsets with what it was cut from, which some of Arrow's
+    string functions don't expect.
+    """
+    return pa.concat_arrays([part.cast(pa.large_string()) for part in parts])
+
+
 def per_text(
     df: DataFrame,
     id_column: str,

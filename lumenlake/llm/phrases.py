@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import text_or_empty
+from lumenlake.llm.common import large_text, text_or_empty
 from lumenlake.operators.numbering import with_row_number
 from lumenlake.operators.skew import attach
 from lumenlake.scratch import store
@@ -83,7 +83,7 @@ def _tokens(texts: pa.Array, window: int) -> tuple[pa.Array, np.ndarray]:
 def parse(langs: pa.Array, texts: pa.Array, longest: int = LONGEST, trigger: int = TRIGGER) -> pa.Table:
     """``lang, chunk, n``: the distinct chunks of some texts."""
     window = longest - 1
-    flat, bounds = _tokens(texts.cast(pa.large_string()), window)
+    flat, bounds = _tokens(large_text([texts]), window)
     ids, words = _encoded(flat)
     known = _hashes(words)[ids]
     # Windows that start in the last tokens of a text would leave it; nothing starts there.
@@ -142,8 +142,7 @@ class Block:
     """Tokens of some distinct chunks, where phrases start in them and where pairs of words are."""
 
     def __init__(self, table: pa.Table, longest: int):
-        chunk = table.column("chunk").combine_chunks().cast(pa.large_string())
-        lists = pc.split_pattern(chunk, " ")
+        lists = pc.split_pattern(large_text(table.column("chunk").chunks), " ")
         bounds = lists.offsets.to_numpy().astype(np.int64)
         bounds = bounds - bounds[0]
         self.ids, self.words = _encoded(lists.flatten())

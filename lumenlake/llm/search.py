@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import text_or_empty
+from lumenlake.llm.common import large_text, text_or_empty
 
 TOP = 10
 #: Text of the documents of one grid, and of the items of one block.
@@ -52,7 +52,7 @@ _GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Text number and term number of each term occurrence, and the distinct terms."""
-    spaced = pc.replace_substring_regex(pc.ascii_lower(texts.cast(pa.large_string())), _GAPS, " ")
+    spaced = pc.replace_substring_regex(pc.ascii_lower(texts), _GAPS, " ")
     lists = pc.split_pattern(pc.ascii_trim(spaced, " "), " ")
     coded = lists.flatten().dictionary_encode()
     ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -220,9 +220,7 @@ def _range_parts(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tupl
 
 def _joined(held: list[pa.RecordBatch]) -> tuple[pa.Array, pa.Array]:
     table = pa.Table.from_batches(held)
-    return table.column("doc_id").combine_chunks(), pa.concat_arrays(
-        [c.cast(pa.large_string()) for c in table.column("text").chunks]
-    )
+    return table.column("doc_id").combine_chunks(), large_text(table.column("text").chunks)
 
 
 def _statistics(source: DataFrame, terms: pa.Array) -> tuple[int, int, np.ndarray]:

@@ -111,6 +111,21 @@ def test_each_phrase_is_counted_once(texts, trigger, longest):
     assert found == plain_counts(docs, longest)
 
 
+def test_slices_of_a_batch_are_parsed_alike(monkeypatch):
+    monkeypatch.setattr(phrases, "SLICE_BYTES", 40)
+    texts = ["Là où À. É", "ü" * 30, "", "ß b C à", "x. É é"] * 20
+    batch = pa.RecordBatch.from_arrays([pa.array(["fr"] * 100), pa.array(texts)], ["lang", "text"])
+    parts = [phrases.parse(p.column("lang"), p.column("text")) for p in phrases._slices(batch)]
+    assert len(parts) > 20
+    apart, whole = Counter(), Counter()
+    for table in parts:
+        for r in table.to_pylist():
+            apart[r["chunk"]] += r["n"]
+    for r in phrases.parse(batch.column("lang"), batch.column("text")).to_pylist():
+        whole[r["chunk"]] += r["n"]
+    assert apart == whole
+
+
 def test_copies_share_their_chunks():
     rnd = random.Random(1)
     passage = " ".join(rnd.choice("abcdefgh") * rnd.randint(1, 4) for _ in range(600))
