@@ -47,8 +47,8 @@ COVERED_PERCENT = 50
 #: One window in so many ends a chunk.
 TRIGGER = 16
 #: Text parsed at a time, and dictionary text per block.
-SLICE_BYTES = 8 << 20
-BLOCK_BYTES = 12 << 20
+SLICE_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
 BLOCKS_PER_TASK = 8
 
 BREAK = "."
@@ -68,7 +68,7 @@ def _hashes(words: pa.Array) -> np.ndarray:
 
 def _encoded(flat: pa.Array) -> tuple[np.ndarray, pa.Array]:
     coded = flat.dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
 def _tokens(texts: pa.Array, window: int) -> tuple[pa.Array, np.ndarray]:
@@ -147,38 +147,42 @@ class Block:
         bounds = bounds - bounds[0]
         self.ids, self.words = _encoded(lists.flatten())
         lengths = np.diff(bounds)
-        lang, self.langs = _encoded(table.column("lang").combine_chunks())
-        self.lang = np.repeat(lang, lengths)
-        weight = np.repeat(table.column("n").to_numpy().astype(np.int64), lengths)
+        self.chunk = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        self.chunk_lang, self.langs = _encoded(table.column("lang").combine_chunks())
+        self.chunk_n = table.column("n").to_numpy().astype(np.int64)
         is_word = pc.not_equal(self.words, BREAK).to_numpy(zero_copy_only=False)[self.ids]
-        own = np.ones(len(self.ids), bool)
+        # What starts in the closing window counts in the next chunk.
+        self.own = np.ones(len(self.ids), bool)
         for k in range(1, longest):
-            own[bounds[1:] - k] = False
-        self.start = np.flatnonzero(is_word & own)
-        # What starts in the closing window counts in the next chunk: weight 0 here.
-        self.weight = np.where(own, weight, 0)
+            self.own[bounds[1:] - k] = False
+        self.start = np.flatnonzero(is_word & self.own)
         paired = is_word[:-1] & is_word[1:]
         paired[bounds[1:-1] - 1] = False
         self.pairs = np.flatnonzero(paired)
 
+    def weight(self, at: np.ndarray) -> np.ndarray:
+        """How often what starts at these places is to be counted."""
+        return np.where(self.own[at], self.chunk_n[self.chunk[at]], 0)
+
     def pair_hashes(self) -> np.ndarray:
         words, langs = _hashes(self.words), _hashes(self.langs)
         i = self.pairs
-        mixed = _mixed(langs[self.lang[i]] + words[self.ids[i]] * np.uint64(_MIX[1]))
+        mixed = _mixed(langs[self.chunk_lang[self.chunk[i]]] + words[self.ids[i]] * np.uint64(_MIX[1]))
         return _mixed(mixed + words[self.ids[i + 1]] * np.uint64(_MIX[2])).view(np.int64)
 
     def counted(self, at: np.ndarray, length: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
         """Language, words and weight of the distinct phrases of ``length`` words that start at ``at``."""
-        group, first = self.lang[at], np.arange(len(at))
+        lang = self.chunk_lang[self.chunk[at]]
+        group, first = lang.astype(np.int64), np.arange(len(at))
         for k in range(length):
             key = group * np.int64(len(self.words)) + self.ids[at + k]
             _, first, group = np.unique(key, return_index=True, return_inverse=True)
         weight = np.zeros(len(first), np.int64)
-        np.add.at(weight, group, self.weight[at])
+        np.add.at(weight, group, self.weight(at))
         at = at[first]
         parts = [self.words.take(pa.array(self.ids[at + k])) for k in range(length)]
         phrase = parts[0] if length == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", self.words.type))
-        return self.langs.take(pa.array(self.lang[at])), phrase, weight
+        return self.langs.take(pa.array(lang[first])), phrase, weight
 
 
 def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,7 +215,7 @@ def frequent_phrases(
 
     def pairs(table: pa.Table) -> pa.Table:
         block = Block(table, longest)
-        keys, weights = _summed(block.pair_hashes(), block.weight[block.pairs])
+        keys, weights = _summed(block.pair_hashes(), block.weight(block.pairs))
         number = pa.repeat(table.column("block")[0], len(keys))
         return pa.table({"block": number, "pair": keys, "n": weights})
 
