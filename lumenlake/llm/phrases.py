@@ -49,7 +49,9 @@ TRIGGER = 16
 #: Text parsed at a time, and dictionary text per block.
 SLICE_BYTES = 4 << 20
 BLOCK_BYTES = 6 << 20
-BLOCKS_PER_TASK = 8
+#: A task holds one block up to this many tasks, beyond that up to so many blocks.
+MANY_TASKS = 1000
+BLOCKS_PER_TASK = 32
 
 BREAK = "."
 _BREAKS = r"[.,;:!?\x0A-\x0D][\x20\x09.,;:!?\x0A-\x0D]*"
@@ -203,15 +205,14 @@ def frequent_phrases(
 ) -> DataFrame:
     """``lang, phrase, words, f``: every single word, and every phrase of 2 to ``longest``
     words that occurs ``least`` times in its language; ``f`` is exact for all of them."""
-    spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text_or_empty(text_column)).cast("long"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
-    tasks = max(min(n_blocks, 4 * spark.sparkContext.defaultParallelism), n_blocks // BLOCKS_PER_TASK)
+    tasks = max(min(n_blocks, MANY_TASKS), n_blocks // BLOCKS_PER_TASK)
     dealt = chunks(docs, lang_column, text_column, longest, trigger).withColumn(
         "block", F.pmod(F.xxhash64("lang", "chunk"), F.lit(n_blocks)).cast("int")
     )
     # Dealt by block alone, so that adding up a chunk's copies and both visits to a block share one shuffle.
-    dictionary = dealt.repartition(int(tasks), "block").groupBy("block", "lang", "chunk").agg(F.sum("n").alias("n"))
+    dictionary = dealt.repartition(tasks, "block").groupBy("block", "lang", "chunk").agg(F.sum("n").alias("n"))
 
     def pairs(table: pa.Table) -> pa.Table:
         block = Block(table, longest)
