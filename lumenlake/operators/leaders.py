@@ -13,9 +13,8 @@ Two things keep the work down where many hashes lie close together:
   inside a dense region are never listed; only the region's first rows are
   paired up.  A stage's size follows from measured bucket sizes and density.
 * Inside a stage only still undecided pairs go to the next round.  Long chains
-  settle one link per round; after a few rounds what is left is settled in blocks
-  along the order instead, each of a bounded number of pairs by the sequential
-  rule, so the number of rounds is about open pairs / block size.
+  settle one link per round; after a few rounds what is left is contracted in parts
+  of the order side by side, or walked component by component (:mod:`settle`).
 
 Each stage and round is written to the scratch folder, so lost executors do not
 repeat earlier ones.
@@ -25,11 +24,11 @@ from __future__ import annotations
 
 from math import sqrt
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.operators.near import HOT_BUCKET, bucket_work, choose_bands, near_pairs
+from lumenlake.operators.settle import taken_rows
 from lumenlake.scratch import store, store_counted
 
 # Pairs one stage may list, and candidate pairs it may test, by estimate.
@@ -42,9 +41,9 @@ ESTIMATE_ROWS = 20_000
 # A stage never gets smaller than this many rows.
 MIN_STAGE = 4_096
 
-# After this many rounds the remainder is settled in blocks ...
+# After this many rounds the remainder is settled in parts ...
 PATIENT_ROUNDS = 6
-# ... of at most this many pairs.
+# ... of about this many pairs at most.
 BLOCK_PAIRS = 200_000
 
 
@@ -159,16 +158,13 @@ def _followers(
     found: list[DataFrame] = []
     open_pairs, n_open, rounds = pairs, n_pairs, 0
     while n_open:
-        cut = _block_end(open_pairs, n_open, block_pairs) if rounds >= patient_rounds else None
-        if cut is None:
-            newly = store(_round(open_pairs), "taken")
-            left = open_pairs
-        else:
-            newly = _settle_block(open_pairs, cut)
-            left = open_pairs.filter(F.col("lo") > cut)
+        if rounds >= patient_rounds:
+            found.append(taken_rows(open_pairs, n_open, block_pairs))
+            break
+        newly = store(_round(open_pairs), "taken")
         found.append(newly)
         open_pairs, n_open = store_counted(
-            left
+            open_pairs
             .join(newly.select(F.col("pos").alias("hi")), "hi", "left_anti")
             .join(newly.select(F.col("pos").alias("lo")), "lo", "left_anti"),
             "open",
@@ -189,46 +185,3 @@ def _round(open_pairs: DataFrame) -> DataFrame:
     )
     return open_pairs.join(leads, "lo", "left_semi").select(F.col("hi").alias("pos")).distinct()
 
-
-def _block_end(open_pairs: DataFrame, n_open: int, block_pairs: int) -> int | None:
-    """A place in the order up to which at most ``block_pairs`` pairs lie; None if
-    the first row with pairs has more than that."""
-    if n_open <= block_pairs:
-        return open_pairs.agg(F.max("hi")).first()[0]
-    share = block_pairs / n_open / 2
-    accuracy = int(min(10_000_000, max(10_000, 20 / share)))
-    cut = open_pairs.agg(F.percentile_approx("hi", share, accuracy)).first()[0]
-    inside = open_pairs.filter(F.col("hi") <= cut).count()
-    return cut if inside <= block_pairs else None
-
-
-def _settle_block(open_pairs: DataFrame, cut: int) -> DataFrame:
-    """Rows taken by rows up to ``cut``.  What happens up to there depends on the
-    pairs inside only; leaders among them then take their later neighbours."""
-    inside = store(_settle(open_pairs.filter(F.col("hi") <= cut)), "taken")
-    later = (
-        open_pairs.filter((F.col("lo") <= cut) & (F.col("hi") > cut))
-        .join(inside.select(F.col("pos").alias("lo")), "lo", "left_anti")
-        .select(F.col("hi").alias("pos")).distinct()
-    )
-    return store(inside.unionByName(later), "taken")
-
-
-def _settle(block: DataFrame) -> DataFrame:
-    """Sequential rule on at most ``block_pairs`` pairs, checked by the caller."""
-
-    def settle(frame: pd.DataFrame) -> pd.DataFrame:
-        later: dict[int, list[int]] = {}
-        for lo, hi in frame.sort_values(["lo", "hi"]).itertuples(index=False):
-            later.setdefault(lo, []).append(hi)
-        gone: set[int] = set()
-        for lo, followers in later.items():
-            if lo not in gone:
-                gone.update(followers)
-        return pd.DataFrame({"pos": sorted(gone)}, dtype="int64")
-
-    return (
-        block.withColumn("all", F.lit(0))
-        .groupBy("all")
-        .applyInPandas(lambda frame: settle(frame[["lo", "hi"]]), "pos long")
-    )
