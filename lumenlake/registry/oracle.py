@@ -159,6 +159,26 @@ boxes AS (
 """
 
 
+# Lanczos weights of 16 samples for 8 cells in 2^20ths, columns first, then rows.
+_RESAMPLED = """
+offsets AS (SELECT i, c, ((2 * i + 1) * 8 - (2 * c + 1) * 16) / 32.0::DOUBLE AS t FROM range(16) AS s(i), range(8) AS o(c)),
+kernel AS (
+  SELECT i, c, CASE WHEN t = 0 THEN 1048576 WHEN abs(t) < 3 THEN CAST(floor(
+    sin(pi() * t) / (pi() * t) * sin(pi() * t / 3) / (pi() * t / 3) * 1048576 + 0.5) AS BIGINT) ELSE 0 END AS w
+  FROM offsets),
+down AS (
+  SELECT vec_id, x, c AS r, 2 * 65536 * sum(w * luma) + sum(w) AS a, 2 * sum(w) AS b
+  FROM pixels JOIN kernel ON i = y GROUP BY ALL),
+lines AS (SELECT vec_id, x, r, (a - ((a % b) + b) % b) // b AS v FROM down),
+across AS (
+  SELECT vec_id, r, c, 2 * sum(w * v) + 65536 * sum(w) AS a, 2 * 65536 * sum(w) AS b
+  FROM lines JOIN kernel ON i = x GROUP BY ALL),
+resampled AS (
+  SELECT vec_id, r * 8 + c AS cell, CAST(least(greatest((a - ((a % b) + b) % b) // b, 0), 255) AS INTEGER) AS value
+  FROM across)
+"""
+
+
 def _size_text(size: str) -> str:
     def part(power: int, unit: str) -> str:
         return (
@@ -349,6 +369,12 @@ SELECT CAST(vec_id AS VARCHAR) AS id, CAST(cell AS INTEGER) AS cell, mean FROM b
         _CELLS, _PIXELS,
         "lists AS (SELECT vec_id, list(mean ORDER BY cell) AS means FROM boxes GROUP BY vec_id)",
     ) + f"SELECT CAST(vec_id AS VARCHAR) AS id, {_hex(_hash_of('means'))} AS phash FROM lists",
+    "lanczos_reduce": _with(_CELLS, _PIXELS, _RESAMPLED) + """
+SELECT CAST(vec_id AS VARCHAR) AS id, CAST(cell AS INTEGER) AS cell, value FROM resampled""",
+    "lanczos_hashes": _with(
+        _CELLS, _PIXELS, _RESAMPLED,
+        "lists AS (SELECT vec_id, list(value ORDER BY cell) AS means FROM resampled GROUP BY vec_id)",
+    ) + f"SELECT CAST(vec_id AS VARCHAR) AS id, {_hex(_hash_of('means'))} AS phash FROM lists",
     "classify_media": _with(MEDIA) + f"""
 SELECT pos, file_name AS name, extension AS ext, lower(file_name) AS name_key,
        extension IN {_SCAN_IMAGES} OR extension IN {_SCAN_VIDEOS} AS is_media,

@@ -13,7 +13,7 @@ from lumenlake.functions import classify, display, text
 from lumenlake.functions.dates import parse_capture_time
 from lumenlake.functions.hashing import average_hash, hex16
 from lumenlake.operators import keysets
-from lumenlake.operators.grid import perceptual_hashes, reduce_grid
+from lumenlake.operators.grid import perceptual_hashes, reduce_grid, resample_grid
 from lumenlake.operators.leaders import leader_clusters
 from lumenlake.operators.near import HOT_BUCKET, choose_bands, near_pairs
 from lumenlake.operators.tags import project_tags, with_metadata
@@ -170,6 +170,20 @@ def grid_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perceptual_hashes(grids).select("id", hex16(F.col("perceptual_hash")).alias("phash"))
 
 
+@register
+def lanczos_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every picture's grid by Lanczos resampling."""
+    grids = resample_grid(tables.pixel_grid(spark, sf_dir))
+    return grids.select("id", F.posexplode("cells").alias("cell", "value"))
+
+
+@register
+def lanczos_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average hashes of the resampled grids."""
+    grids = resample_grid(tables.pixel_grid(spark, sf_dir))
+    return perceptual_hashes(grids).select("id", hex16(F.col("perceptual_hash")).alias("phash"))
+
+
 # Classification and statistics ----------------------------------------------
 
 @register

@@ -4,13 +4,20 @@ Folders are listed in tasks, one directory level per round: a table of directori
 gives a table of their files and subdirectories, which is written, and so on until
 no directory is left.  No file name passes through the driver.  Contents are read
 in tasks too, in blocks, and only of files below the digest limit.
+
+A folder of any size is listed in pages, so a task holds one page of names.  On disks
+the listing takes names and kinds only; the sizes of media files are asked for
+afterwards, by as many tasks as their number calls for.  A store that can list a range
+of names (:class:`KeyRangeStore`) has large folders listed by many tasks: one that has
+read its pages hands back the rest of its range, cut into ranges for the next round.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from typing import Protocol
 
 import pyarrow as pa
 from pyarrow import fs
@@ -31,7 +38,31 @@ MOST_TASKS = 100_000
 BLOCK = 1 << 20
 BYTES_PER_TASK = 128 << 20
 
-_ENTRY = "root_no int, root string, inner string, is_dir boolean, length long, trail array<string>"
+# Names a task holds at a time, and pages of a range it lists before it hands back the rest.
+PAGE = 10_000
+PAGES_PER_TASK = 100
+# Sizes asked for by one task.
+SIZES_PER_TASK = 100_000
+
+_ENTRY = (
+    "root_no int, root string, inner string, is_dir boolean, length long, trail array<string>, "
+    "after string, before string"
+)
+_ARROW_ENTRY = pa.schema([
+    ("root_no", pa.int32()), ("root", pa.string()), ("inner", pa.string()), ("is_dir", pa.bool_()),
+    ("length", pa.int64()), ("trail", pa.list_(pa.string())), ("after", pa.string()), ("before", pa.string()),
+])
+
+
+class KeyRangeStore(Protocol):
+    """A store whose folders can be listed from any name on, as object stores can."""
+
+    def page(self, folder: str, after: str | None, limit: int) -> list[tuple[str, bool, int]]:
+        """At most ``limit`` entries ``(name, is_dir, length)`` of a folder, in the order of
+        their names' code points, from the first name after ``after`` on."""
+
+
+Stores = Mapping[str, Callable[[], KeyRangeStore]]
 
 
 def _place(root: str) -> tuple[str, str]:
@@ -49,12 +80,38 @@ def _system(prefix: str) -> fs.FileSystem:
     return fs.FileSystem.from_uri(f"{prefix}/")[0] if prefix else fs.LocalFileSystem()
 
 
-def _children(system: fs.FileSystem, local: bool, inner: str, trail: list[str]) -> Iterator[tuple]:
-    """``inner, is_dir, length, trail`` of a directory's entries.
+def _on_disk(inner: str, trail: list[str]) -> Iterator[tuple]:
+    """``inner, is_dir, length, trail`` of a directory's entries, lengths left open.
 
     Links are followed unless they lead to a directory on the way to themselves.
-    What cannot be read gives nothing.
+    What cannot be read, or has a name that is no text, gives nothing.
     """
+    try:
+        scan = os.scandir(inner)
+    except OSError:
+        return
+    with scan:
+        while True:
+            try:
+                entry = next(scan, None)
+                if entry is None:
+                    return
+                entry.path.encode()
+                if entry.is_dir():
+                    real = os.path.realpath(entry.path)
+                    real.encode()
+                    if real not in trail:
+                        yield entry.path, True, 0, [*trail, real]
+                elif entry.is_file():
+                    yield entry.path, False, None, []
+            except UnicodeError:
+                continue
+            except OSError:
+                return
+
+
+def _in_system(system: fs.FileSystem, inner: str, trail: list[str]) -> Iterator[tuple]:
+    """The same for other file systems, which tell lengths at once."""
     try:
         entries = system.get_file_info(fs.FileSelector(inner))
     except OSError:
@@ -62,50 +119,130 @@ def _children(system: fs.FileSystem, local: bool, inner: str, trail: list[str])
     for entry in entries:
         if entry.type == fs.FileType.File:
             yield entry.path, False, entry.size, []
-        elif entry.type == fs.FileType.Directory:
-            real = os.path.realpath(entry.path) if local else entry.path
-            if real not in trail:
-                yield entry.path, True, 0, [*trail, real]
+        elif entry.type == fs.FileType.Directory and entry.path not in trail:
+            yield entry.path, True, 0, [*trail, entry.path]
+
+
+# Names are compared as numbers of this many digits; a digit is a printable ASCII character.
+_DIGITS, _FIRST, _LAST = 8, 0x20, 0x7E
+
+
+def _number(text: str) -> int:
+    out = 0
+    for k in range(_DIGITS):
+        digit = min(max(ord(text[k]), _FIRST), _LAST) - _FIRST if k < len(text) else 0
+        out = out * (_LAST - _FIRST + 1) + digit
+    return out
+
+
+def _text(number: int) -> str:
+    out = ""
+    for _ in range(_DIGITS):
+        number, digit = divmod(number, _LAST - _FIRST + 1)
+        out = chr(digit + _FIRST) + out
+    return out
+
+
+def key_cuts(after: str, before: str | None) -> list[str]:
+    """Names strictly between two, in ascending order: evenly spread ones, and ones that
+    come ever closer to the lower, as what is left may lie at any scale above it."""
+    shared = os.path.commonprefix([after, before]) if before is not None else ""
+    low = _number(after[len(shared):])
+    high = _number(before[len(shared):]) if before is not None else _number(chr(_LAST) * _DIGITS)
+    span = max(high - low, 0)
+    steps = {span * k // 16 for k in range(1, 16)} | {span >> k for k in range(1, span.bit_length())}
+    cuts = {shared + _text(low + step) for step in steps}
+    return sorted(c for c in cuts if after < c and (before is None or c < before))
+
+
+def _in_store(store: KeyRangeStore, row: dict, size: int, pages: int) -> Iterator[tuple]:
+    """Entries after the name ``after`` up to ``before``; what is left after some pages comes as ranges."""
+    inner, after, before = row["inner"], row["after"], row["before"]
+    for _ in range(pages):
+        entries = store.page(inner, after, size)
+        for name, is_dir, length in entries:
+            if before is not None and name > before:
+                return
+            yield f"{inner.rstrip('/')}/{name}", is_dir, length, [], None, None
+        if len(entries) < size:
+            return
+        after = entries[-1][0]
+    bounds = [after, *key_cuts(after, before), before]
+    for low, high in zip(bounds, bounds[1:]):
+        yield inner, True, 0, [], low, high
+
+
+def _entries(row: dict, systems: dict, stores: Stores, size: int, pages: int) -> Iterator[tuple]:
+    prefix = row["root"]
+    scheme = prefix.split("://", 1)[0]
+    if scheme in stores:
+        if prefix not in systems:
+            systems[prefix] = stores[scheme]()
+        yield from _in_store(systems[prefix], row, size, pages)
+        return
+    if prefix:
+        try:
+            if prefix not in systems:
+                systems[prefix] = _system(prefix)
+        except OSError:
+            return
+        found = _in_system(systems[prefix], row["inner"], row["trail"])
+    else:
+        found = _on_disk(row["inner"], row["trail"])
+    for entry in found:
+        yield *entry, None, None
+
 
+def _lister(stores: Stores, size: int = PAGE, pages: int = PAGES_PER_TASK) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = ("inner", "is_dir", "length", "trail", "after", "before")
 
-def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    systems: dict[str, fs.FileSystem] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        systems: dict[str, object] = {}
+        page: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                for entry in _entries(row, systems, stores, size, pages):
+                    page.append({"root_no": row["root_no"], "root": row["root"], **dict(zip(names, entry))})
+                    if len(page) == size:
+                        yield pa.RecordBatch.from_pylist(page, schema=_ARROW_ENTRY)
+                        page = []
+        yield pa.RecordBatch.from_pylist(page, schema=_ARROW_ENTRY)
+
+    return run
+
+
+def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lengths of files on disk; those that are gone meanwhile are left out."""
     for batch in batches:
-        rows = []
-        for row in batch.to_pylist():
-            prefix = row["root"]
+        lengths = []
+        for path in batch.column("path").to_pylist():
             try:
-                system = systems.setdefault(prefix, None) or _system(prefix)
+                lengths.append(os.stat(path).st_size)
             except OSError:
-                continue
-            systems[prefix] = system
-            for inner, is_dir, length, trail in _children(system, not prefix, row["inner"], row["trail"]):
-                rows.append({
-                    "root_no": row["root_no"], "root": prefix, "inner": inner, "is_dir": is_dir,
-                    "length": length, "trail": trail,
-                })
-        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW_ENTRY)
+                lengths.append(None)
+        sized = batch.set_column(2, "length", pa.array(lengths, pa.int64()))
+        yield sized.filter(sized.column("length").is_valid())
 
 
-_ARROW_ENTRY = pa.schema([
-    ("root_no", pa.int32()), ("root", pa.string()), ("inner", pa.string()), ("is_dir", pa.bool_()),
-    ("length", pa.int64()), ("trail", pa.list_(pa.string())),
-])
-
-
-def _roots(roots: Sequence[str]) -> list[tuple]:
-    """The roots as entries; one that is no file or cannot be read is left to the listing."""
+def _roots(roots: Sequence[str], stores: Stores) -> list[tuple]:
+    """The roots as entries; those that are neither file nor folder, or cannot be read, are left out."""
     out = []
     for number, root in enumerate(roots):
+        if "://" in root and root.split("://", 1)[0] in stores:
+            scheme, rest = root.split("://", 1)
+            host, _, inner = rest.partition("/")
+            out.append((number, f"{scheme}://{host}", f"/{inner}", True, 0, [], None, None))
+            continue
         prefix, inner = _place(root)
         try:
             info = _system(prefix).get_file_info(inner)
         except OSError:
             continue
         if info.type == fs.FileType.File:
-            out.append((number, prefix, inner, False, info.size, []))
+            out.append((number, prefix, inner, False, info.size, [], None, None))
         elif info.type == fs.FileType.Directory:
-            out.append((number, prefix, inner, True, 0, [inner if prefix else os.path.realpath(inner)]))
+            trail = [inner if prefix else os.path.realpath(inner)]
+            out.append((number, prefix, inner, True, 0, trail, None, None))
     return out
 
 
@@ -113,30 +250,42 @@ def scan_media(
     spark: SparkSession,
     roots: Sequence[str],
     extensions: Sequence[str] = MEDIA_EXTENSIONS,
+    stores: Stores | None = None,
+    page: int = PAGE,
+    pages_per_task: int = PAGES_PER_TASK,
 ) -> DataFrame:
     """Media files below the roots as ``(root_no, path, length)`` (SRC1, FIL1).
 
     File contents are not read.  A file below two roots is listed for each.
     Names may start with any character, and files may be empty.  Roots or folders
-    that are missing or unreadable give no rows.
+    that are missing or unreadable give no rows.  ``stores`` maps a scheme of addresses
+    to what makes a :class:`KeyRangeStore` in a task; roots under it are folders.
     """
     if not roots:
         raise ValueError("no folders given")
-    level = spark.createDataFrame(_roots(roots), _ENTRY)
-    levels, n = [level], level.filter("is_dir").count()
+    stores = dict(stores or {})
+    media = extension(file_name(F.col("inner"))).isin(list(extensions))
+    open_size = ~F.col("is_dir") & F.col("length").isNull() & media
+    level = spark.createDataFrame(_roots(roots, stores), _ENTRY)
+    levels, n, n_open = [level], level.filter("is_dir").count(), 0
     while n:
-        # A directory is a unit of work though its row is a few bytes.
-        dealt = level.filter("is_dir").repartition(min(n, MOST_TASKS), "root_no", "inner")
+        # A directory or range is a unit of work though its row is a few bytes.
+        dealt = level.filter("is_dir").repartition(min(n, MOST_TASKS), "root_no", "inner", "after")
         level, seen = store_observed(
-            dealt.mapInArrow(_list, _ENTRY), "listing", n_dirs=F.count_if("is_dir")
+            dealt.mapInArrow(_lister(stores, page, pages_per_task), _ENTRY), "listing",
+            n_dirs=F.count_if("is_dir"), n_open=F.count_if(open_size),
         )
         levels.append(level)
-        n = seen["n_dirs"]
-    found = _union([x.filter("NOT is_dir") for x in levels])
-    path = F.concat("root", "inner")
-    return found.filter(extension(file_name(path)).isin(list(extensions))).select(
-        "root_no", path.alias("path"), "length"
+        n, n_open = seen["n_dirs"], n_open + seen["n_open"]
+    found = _union([x.filter("NOT is_dir") for x in levels]).filter(media).select(
+        "root_no", F.concat("root", "inner").alias("path"), "length"
     )
+    if not n_open:
+        return found
+    tasks = max(min(n_open, spark.sparkContext.defaultParallelism), n_open // SIZES_PER_TASK)
+    asked = found.filter("length IS NULL").repartition(min(tasks, MOST_TASKS), "path")
+    sized = asked.mapInArrow(_sized, "root_no int, path string, length long")
+    return found.filter("length IS NOT NULL").unionByName(store(sized, "sized"))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

@@ -3,13 +3,16 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import json
+import math
+import random
 import struct
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lumenlake.operators.grid import reduce_grid
+from lumenlake.operators.grid import image_grids, reduce_grid, resample_grid
 from lumenlake.operators.tags import project_tags, with_metadata
 from lumenlake.schema import MEDIA_FILE, from_json_rows, to_json_rows, with_defaults
 from lumenlake.sources import files as src
@@ -187,8 +190,7 @@ def test_picture_hash_equals_pixel_table_hash(spark, tmp_path, width, height):
     (tmp_path / "p.png").write_bytes(picture(width, height, luma))
     (tmp_path / "broken.png").write_bytes(b"not a picture")
     images = read_images(spark, str(tmp_path))
-    from lumenlake.operators.grid import image_grids
-    decoded = image_grids(images).collect()
+    decoded = image_grids(images, "box").collect()
     assert [(r.width, r.height) for r in decoded] == [(width, height)]
     pixels = spark.createDataFrame(
         [("p", width, height, x, y, luma(x, y)) for x in range(width) for y in range(height)],
@@ -197,3 +199,117 @@ def test_picture_hash_equals_pixel_table_hash(spark, tmp_path, width, height):
     assert len(cells) == 64
     assert decoded[0].cells == cells
     assert hash_images(images).count() == 1
+    sharp = image_grids(images).collect()[0].cells
+    assert sharp == resample_grid(pixels).first().cells
+
+
+def plain_lanczos(plane, width, height):
+    """Separable resampling in floating point, columns first."""
+    def line(values):
+        n, out = len(values), []
+        scale = max(n / 8, 1)
+        for c in range(8):
+            def weight(i):
+                t = (i + 0.5 - (c + 0.5) * n / 8) / scale
+                if abs(t) >= 3:
+                    return 0.0
+                if abs(t) < 1e-12:
+                    return 1.0
+                return math.sin(math.pi * t) / (math.pi * t) * math.sin(math.pi * t / 3) / (math.pi * t / 3)
+            weights = [weight(i) for i in range(n)]
+            out.append(sum(w * v for w, v in zip(weights, values)) / sum(weights))
+        return out
+    columns = [line([plane[y][x] for y in range(height)]) for x in range(width)]
+    rows = [line([columns[x][r] for x in range(width)]) for r in range(8)]
+    return [min(max(v, 0.0), 255.0) for row in rows for v in row]
+
+
+def test_resampled_cells_equal_plain_lanczos(spark):
+    rnd = random.Random(4)
+    sizes = [(1, 1), (3, 9), (8, 8), (16, 5), (33, 20), (64, 50), (101, 7)]
+    pictures = {f"p{k}": (w, h, [[[rnd.choice([0, 255, rnd.randrange(256)]) for _ in range(3)] for _ in range(w)]
+                                 for _ in range(h)]) for k, (w, h) in enumerate(sizes)}
+    rows = [(k, w, h, x, y, *data[y][x]) for k, (w, h, data) in pictures.items() for y in range(h) for x in range(w)]
+    pixels = spark.createDataFrame(rows, "id string, width int, height int, x int, y int, r int, g int, b int")
+    images = spark.createDataFrame(
+        [(k, w, h, 3, bytearray(v for line in data for px in line for v in reversed(px))) for k, (w, h, data) in pictures.items()],
+        "path string, width int, height int, n_channels int, data binary")
+    decoded = {r.path: r.cells for r in image_grids(images).collect()}
+    grids = {r.id: r.cells for r in resample_grid(pixels, ("r", "g", "b")).collect()}
+    for one in range(3):
+        name = "rgb"[one]
+        found = {r.id: r.cells for r in resample_grid(pixels.withColumnRenamed(name, "luma")).collect()}
+        for k, (w, h, data) in pictures.items():
+            wanted = plain_lanczos([[px[one] for px in line] for line in data], w, h)
+            assert all(abs(a - b) <= 0.501 for a, b in zip(found[k], wanted)), (k, name)
+            pictures[k][2][0][0].append(found[k])
+    for k, (w, h, data) in pictures.items():
+        red, green, blue = data[0][0][3:]
+        assert decoded[k] == grids[k] == [
+            (2126 * r + 7152 * g + 722 * b) // 10000 for r, g, b in zip(red, green, blue)]
+
+
+def test_flat_folder_is_listed_in_pages(tmp_path):
+    for k in range(250):
+        (tmp_path / f"{k:04d}.jpg").write_bytes(b"x" * (k % 3))
+    (tmp_path / "sub").mkdir()
+    row = {"root_no": 0, "root": "", "inner": str(tmp_path), "is_dir": True, "length": 0,
+           "trail": [str(tmp_path)], "after": None, "before": None}
+    batch = pa.RecordBatch.from_pylist([row], schema=src._ARROW_ENTRY)
+    pages = list(src._lister({}, 40)(iter([batch])))
+    assert len(pages) == 7 and max(p.num_rows for p in pages) == 40
+    files = [r for p in pages for r in p.to_pylist() if not r["is_dir"]]
+    # Sizes come in a step of their own.
+    assert len(files) == 250 and all(r["length"] is None for r in files)
+
+
+def test_sizes_are_asked_for_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(src, "SIZES_PER_TASK", 10)
+    for k in range(120):
+        (tmp_path / f"{k}.jpg").write_bytes(b"x" * k)
+        (tmp_path / f"{k}.txt").write_bytes(b"x")
+    rows = src.scan_media(spark, [str(tmp_path)]).collect()
+    assert sorted(r.length for r in rows) == list(range(120))
+
+
+def test_large_folders_of_a_store_are_listed_by_many_tasks(spark, monkeypatch):
+    ranges = []
+    write = src.store_observed
+
+    def observed(*args, **facts):
+        stored, seen = write(*args, **facts)
+        ranges.append(seen["n_dirs"])
+        return stored, seen
+
+    monkeypatch.setattr(src, "store_observed", observed)
+
+    class Fake:
+        """Two folders; one holds 3,000 names, some of them not ASCII."""
+
+        def names(self, folder):
+            if folder == "/lake/in/flat":
+                return sorted([f"img_{k:05d}.jpg" for k in range(2990)] + [f"é{k}.png" for k in range(9)] + ["img_"])
+            return ["a.jpg", "flat", "~.jpg"] if folder == "/lake/in" else []
+
+        def page(self, folder, after, limit):
+            rest = [n for n in self.names(folder) if after is None or n > after]
+            return [(n, n == "flat", len(n)) for n in rest[:limit]]
+
+    listed = src.scan_media(spark, ["fake://bucket/lake/in"], stores={"fake": Fake}, page=50, pages_per_task=2)
+    rows = listed.collect()
+    wanted = {f"fake://bucket/lake/in/{n}" for n in ["a.jpg", "~.jpg"]} | {
+        f"fake://bucket/lake/in/flat/{n}" for n in Fake().names("/lake/in/flat") if "." in n}
+    assert len(rows) == len(wanted) and {r.path for r in rows} == wanted
+    assert all(r.length == len(r.path.rsplit("/", 1)[1]) for r in rows)
+    # 30 tasks' worth of names: many ranges a round, and few rounds.
+    assert max(ranges) >= 16 and len(ranges) <= 12
+
+
+@pytest.mark.parametrize("after,before", [
+    ("a", None), ("img_00100", "img_00900"), ("a", "a!"), ("é1", "é9"), ("", "b"), ("x" * 20, "x" * 20 + "y"), ("zz", None),
+])
+def test_cuts_lie_between(after, before):
+    cuts = src.key_cuts(after, before)
+    assert cuts == sorted(set(cuts)) and all(after < c and (before is None or c < before) for c in cuts)
+    if after == "img_00100":
+        assert len(cuts) > 16
