@@ -1,22 +1,26 @@
-"""Main text of web pages by paths that the pages of a host agree on.
+"""Main text of web pages, with paths that the pages of a host agree on.
 
 Each page is parsed into containers and text blocks.  Navigation, headers and
 footers of the page, sidebars, notices, adverts, forms, scripts, styles and
 reader comments are left out by element, role, class or id.  An element marked by
 words, or a form, stays if it holds the article or, without one, most of the text;
-all of them stay if nothing else is left.
-
-The lowest container outside of which no heading and next to no other text remains
-is the page's own choice, so lead, body and continuation stay together; its path of
-elements and classes, with digits made alike, is a vote for its host.  Votes are
-grouped counts, so a host of any size is a few rows per task.  Pages are then
-extracted again with the paths their host agreed on; a page that has none of them
-keeps its own choice.
+all of them stay if nothing else is left.  Inside an article ids say nothing, as they
+are made from headings, and only words that cannot belong to its text count.
+
+The page's own choice is the lowest container outside of which no text remains, so
+however short a lead, an end or a list of links is, it stays with the body.  A page
+with just one ``main`` has its main text there, as the element says.  The path of
+elements and classes to the choice, with digits made alike, is a vote for its host.
+Votes are grouped counts, so a host of any size is a few rows per task.  Pages are then
+extracted again with the paths their host agreed on: a container on the way to one of
+them is content on that host, and stays also on pages where words or its share of the
+text would have it left out.  An agreed path never drops text; pages of another
+template keep their own choice.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are joined in page order by one space.  Nulls count as empty pages and
 give an empty text; a null address is a host of its own name ''.  Ids may be
-null or repeat; every input row gives one row.
+null or repeat; every input row gives one row.  Equal votes rank by path.
 """
 
 from __future__ import annotations
@@ -35,19 +39,13 @@ from lumenlake.scratch import store
 #: A path is agreed on from so many votes and this share of its host's pages.
 LEAST_VOTES = 2
 LEAST_SHARE = 0.1
-#: A container is entered further while less than so many bytes of text outside of
-#: links, and at most this share of the page's, stay out; no heading may.
-LEAST_TEXT = 20
-LEAST_PART = 0.15
-#: Text outside a page's only ``main`` is not its main text, if that holds this share.
-MAIN_SHARE = 0.5
 PATH_DEPTH = 12
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 DROPPED = frozenset(
     "script style noscript template head title nav footer aside button select textarea input label "
-    "iframe object embed svg canvas map dialog menu audio video math xmp noembed noframes".split()
+    "iframe object embed svg canvas map dialog menu audio video xmp noembed noframes".split()
 )
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike "
@@ -76,6 +74,11 @@ NOISE = frozenset(
     "reply replies respond rss share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe tags "
     "toolbar toc widget widgets contentinfo complementary search alert".split()
 )
+#: Words that inside an article may belong to its text.
+AMBIGUOUS = frozenset(
+    "alert notice notices login masthead banner overlay popular recommended related reply replies respond search skip "
+    "tags toc complementary contentinfo".split()
+)
 #: Page headers only: inside an article the same words belong to it.
 OUTER_NOISE = frozenset("header head top".split())
 ANY_NOISE = NOISE | OUTER_NOISE
@@ -97,39 +100,36 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _PART = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
-_HOST = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/@]*@)?([^/:?#]*)", re.I)
+_HOST = r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/@]*@)?([^/:?#]*)"
 
 
 class Page:
     """Elements by number (parents come first) and text blocks in page order."""
 
-    def __init__(self, text: str) -> None:
+    def __init__(self, text: str, paths: list[str] | None = None) -> None:
         self._parse(text, frozenset())
-        if self.marked and (spared := self._spared()):
+        if self.marked and (spared := self._spared() | self._agreed(paths or [])):
             self._parse(text, spared)
         if not self.blocks and self.marked:
             self._parse(text, frozenset(self.marked))
 
     def _parse(self, text: str, spared: frozenset[int]) -> None:
         self.tag, self.label, self.parent, self.dropped, self.depth = ["#page"], [""], [-1], [False], [0]
-        self.blocks: list[tuple[int, str, int]] = []  # container, text, bytes in links
+        self.blocks: list[tuple[int, str]] = []  # container, text
         self.marked: dict[int, bool] = {}  # forms and elements marked by words; whether as comments
         self.sure = [False]  # dropped whatever the words say
         self.unlinked = [0]  # characters outside of links, also in marked elements
         stack = [0]
         opened: dict[str, int] = {}
         parts: list[str] = []
-        linked = 0
         containers = [0]  # those on the stack
 
         def flush() -> None:
-            nonlocal linked
             if parts:
                 block = " ".join(entities.unescape("".join(parts)).split())
                 parts.clear()
                 if block:
-                    self.blocks.append((containers[-1], block, linked))
-            linked = 0
+                    self.blocks.append((containers[-1], block))
 
         def leave(to: int) -> None:
             """Close elements down to the stack length ``to``."""
@@ -142,13 +142,10 @@ class Page:
             del stack[to:]
 
         def add(piece: str) -> None:
-            nonlocal linked
             if piece and not self.sure[stack[-1]] and not opened.get("a"):
                 self.unlinked[stack[-1]] += len(piece.strip())
             if piece and not self.dropped[stack[-1]]:
                 parts.append(piece)
-                if opened.get("a"):
-                    linked += len(piece.encode())
 
         at = 0
         while (found := _TOKEN.search(text, at)) is not None:
@@ -229,6 +226,13 @@ class Page:
             if not outside and not comments and (article[e] or below[e] > MOST * below[0])
         )
 
+    def _agreed(self, paths: list[str]) -> frozenset[int]:
+        """Marked elements on the way to a container that the host agreed on; comments never are."""
+        return frozenset(
+            e for e, comments in self.marked.items()
+            if not comments and any(f"{p}>".startswith(f"{self.path(e)}>") for p in paths)
+        )
+
     @staticmethod
     def _label(tag: str, attributes: str, inside: bool) -> tuple[str, bool, str]:
         """Label, whether the element is dropped for sure, and what its words or its being a
@@ -244,11 +248,11 @@ class Page:
                 elif key == "style":
                     noise = noise or re.search(r"display\s*:\s*none", value) is not None
                 else:
-                    # The id of a heading is made from its text.
-                    if tag not in ("html", "body", "article", "main") and not (key == "id" and tag in HEADINGS):
+                    # Ids inside an article, and of headings anywhere, are made from its text.
+                    if tag not in ("html", "body", "article", "main") and not (key == "id" and (inside or tag in HEADINGS)):
                         for token in value.split():
                             words = set(_PART.findall(token))
-                            telling = words & NOISE if inside else words & ANY_NOISE
+                            telling = words & (NOISE - AMBIGUOUS) if inside else words & ANY_NOISE
                             if telling and words <= telling | PLACE:
                                 marks = "comments" if words & COMMENTS else marks or "noise"
                     if key == "class":
@@ -264,16 +268,13 @@ class Page:
         return ">".join(reversed(labels))
 
     def choice(self) -> int:
-        """The lowest container that holds all headings and nearly all other text."""
+        """The lowest container outside of which no text remains."""
         n = len(self.tag)
-        weight, headings = [0] * n, [0] * n
-        for element, block, linked in self.blocks:
-            unlinked = max(0, len(block.encode()) - 2 * linked)
-            weight[element] += unlinked
-            headings[element] += unlinked > 0 and self.tag[element] in HEADINGS
+        weight = [0] * n
+        for element, block in self.blocks:
+            weight[element] += len(block)
         for e in range(n - 1, 0, -1):
             weight[self.parent[e]] += weight[e]
-            headings[self.parent[e]] += headings[e]
         children: dict[int, int] = {}
         nearest = [0] * n  # block around the element; inline parents are passed through
         for e in range(1, n):
@@ -281,62 +282,29 @@ class Page:
             if self.tag[up] in INLINE:
                 up = nearest[up]
             nearest[e] = up
-            if self.tag[e] not in TEXTUAL and self.tag[e] not in INLINE:
-                best = children.get(up)
-                if best is None or weight[e] > weight[best]:
-                    children[up] = e
+            if self.tag[e] not in TEXTUAL and self.tag[e] not in INLINE and weight[e] == weight[up]:
+                children[up] = e
         mains = [e for e in range(1, n) if self.tag[e] == "main" and weight[e]]
-        at = mains[0] if len(mains) == 1 and weight[mains[0]] >= MAIN_SHARE * weight[0] else 0
-        total, titles = weight[at], headings[at]
-        while (child := children.get(at)) is not None and weight[child]:
-            left = total - weight[child]
-            if left >= LEAST_TEXT or left > LEAST_PART * total or headings[child] < titles:
-                break
+        at = mains[0] if len(mains) == 1 else 0
+        while weight[at] and (child := children.get(at)) is not None:
             if self.tag[at] in ("article", "main") and self.tag[child] != "article":
                 break
             at = child
         return at
 
-    def chosen(self, paths: list[str]) -> list[int]:
-        """Outermost elements of the first of ``paths`` that this page has with text."""
-        if not paths:
-            return []
-        rank = {p: i for i, p in enumerate(paths)}
-        last = {p.rsplit(">", 1)[-1] for p in paths}
-        found: dict[int, list[int]] = {}
-        for e in range(1, len(self.tag)):
-            if self.label[e] in last and not self.dropped[e] and (i := rank.get(self.path(e))) is not None:
-                found.setdefault(i, []).append(e)
-        filled = {element for element, _, _ in self.blocks}
-        for i in sorted(found):
-            inside = self._below(found[i])
-            if any(inside[e] for e in filled):
-                return found[i]
-        return []
-
-    def _below(self, roots: list[int]) -> list[bool]:
+    def text(self, root: int) -> str:
         inside = [False] * len(self.tag)
-        for r in roots:
-            inside[r] = True
+        inside[root] = True
         for e in range(1, len(self.tag)):
             inside[e] = inside[e] or inside[self.parent[e]]
-        return inside
-
-    def text(self, roots: list[int]) -> str:
-        inside = self._below(roots)
-        return " ".join(block for element, block, _ in self.blocks if inside[element])
-
-
-def host_of(url: str | None) -> str:
-    found = _HOST.match(url or "")
-    return found[1].lower() if found else ""
+        return " ".join(block for element, block in self.blocks if inside[element])
 
 
 def extract(html: str, paths: list[str]) -> tuple[str, str]:
-    """Main text and the path it was taken from."""
-    page = Page(html)
-    roots = page.chosen(paths) or [page.choice()]
-    return page.text(roots), page.path(roots[0])
+    """Main text and the path it was taken from, given the paths the host agreed on."""
+    page = Page(html, paths)
+    root = page.choice()
+    return page.text(root), page.path(root)
 
 
 def host_paths(pages: DataFrame, url_column: str = "url", html_column: str = "html") -> DataFrame:
@@ -349,7 +317,7 @@ def host_paths(pages: DataFrame, url_column: str = "url", html_column: str = "ht
 
         return of
 
-    host = F.lower(F.regexp_extract(F.coalesce(url_column, F.lit("")), r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/@]*@)?([^/:?#]*)", 1))
+    host = F.lower(F.regexp_extract(F.coalesce(url_column, F.lit("")), _HOST, 1))
     votes = per_text(pages.withColumn("_host", host), url_column, text_or_empty(html_column), "path string", make, keep="_host")
     counted = store(votes.groupBy(F.col("_host").alias("host"), "path").agg(F.count("*").alias("votes")), "votes")
     total = counted.groupBy("host").agg(F.sum("votes").alias("pages"))
@@ -366,7 +334,7 @@ def main_text(
 ) -> DataFrame:
     """``page_id, url, text, n_chars, path``."""
     agreed = store(host_paths(pages, url_column, html_column), "host-paths")
-    host = F.lower(F.regexp_extract(F.coalesce(url_column, F.lit("")), r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/@]*@)?([^/:?#]*)", 1))
+    host = F.lower(F.regexp_extract(F.coalesce(url_column, F.lit("")), _HOST, 1))
     rows = pages.select(
         F.col(id_column).alias("page_id"), F.col(url_column).alias("url"),
         text_or_empty(html_column).alias("html"), host.alias("host"),

@@ -48,16 +48,51 @@ def test_hostile_pages_are_linear():
         html.extract(page, [])
 
 
+def texts(spark, pages):
+    rows = html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    return {r["page_id"]: r["text"] for r in rows}
+
+
 def test_host_paths_decide(spark):
-    note = "<div class='body-{0}'><p>real text {0} here</p></div><div class='extra'>" + "<p>long repeated words</p>" * 8 + "</div>"
-    usual = "<div class='body-{0}'>" + "<p>real text of some length {0}</p>" * 9 + "</div><div class='extra'>z</div>"
+    """Where a host keeps its articles in what looks like a widget, a short one is found too."""
+    usual = "<div class='widget'>" + "<p>real text of some length {0}</p>" * 9 + "</div><div class='extra'>z</div>"
+    note = "<div class='widget'><p>real text {0}</p></div><div class='extra'>" + "<p>more words</p>" * 8 + "</div>"
     pages = [(i, "http://h.example/p", usual.format(i)) for i in range(12)] + [(99, "http://H.example:80/q", note.format(99))]
     pages += [(100, "http://other.example/", note.format(100)), (101, None, None)]
-    rows = html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
-    text = {r["page_id"]: r["text"] for r in rows}
-    assert text[99] == "real text 99 here"
-    assert text[100].startswith("long repeated")
-    assert text[3] == " ".join(["real text of some length 3"] * 9) and text[101] == ""
+    pages += [(i, "http://w.example/", usual.replace("z<", "<").format(i)) for i in (200, 201)]
+    pages += [(202, "http://w.example/", note.format(202))]
+    text = texts(spark, pages)
+    usual_text = " ".join(["real text of some length 3"] * 9)
+    assert text[3] == usual_text + " z" and text[101] == ""
+    assert text[202] == "real text 202" + " more words" * 8
+    assert text[100] == " ".join(["more words"] * 8)
+
+
+LOSSLESS = [
+    f"<div class=content><p>Brief 3.</p><div class=body>{BODY}</div></div>",
+    f"<div class=content><div class=body>{BODY}</div><p>The end.</p></div>",
+    f"<div class=content><div class=body>{BODY}</div><p><a href=x>{'linked words ' * 6}</a></p></div>",
+    f"<div class=content><div class=body>{BODY}</div><ul>{'<li><a href=x>reference</a></li>' * 8}</ul></div>",
+    f"<article>{BODY}<section id='search'>a</section><section id='navigation'>b</section><section class=related>c</section>"
+    "<p id=reply>d</p><div class=login>e</div><p class='alert'>f</p><math><mi>x</mi></math></article>",
+    f"<div class=story>{BODY}</div><div class=card>teaser</div>", f"<div class=card>teaser</div><article>{BODY}</article>",
+]
+
+
+@pytest.mark.parametrize("page", LOSSLESS)
+def test_all_text_of_an_article_stays(page):
+    assert html.extract(page, [])[0] == " ".join(re.sub("<[^>]*>", " ", page).split())
+
+
+def test_all_text_stays_whatever_the_host_agrees_on(spark):
+    body, card = f"<div class=content><div class=body>{BODY}</div></div>", f"<div class=card>{BODY}</div>"
+    pages = [(i, f"http://h{k}.example/", body if i % 2 else card) for k in range(len(LOSSLESS)) for i in range(100 * k, 100 * k + 9)]
+    pages += [(10_000 + k, f"http://h{k}.example/", page) for k, page in enumerate(LOSSLESS)]
+    pages += [(20_000 + 10 * k + i, f"http://own{k}.example/", page) for k, page in enumerate(LOSSLESS) for i in range(5)]
+    text = texts(spark, pages)
+    for k, page in enumerate(LOSSLESS):
+        wanted = " ".join(re.sub("<[^>]*>", " ", page).split())
+        assert text[10_000 + k] == wanted and all(text[20_000 + 10 * k + i] == wanted for i in range(5))
 
 
 def test_edges(spark):
@@ -102,7 +137,7 @@ def test_siblings_stay_when_the_host_votes(spark):
 
 @pytest.mark.parametrize("page,text", [
     (f"<div class='layout has-sidebar'>{BODY}</div>", CLEAN), (f"<div class='no-sidebar'><article>{BODY}</article></div>", CLEAN),
-    (f"<div id='top'>{BODY}</div><div>z</div>", CLEAN), (f"<div class='header-and-content'>{BODY}</div>", CLEAN),
+    (f"<div id='top'>{BODY}</div><div>z</div>", CLEAN + " z"), (f"<div class='header-and-content'>{BODY}</div>", CLEAN),
     (f"<form id=aspnetForm><div>{BODY}</div><input><button>b</button></form>", CLEAN),
     (f"<div id=top><article>{BODY}</article></div><div class=comments>{BODY * 3}</div>", CLEAN),
     (f"<article>{BODY}<section id='related-work'><p>r</p></section><h2 id='social-history'>s</h2><h2 id=search>h</h2>"
