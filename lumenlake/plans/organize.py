@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenlake.constants import (
@@ -19,7 +19,7 @@ from lumenlake.functions.text import (
 )
 from lumenlake.operators.numbering import with_row_number
 from lumenlake.operators.skew import HOT_ROWS, attach
-from lumenlake.scratch import store_counted
+from lumenlake.scratch import finished, store_counted, store_observed
 
 MOVED, COPIED, SKIPPED, FAILED = "moved", "copied", "skipped", "failed"
 
@@ -283,13 +283,74 @@ def write_layout(
     ``folder`` directory.  Rows are rebalanced by folder: small folders come from
     one task, big ones are split, and few small files result.
     """
+    _write_parts(files, _parts(strategy, as_of), path, mode)
+
+
+def _parts(strategy: str | dict, as_of: dt.date | None) -> dict[str, Column]:
     spec = strategy_of(strategy)
-    if spec["type"] == "byDate" and spec.get("format") != "flatDate":
-        day = capture_day(F.col("date_taken"), as_of)
-        parts = {"year": F.year(day), "month": F.month(day), "day": F.dayofmonth(day)}
-        depth = {"yearMonthDay": 3, "yearMonth": 2, "yearOnly": 1}[spec.get("format", DATE_FORMATS[0])]
-        parts = dict(list(parts.items())[:depth])
-    else:
-        parts = {"folder": folder_of(spec, as_of)}
+    if spec["type"] != "byDate" or spec.get("format") == "flatDate":
+        return {"folder": folder_of(spec, as_of)}
+    day = capture_day(F.col("date_taken"), as_of)
+    parts = {"year": F.year(day), "month": F.month(day), "day": F.dayofmonth(day)}
+    depth = {"yearMonthDay": 3, "yearMonth": 2, "yearOnly": 1}[spec.get("format", DATE_FORMATS[0])]
+    return dict(list(parts.items())[:depth])
+
+
+def _write_parts(files: DataFrame, parts: dict[str, Column], path: str, mode: str) -> None:
     placed = files.select("*", *[value.alias(name) for name, value in parts.items()])
     placed.hint("rebalance", *parts).write.mode(mode).partitionBy(*parts).parquet(path)
+
+
+def layout_destinations(spark: SparkSession, path: str) -> DataFrame | None:
+    """``(pos, destination)`` of the rows a layout holds, None if it holds none."""
+    commits = finished(spark, f"{path}/manifest", "commit")
+    return spark.read.parquet(*[f"{path}/manifest/commit={n}" for n in commits]) if commits else None
+
+
+def read_layout(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows a layout holds, with ``destination`` and the columns of its folders.
+
+    Only rows of committed runs are read; what a run that failed has left is not.
+    """
+    commits = finished(spark, f"{path}/manifest", "commit")
+    if not commits:
+        return None
+    return spark.read.option("basePath", f"{path}/rows").parquet(*[f"{path}/rows/commit={n}" for n in commits])
+
+
+def execute_layout(
+    files: DataFrame,
+    strategy: str | dict,
+    path: str,
+    destination: str,
+    missing: DataFrame | None = None,
+    copy: bool = False,
+    as_of: dt.date | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Carry out a plan as a layout table at ``path``; gives the :func:`outcomes`.
+
+    Destinations that the layout holds already exist, so a run that is repeated skips
+    everything and adds nothing.  A run writes its rows under a number of their own,
+    then the list of their destinations; the latter's commit is what makes the run
+    part of the layout.  A run that fails before that leaves the layout as it was, and
+    the next one replaces what it left.  One run at a time may write to a layout.
+    """
+    spark = files.sparkSession
+    commits = finished(spark, f"{path}/manifest", "commit")
+    number = commits[-1] + 1 if commits else 1
+    done = F.col("outcome").isin(MOVED, COPIED)
+    result, seen = store_observed(
+        outcomes(files, strategy, destination, layout_destinations(spark, path), missing, copy, as_of, hot_rows),
+        "outcomes", n_done=F.count_if(done),
+    )
+    if seen["n_done"]:
+        rows = files.join(result.filter(done).select("pos"), "pos", "left_semi").withColumn(
+            "destination", destination_of(strategy, destination, as_of)
+        )
+        target = f"{path}/rows/commit={number}"
+        _write_parts(rows, _parts(strategy, as_of), target, "overwrite")
+        spark.read.parquet(target).select("pos", "destination").write.mode("overwrite").parquet(
+            f"{path}/manifest/commit={number}"
+        )
+    return result

@@ -525,6 +525,16 @@ SELECT m.pos, k.taken,
 FROM media m LEFT JOIN known k USING (path)""",
     "progress_series": _with(_PROGRESS)
     + "SELECT * FROM records",
+    "progress_records": _with(_PROGRESS)
+    + "SELECT * FROM records",
+    "layout_repeat": _with(
+        MEDIA, f"planned AS (SELECT {_FOLDERS['dest_by_type']} || '/' || file_name AS destination FROM media)",
+        "n AS (SELECT count(*) AS files, count(DISTINCT destination) AS places FROM planned)",
+    ) + """SELECT * FROM (
+  SELECT 1 AS run, 'moved' AS outcome, places AS n_files FROM n
+  UNION ALL SELECT 1, 'skipped', files - places FROM n
+  UNION ALL SELECT 2, 'skipped', files FROM n
+  UNION ALL SELECT 2, 'held', places FROM n) WHERE n_files > 0""",
     "progress_stream": _with(_PROGRESS) + "SELECT * FROM records WHERE phase = 'Complete'",
 }
 ORACLE.update({

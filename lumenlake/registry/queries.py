@@ -469,6 +469,21 @@ def layout_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def layout_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layout carried out twice: outcomes of both runs, and what the table then holds."""
+    path, files = new_path(spark, "layout"), with_defaults(docs(spark, sf_dir))
+    runs = [organize.execute_layout(files, {"type": "byType"}, path, DESTINATION) for _ in range(2)]
+    counts = [
+        run.groupBy("outcome").agg(F.count("*").alias("n_files")).select(F.lit(k).alias("run"), "outcome", "n_files")
+        for k, run in enumerate(runs, 1)
+    ]
+    held = organize.read_layout(spark, path).agg(F.count("*").alias("n_files"))
+    return counts[0].unionByName(counts[1]).unionByName(
+        held.select(F.lit(2).alias("run"), F.lit("held").alias("outcome"), "n_files")
+    )
+
+
 # Metadata -------------------------------------------------------------------
 
 @register
@@ -550,7 +565,22 @@ def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream, progress.run_totals(log), feed, checkpoint, availableNow=True
     )
     query.awaitTermination()
-    return _rounded(progress.read_progress(spark.read.parquet(feed)))
+    return _rounded(progress.read_feed(spark, feed))
+
+
+@register
+def progress_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log read as a stream, all records read back."""
+    log = tables.run_log(spark, sf_dir)
+    events = tables.table(spark, sf_dir, "events")
+    path, checkpoint = new_path(spark, "records"), new_path(spark, "stream")
+    stream = (
+        spark.readStream.schema(events.schema)
+        .option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+        .select(*tables.run_log_columns())
+    )
+    progress.stream_records(stream, progress.run_totals(log), path, checkpoint, availableNow=True).awaitTermination()
+    return _rounded(progress.read_records(spark, path))
 
 
 # Folders --------------------------------------------------------------------

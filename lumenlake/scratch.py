@@ -20,14 +20,14 @@ def scratch_root(spark: SparkSession) -> str:
     """Folder for this application's intermediate tables, removed when its JVM ends.
 
     The place is the session's ``spark.checkpoint.dir``, else the folder set with
-    ``SparkContext.setCheckpointDir``, else one beside the warehouse.  On a cluster
-    all of these are shared by its machines.
+    ``SparkContext.setCheckpointDir``, else one beside the warehouse.  The last is
+    refused on a cluster if it lies on a machine's own disk.
     """
-    shared = (
-        spark.conf.get("spark.checkpoint.dir", None)
-        or spark.sparkContext.getCheckpointDir()
-        or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-scratch"
-    )
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-scratch"
+        if not is_shared(spark.sparkContext.master, shared):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
     root = f"{shared.rstrip('/')}/lumenlake-{spark.sparkContext.applicationId}"
     if root not in _roots:
         system, folder = _at(spark, root)
@@ -37,6 +37,27 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def is_shared(master: str, path: str) -> bool:
+    """Whether all machines of ``master`` see one and the same ``path``."""
+    one_machine = master == "local" or master.startswith("local[")
+    return one_machine or ("://" in path and not path.startswith("file:"))
+
+
+def finished(spark: SparkSession, path: str, key: str) -> list[int]:
+    """Numbers n, ascending, of the complete tables ``path/key=n``: those whose write was committed."""
+    system, folder = _at(spark, path)
+    if not system.exists(folder):
+        return []
+    names = [status.getPath().getName() for status in system.listStatus(folder)]
+    numbers = [int(name[len(key) + 1:]) for name in names if name.startswith(f"{key}=")]
+    return sorted(n for n in numbers if system.exists(_at(spark, f"{path}/{key}={n}/_SUCCESS")[1]))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, folder = _at(spark, path)
+    system.delete(folder, True)
+
+
 def _at(spark: SparkSession, path: str):
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder

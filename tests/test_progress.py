@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
-from lumenlake.scratch import new_path
+import pytest
+
+from lumenlake.scratch import finished, new_path
 from lumenlake.streaming import progress
 
 START = dt.datetime(2024, 1, 1)
@@ -70,3 +73,46 @@ def test_stream_over_several_batches(spark, tmp_path):
     assert run() == [("a", "Hashing", 5, 25, "a-4"), ("b", "Hashing", 5, 8, "b-4")]
     data.filter("seq >= 5 AND scan_id = 'b'").coalesce(1).write.mode("append").parquet(source)
     assert run() == [("a", "Hashing", 5, 25, "a-4"), ("b", "Complete", 8, 8, None)]
+
+
+@pytest.mark.parametrize("cuts,hot", [([], 1_000_000), ([1, 9, 10, 11, 40], 1_000_000), ([30, 31], 4)])
+def test_streamed_records_equal_the_series(spark, tmp_path, cuts, hot):
+    """The log cut into batches anywhere; the second half comes after a restart."""
+    rnd = random.Random(len(cuts))
+    data = log(spark, {"a": (25, 2.0), "b": (8, 0.0), "c": (1, 1.0), "d": (41, 0.5)})
+    rows = sorted(data.collect(), key=lambda r: (r.ts, r.seq, rnd.random()))
+    source, path, checkpoint = str(tmp_path / "log"), new_path(spark, "records"), new_path(spark, "checkpoint")
+    bounds = [0, *cuts, len(rows)]
+    for low, high in zip(bounds, bounds[1:]):
+        spark.createDataFrame(rows[low:high], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        if high in (bounds[len(bounds) // 2], len(rows)):
+            stream = spark.readStream.schema(data.schema).option("maxFilesPerTrigger", 1).parquet(source)
+            progress.stream_records(
+                stream, progress.run_totals(data), path, checkpoint, hot_rows=hot, availableNow=True
+            ).awaitTermination()
+    wanted = progress.progress_series(data).orderBy("scan_id", "step").collect()
+    assert progress.read_records(spark, path).orderBy("scan_id", "step").collect() == wanted
+    assert len(finished(spark, f"{path}/state", "batch")) <= 2
+
+
+def test_compacted_feed(spark, tmp_path):
+    data = log(spark, {"a": (12, 2.0), "b": (3, 1.0)})
+    source, feed, checkpoint = str(tmp_path / "log"), new_path(spark, "feed"), new_path(spark, "checkpoint")
+    totals = progress.run_totals(data)
+    assert progress.read_feed(spark, feed) is None
+    for k in range(12):
+        data.filter(f"seq = {k}").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(data.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    progress.stream_progress(stream, totals, feed, checkpoint, compact_every=3, availableNow=True).awaitTermination()
+    latest = {r.scan_id: (r.phase, r.current) for r in progress.read_feed(spark, feed).collect()}
+    assert latest == {"a": ("Complete", 12), "b": ("Complete", 3)}
+    # One snapshot and a bounded number of batches are left, and a compaction can be repeated.
+    assert finished(spark, f"{feed}/_snapshots", "upto") == [8, 11]
+    assert finished(spark, feed, "batch") == [9, 10, 11]
+    progress.compact_feed(spark, feed, 11)
+    # An unfinished snapshot is not read.
+    (tmp_path / "x").mkdir()
+    spark.read.parquet(f"{feed}/_snapshots/upto=8").limit(0).write.option(
+        "mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{feed}/_snapshots/upto=14")
+    assert finished(spark, f"{feed}/_snapshots", "upto") == [8, 11]
+    assert {r.scan_id: (r.phase, r.current) for r in progress.read_feed(spark, feed).collect()} == latest
