@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenlake.constants import PREVIEW_FILES, PREVIEW_HASHES
@@ -68,6 +68,44 @@ def pages(files: DataFrame, size: int) -> DataFrame:
     ).drop("place")
 
 
+def write_pages(files: DataFrame, path: str) -> None:
+    """Store rows in the order of ``pos`` so that any page can be read by itself.
+
+    The rows are sorted by range over the cluster; each range is a folder, and each row
+    keeps its place in its range.  A small table says which row number each range begins
+    with; it has a row per range.
+    """
+    ordered = files.sort("pos").withColumns({
+        "range_no": F.spark_partition_id(),
+        "place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1),
+    })
+    ordered.write.partitionBy("range_no").parquet(f"{path}/rows")
+    counts = files.sparkSession.read.parquet(f"{path}/rows").groupBy("range_no").agg(F.count("*").alias("n"))
+    before = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).write.parquet(f"{path}/offsets")
+
+
+def read_page(spark: SparkSession, path: str, page: int, size: int) -> DataFrame:
+    """One page of stored rows, with ``page`` and ``slot`` as :func:`pages` gives them; a
+    negative page counts from the end.  Only ranges that the page touches are read."""
+    offsets = spark.read.parquet(f"{path}/offsets")
+    if page < 0:
+        total = offsets.agg(F.sum("n")).first()[0] or 0
+        page += -(-total // size)
+    low = page * size
+    # At most ``size`` ranges, as none is empty.
+    touched = offsets.filter((F.col("first") < low + size) & (F.col("first") + F.col("n") > low)).collect()
+    rows = spark.read.parquet(f"{path}/rows").filter(F.col("range_no").isin([r["range_no"] for r in touched]))
+    wanted, number = F.lit(False), F.lit(None).cast("long")
+    for r in touched:
+        own = F.col("range_no") == r["range_no"]
+        wanted = wanted | (own & F.col("place").between(low - r["first"], low + size - 1 - r["first"]))
+        number = F.when(own, F.col("place") + r["first"]).otherwise(number)
+    return rows.filter(wanted).withColumns({
+        "page": F.lit(page).cast("long"), "slot": number - low,
+    }).drop("range_no", "place")
+
+
 def select_range(files: DataFrame, ends: DataFrame) -> DataFrame:
     """Rows from one file to another in input order, either way round (WIN4).
 

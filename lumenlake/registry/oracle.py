@@ -404,6 +404,10 @@ FROM media ORDER BY pos LIMIT 10""",
     "page_slice": _with(MEDIA) + """
 SELECT pos, file_name, (row_number() OVER (ORDER BY pos) - 1) // 48 AS page,
        (row_number() OVER (ORDER BY pos) - 1) % 48 AS slot FROM media""",
+    "page_read": _with(MEDIA) + """
+SELECT pos, file_name, (n - 1) // 48 AS page, (n - 1) % 48 AS slot
+FROM (SELECT pos, file_name, row_number() OVER (ORDER BY pos) AS n, count(*) OVER () AS total FROM media)
+WHERE (n - 1) // 48 IN (1, (total - 1) // 48)""",
     "range_select": _with(MEDIA) + """,
 ends AS (
   (SELECT pos FROM media ORDER BY file_size DESC, pos DESC LIMIT 1) UNION ALL

@@ -233,6 +233,14 @@ def page_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.pages(docs(spark, sf_dir).select("pos", "file_name"), PAGE)
 
 
+@register
+def page_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second and the last page of stored rows, each read by itself."""
+    path = new_path(spark, "pages")
+    stats.write_pages(docs(spark, sf_dir).select("pos", "file_name"), path)
+    return stats.read_page(spark, path, 1, PAGE).unionByName(stats.read_page(spark, path, -1, PAGE))
+
+
 @register
 def range_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the largest to the smallest file, whichever comes first."""

@@ -14,13 +14,17 @@ read its pages hands back the rest of its range, cut into ranges for the next ro
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
+import json
 import os
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -295,24 +299,68 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def digests(files: DataFrame, total_bytes: int) -> DataFrame:
-    """``path, md5_hash, sha256_hash`` of ``files (path)``; nulls for unreadable ones."""
+@dataclass(frozen=True)
+class RunLog:
+    """Where a run says what it has done so far: a folder that all machines share.
+
+    Tasks append a file of lines ``scan_id, current_file, seq, ts`` whenever they have
+    done some more files.  Lines are written under another name first, so readers see
+    whole files only; a task that is repeated writes the same files again.
+    """
+
+    path: str
+    scan_id: str
+    every: int = 100
+
+    def append(self, part: int, at: int, files: list[str]) -> None:
+        prefix, folder = _place(f"{self.path}/files")
+        system, name = _system(prefix), f"part-{part:06d}-{at:010d}.json"
+        system.create_dir(folder, recursive=True)
+        now = dt.datetime.now(dt.timezone.utc).isoformat()
+        lines = [
+            json.dumps({"scan_id": self.scan_id, "current_file": file, "seq": (part << 33) + at + k, "ts": now})
+            for k, file in enumerate(files)
+        ]
+        with system.open_output_stream(f"{folder}/_{name}", compression=None) as out:
+            out.write("\n".join([*lines, ""]).encode())
+        system.move(f"{folder}/_{name}", f"{folder}/{name}")
+
+
+_DIGESTS = pa.schema([("path", pa.string()), ("md5_hash", pa.string()), ("sha256_hash", pa.string())])
+
+
+def digests(
+    files: DataFrame, total_bytes: int, hash_limit: int | None = None, log: RunLog | None = None
+) -> DataFrame:
+    """``path, md5_hash, sha256_hash`` of ``files (path)``; nulls for unreadable ones.
+
+    With a ``log``, files also have ``length`` and ``n``, how often they are listed: those
+    of ``hash_limit`` and more are not opened, and every file is logged ``n`` times.
+    """
+    size = log.every if log else 1000
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         systems: dict[str, fs.FileSystem] = {}
+        at, part = 0, TaskContext.get().partitionId()
         for batch in batches:
-            paths = batch.column(0).to_pylist()
-            found = [_digest(systems, path) for path in paths]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(list(x), pa.string()) for x in zip(*found))]
-                if paths else [batch.column(0), pa.array([], pa.string()), pa.array([], pa.string())],
-                ["path", "md5_hash", "sha256_hash"],
-            )
+            for first in range(0, batch.num_rows, size):
+                rows = batch.slice(first, size).to_pylist()
+                found = []
+                for row in rows:
+                    small = not log or row["length"] < hash_limit
+                    found.append((row["path"], *(_digest(systems, row["path"]) if small else (None, None))))
+                if log:
+                    done = [row["path"] for row in rows for _ in range(row["n"])]
+                    log.append(part, at, done)
+                    at += len(done)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found)], schema=_DIGESTS)
 
     tasks = min(max(total_bytes // BYTES_PER_TASK, files.sparkSession.sparkContext.defaultParallelism), MOST_TASKS)
-    return files.select("path").repartition(int(tasks), "path").mapInArrow(
-        read, "path string, md5_hash string, sha256_hash string"
-    )
+    dealt = files.select("path", *(["length", "n"] if log else [])).repartition(int(tasks), "path")
+    if log:
+        # In the same order whenever a task is repeated.
+        dealt = dealt.sortWithinPartitions("path")
+    return dealt.mapInArrow(read, "path string, md5_hash string, sha256_hash string")
 
 
 def _digest(systems: dict[str, fs.FileSystem], path: str) -> tuple[str | None, str | None]:
@@ -354,6 +402,8 @@ def build_catalog(
     hash_limit: int = HASH_LIMIT,
     meta_limit: int = META_LIMIT,
     extensions: Sequence[str] = MEDIA_EXTENSIONS,
+    stores: Stores | None = None,
+    log: RunLog | None = None,
 ) -> DataFrame:
     """Full catalogue of the media files below the roots (SRC3, SRC4).
 
@@ -361,12 +411,20 @@ def build_catalog(
     under ``hash_limit``: the size test sits on the listing, so larger files are
     never opened.  The digests are then joined to the listing, which keeps every
     file: a larger or unreadable one just has no digests.  ``pos`` follows root and
-    path order.
+    path order.  With a ``log``, tasks tell of every file of the catalogue as they go;
+    its records follow from ``streaming.progress`` while this runs.
     """
-    listed = scan_media(spark, roots, extensions)
-    small = listed.filter(F.col("length") < hash_limit).groupBy("path").agg(F.max("length").alias("length"))
-    small, seen = store_observed(small, "to-hash", n_bytes=F.sum("length"))
-    hashed = store(digests(small, seen["n_bytes"] or 0), "digests")
+    listed = scan_media(spark, roots, extensions, stores)
+    small = F.col("length") < hash_limit
+    paths = listed.groupBy("path").agg(F.max("length").alias("length"), F.count("*").alias("n"))
+    paths, seen = store_observed(
+        paths if log else paths.filter(small), "to-hash",
+        n_bytes=F.sum(F.when(small, F.col("length"))), n_files=F.sum("n"),
+    )
+    if log:
+        totals = spark.createDataFrame([(log.scan_id, seen["n_files"] or 0)], "scan_id string, total long")
+        totals.write.mode("append").parquet(f"{log.path}/totals")
+    hashed = store(digests(paths, seen["n_bytes"] or 0, hash_limit, log), "digests")
     placed = with_row_number(listed, [], ["root_no", "path"], "place")
     rows = placed.join(hashed, "path", "left").select(
         (F.col("place") - 1).alias("pos"), *_row_columns(), "md5_hash", "sha256_hash"

@@ -25,6 +25,8 @@ INITIALIZING, SCANNING, HASHING, COMPLETE = (PHASES[i] for i in (0, 1, 2, 6))
 COMPACT_EVERY = 100
 NOTHING_FOUND = "No media files found"  # Fixed value: message text.
 
+LOG_SCHEMA = "scan_id string, current_file string, seq long, ts timestamp"
+
 PROGRESS_COLUMNS = [
     "scan_id", "step", "phase", "current", "total", "current_file", "speed", "eta_seconds",
     "percent", "speed_text", "eta_text",
@@ -52,6 +54,17 @@ def _records(rows: DataFrame) -> DataFrame:
     )
 
 
+def read_log(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """The log that tasks append to during ``sources.files.build_catalog``."""
+    reader = spark.readStream if stream else spark.read
+    return reader.schema(LOG_SCHEMA).json(f"{path}/files")
+
+
+def read_totals(spark: SparkSession, path: str) -> DataFrame:
+    """``(scan_id, total)`` of such a log; there once the files are listed."""
+    return spark.read.schema("scan_id string, total long").parquet(f"{path}/totals")
+
+
 def run_totals(log: DataFrame) -> DataFrame:
     """Number of files and start of every run."""
     return log.groupBy("scan_id").agg(F.count("*").alias("total"), F.min("ts").alias("start"))

@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from lumenlake.scratch import new_path
 from lumenlake.operators import keysets
 from lumenlake.operators.numbering import with_row_number
 from lumenlake.operators.skew import attach
@@ -331,3 +333,24 @@ def test_scratch_follows_the_setting_or_the_context(spark, tmp_path):
         shared = f"file:{tmp_path}"
     assert scratch.scratch_root(spark).startswith(f"{shared.rstrip('/')}/")
     assert store(spark.range(3), "some").count() == 3
+
+
+def test_a_stored_page_reads_its_ranges_only(spark):
+    path = new_path(spark, "pages")
+    files = spark.range(3, 4003, 2, numPartitions=7).selectExpr("id * id AS pos", "concat('f', id) AS file_name")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stats.write_pages(files, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    wanted = {}
+    for r in stats.pages(files, 48).collect():
+        wanted.setdefault(r.page, []).append(tuple(r))
+    for page in (0, 5, 21, 41):
+        read = stats.read_page(spark, path, page, 48)
+        assert sorted(map(tuple, read.collect())) == sorted(wanted[page])
+        plan = read._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"PartitionFilters: \[[^\]]*range_no", plan) and "Exchange" not in plan
+    assert 7 <= spark.read.parquet(f"{path}/offsets").count() <= 8
+    assert sorted(map(tuple, stats.read_page(spark, path, -1, 48).collect())) == sorted(wanted[max(wanted)])
+    assert stats.read_page(spark, path, 1000, 48).count() == 0

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from lumenlake.operators.grid import image_grids, reduce_grid, resample_grid
 from lumenlake.operators.tags import project_tags, with_metadata
 from lumenlake.schema import MEDIA_FILE, from_json_rows, to_json_rows, with_defaults
+from lumenlake.scratch import new_path
 from lumenlake.sources import files as src
 from lumenlake.sources.images import hash_images, read_images
+from lumenlake.streaming import progress
 
 
 @pytest.fixture()
@@ -96,6 +98,32 @@ def test_catalog(spark, folder):
     assert not rows["a.JPG"].is_blurry and rows["a.JPG"].date_taken is None
 
 
+def test_progress_while_the_catalogue_is_built(spark, folder, monkeypatch):
+    """Tasks' log holds every row of the catalogue; records are there before the build ends."""
+    log = src.RunLog(new_path(spark, "log"), "run", every=2)
+    paths = {"feed": new_path(spark, "feed"), "state": new_path(spark, "checkpoint")}
+    seen = []
+    number = src.with_row_number
+
+    def numbered(*args):
+        stream = progress.read_log(spark, log.path, stream=True)
+        totals = progress.read_totals(spark, log.path)
+        progress.stream_progress(stream, totals, *paths.values(), availableNow=True).awaitTermination()
+        seen.extend(progress.read_feed(spark, paths["feed"]).collect())
+        return number(*args)
+
+    monkeypatch.setattr(src, "with_row_number", numbered)
+    roots = [str(folder), str(folder / "b")]
+    rows = src.build_catalog(spark, roots, hash_limit=100, log=log).collect()
+    assert len(rows) == 8 and [(r.scan_id, r.phase, r.current, r.total) for r in seen] == [("run", "Complete", 8, 8)]
+    logged = progress.read_log(spark, log.path).collect()
+    assert sorted(r.current_file for r in logged) == sorted(r.path for r in rows)
+    assert len({r.seq for r in logged}) == 8
+    assert {r.file_name: r.sha256_hash for r in rows}["d.mp4"] is None
+    last = progress.progress_series(progress.read_log(spark, log.path)).filter("phase = 'Complete'").first()
+    assert (last.current, last.total) == (8, 8)
+
+
 def test_catalog_ids_are_unique_and_stable(spark, folder):
     roots = [str(folder), str(folder / "b")]
     first = {r.id for r in src.build_catalog(spark, roots).collect()}
