@@ -27,7 +27,7 @@ from math import sqrt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.operators.near import HOT_BUCKET, bucket_work, choose_bands, near_pairs
+from lumenlake.operators.near import HOT_BUCKET, bucket_work, choose_bands, fit_bands, near_pairs
 from lumenlake.operators.settle import taken_rows
 from lumenlake.scratch import store, store_counted
 
@@ -75,7 +75,7 @@ def leader_clusters(
             later = rest.filter(F.col("pos") > cut)
             n_stage = stage.count()
 
-        bands = choose_bands(n_stage, n_stage, t)
+        bands = fit_bands(stage, n_stage, n_stage, t)
         pairs, n_pairs = store_counted(
             near_pairs(
                 stage, stage, t, bands, same_input=True,
@@ -95,7 +95,7 @@ def leader_clusters(
 
         n_later = left - n_stage
         leading = stage.join(inside.select("pos"), "pos", "left_anti")
-        bands = choose_bands(n_later, n_stage, t)
+        bands = fit_bands(leading, n_later, n_stage, t)
         claimed = store(
             near_pairs(
                 later, leading, t, bands, same_input=False,

@@ -6,6 +6,11 @@ multi-index hashing (Norouzi, Punjani & Fleet, CVPR 2012): cut the 64 bits into
 band.  One side is listed under its band values, the other under every value
 within that radius, and an equi-join finds the candidates.
 
+Bands need not have one radius: radii that add up to ``t - m + 1`` suffice, and a
+radius of -1 leaves a band out (general pigeonhole; Qin et al., ICDE 2018).  At
+large ``t`` and on skewed bits :func:`fit_bands` picks them by how often hashes of a
+drawn sample come close on each band.
+
 No pair is found twice: only the first band that is close enough may report it,
 which the join condition checks, so no ``distinct`` over pairs is needed.
 
@@ -17,10 +22,12 @@ still too large then is split: each part of the index meets a copy of the probe.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import combinations
 from math import comb
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +65,8 @@ class Bands:
     t: int
     tests: float = 0.0
     """Candidate pairs to expect, when known."""
+    own_radii: tuple[int, ...] | None = None
+    """A radius per band, -1 to leave it out; the same for all if not given."""
 
     @property
     def widths(self) -> list[int]:
@@ -73,8 +82,8 @@ class Bands:
         return out
 
     @property
-    def radius(self) -> int:
-        return self.t // self.m
+    def radii(self) -> list[int]:
+        return list(self.own_radii or [self.t // self.m] * self.m)
 
     @property
     def inner_radius(self) -> int:
@@ -108,7 +117,7 @@ def choose_bands(n_index: int, n_probe: int, t: int) -> Bands:
     best, best_cost = None, None
     for m in range(3, 33):
         bands = Bands(m, t)
-        balls = [_ball(w, bands.radius) for w in bands.widths]
+        balls = [_ball(w, r) for w, r in zip(bands.widths, bands.radii)]
         inner = [_ball(w, bands.inner_radius) for w in bands.widths]
         if max(balls + inner) > _MAX_FLIPS:
             continue
@@ -121,18 +130,86 @@ def choose_bands(n_index: int, n_probe: int, t: int) -> Bands:
     return best or Bands(32, t)
 
 
-def _mask_table(spark: SparkSession, bands: Bands, radius: int, name: str) -> DataFrame:
+# Hashes drawn to see how close hashes come on each band, and the tests from which that pays.
+_FIT_ROWS = 2_000
+_FIT_TESTS = 100_000_000
+
+
+def best_radii(costs: list[list[float]], t: int) -> list[int]:
+    """Radii with the least total cost among those that find all pairs within ``t`` bits;
+    ``costs[band][r + 1]`` is the cost of radius r.  Radii plus one have to add up to t + 1."""
+    best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
+    for own in costs:
+        after: dict[int, tuple[float, list[int]]] = {}
+        for reach, (cost, radii) in best.items():
+            for step, price in enumerate(own):
+                to = min(reach + step, t + 1)
+                if to not in after or cost + price < after[to][0]:
+                    after[to] = cost + price, [*radii, step - 1]
+        best = after
+    return best[t + 1][1] if t + 1 in best else []
+
+
+def close_shares(drawn: Sequence[int], bands: Bands) -> list[list[float]]:
+    """Per band, the share of pairs of drawn hashes within 0, 1, 2, ... bits of each other there."""
+    h = np.array(drawn, dtype=np.int64).view(np.uint64)
+    first, second = np.triu_indices(len(h), 1)
+    out = []
+    for shift, width in zip(bands.shifts, bands.widths):
+        values = (h >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+        counts = np.bincount(np.bitwise_count(values[first] ^ values[second]), minlength=width + 1)
+        out.append((np.cumsum(counts) / max(1, len(first))).tolist())
+    return out
+
+
+def fit_bands(hashes: DataFrame, n_index: int, n_probe: int, t: int) -> Bands:
+    """Bands and radii by what the hashes are like.
+
+    The draw is at most :data:`_FIT_ROWS` hashes, taken to the driver; it only shapes the
+    plan, never the pairs.  Where few tests are to be expected anyway, nothing is drawn.
+    """
+    plain = choose_bands(n_index, n_probe, t)
+    if plain.tests <= _FIT_TESTS:
+        return plain
+    drawn = [r["h"] for r in hashes.select("h").orderBy(F.xxhash64("h"), "h").limit(_FIT_ROWS).collect()]
+    best, best_cost = plain, None
+    for m in range(3, 33):
+        bands = Bands(m, t)
+        if max(_ball(w, bands.inner_radius) for w in bands.widths) > _MAX_FLIPS:
+            continue
+        shares = close_shares(drawn, bands)
+        tests = [[float(n_index) * n_probe * x for x in own] for own in shares]
+        costs = [
+            [0.0] + [
+                _ROW_COST * (n_index + n_probe * _ball(w, r)) + own[r]
+                for r in range(w + 1) if _ball(w, r) <= _MAX_FLIPS
+            ]
+            for w, own in zip(bands.widths, tests)
+        ]
+        radii = best_radii(costs, t)
+        if not radii:
+            continue
+        cost = sum(own[r + 1] for own, r in zip(costs, radii))
+        if best_cost is None or cost < best_cost:
+            expected = sum(own[r] for own, r in zip(tests, radii) if r >= 0)
+            best, best_cost = Bands(m, t, expected, tuple(radii)), cost
+    return best
+
+
+def _mask_table(spark: SparkSession, bands: Bands, radii: list[int], name: str) -> DataFrame:
     """``name, masks``: what to flip on each band, and nothing on band -1.  At most
-    ``_MAX_FLIPS`` values per band if the bands come from :func:`choose_bands`."""
-    by_width = {w: flip_masks(w, radius) for w in set(bands.widths)}
-    rows = [(b, by_width[w]) for b, w in enumerate(bands.widths)]
+    ``_MAX_FLIPS`` values per band if the bands were chosen here."""
+    listed = {key: flip_masks(*key) for key in set(zip(bands.widths, radii)) if key[1] >= 0}
+    rows = [(b, listed[key]) for b, key in enumerate(zip(bands.widths, radii)) if key[1] >= 0]
     return F.broadcast(spark.createDataFrame([*rows, (-1, [0])], f"{name} int, masks array<bigint>"))
 
 
-def _first_close(bands: Bands, radius: int, skip: str | None = None) -> str:
+def _first_close(bands: Bands, radii: list[int], skip: str | None = None) -> str:
     """Number of the first band on which the difference ``h_a ^ h_b`` is small enough."""
     cases = []
-    for band in range(bands.m):
+    for band, radius in enumerate(radii):
+        if radius < 0:
+            continue
         close = f"bit_count({bands.value('h_a ^ h_b', band)}) <= {radius}"
         if skip is not None:
             close += f" AND {skip} <> {band}"
@@ -143,12 +220,12 @@ def _first_close(bands: Bands, radius: int, skip: str | None = None) -> str:
 def _band_rows(df: DataFrame, bands: Bands, flips: bool) -> DataFrame:
     """One row per hash and band, or per hash, band and flipped value."""
     listed = ",".join(
-        f"struct({b} AS band, {bands.value('h', b)} AS value)" for b in range(bands.m)
+        f"struct({b} AS band, {bands.value('h', b)} AS value)" for b, r in enumerate(bands.radii) if r >= 0
     )
     rows = df.selectExpr("h", "pos", f"inline(array({listed}))")
     value = "value"
-    if flips and bands.radius > 0:
-        masks = _mask_table(df.sparkSession, bands, bands.radius, "band")
+    if flips and max(bands.radii) > 0:
+        masks = _mask_table(df.sparkSession, bands, bands.radii, "band")
         rows = rows.join(masks, "band").selectExpr("h", "pos", "band", "value", "explode(masks) AS mask")
         value = "(value ^ mask)"
     return rows.selectExpr(
@@ -166,8 +243,8 @@ def _cut_hot(rows: DataFrame, hot: DataFrame, bands: Bands, flips: bool) -> Data
         f"inline(CASE WHEN hot THEN filter(array({second}), x -> x.band2 <> band) "
         "ELSE array(struct(-1 AS band2, 0L AS value2)) END)",
     )
-    radius = bands.inner_radius if flips else 0
-    masks = _mask_table(rows.sparkSession, bands, radius, "band2")
+    radii = [bands.inner_radius if flips else 0] * bands.m
+    masks = _mask_table(rows.sparkSession, bands, radii, "band2")
     return cut.join(masks, "band2").selectExpr(
         "h", "pos", "band", "band2", "code", "value2", "explode(masks) AS mask"
     ).selectExpr(
@@ -246,9 +323,9 @@ def near_pairs(
     on = f"key_a = key_b AND part_a = part_b AND bit_count(h_a ^ h_b) <= {t}"
     if same_input:
         on += " AND pos_a < pos_b"
-    first = f"({_first_close(bands, bands.radius)}) = band"
+    first = f"({_first_close(bands, bands.radii)}) = band"
     if n_hot:
-        first += f" AND (band2 = -1 OR ({_first_close(bands, bands.inner_radius, 'band')}) = band2)"
+        first += f" AND (band2 = -1 OR ({_first_close(bands, [bands.inner_radius] * bands.m, 'band')}) = band2)"
     lo, hi = ("pos_a", "pos_b") if same_input else ("pos_b", "pos_a")
     # The test for the first band is long, and few candidates get that far.  The
     # generator keeps the optimizer from moving it into the join, whose inner
@@ -272,5 +349,5 @@ def bucket_work(hashes: DataFrame, bands: Bands) -> int:
         .collect()  # one row per band
     )
     return int(sum(
-        row["work"] * _ball(bands.widths[row["band"]], bands.radius) for row in per_band
+        row["work"] * _ball(bands.widths[row["band"]], bands.radii[row["band"]]) for row in per_band
     ))

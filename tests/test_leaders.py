@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import itertools
 import random
 
 import pytest
 
+import lumenlake.operators.near as near
 from lumenlake.operators.leaders import leader_clusters
-from lumenlake.operators.near import Bands, _ball, choose_bands, flip_masks, near_pairs
+from lumenlake.operators.near import (
+    Bands, _ball, best_radii, choose_bands, close_shares, fit_bands, flip_masks, near_pairs,
+)
 from lumenlake.scratch import store
 from tests.models import leaders, signed
 
@@ -59,7 +63,7 @@ def test_chain_is_not_one_cluster(spark, patient_rounds):
 @pytest.mark.parametrize("block_pairs", [1, 7, 40])
 def test_long_chain_in_blocks(spark, block_pairs):
     h, rows = 0, []
-    for i in range(90):
+    for i in range(90 if block_pairs > 1 else 24):
         rows.append((signed(h), i))
         for b in range(3):
             h ^= 1 << ((i * 3 + b) % 61)
@@ -121,3 +125,59 @@ def test_band_plans():
         for t in (4, 10, 18):
             bands = choose_bands(n, n, t)
             assert max(_ball(w, bands.inner_radius) for w in bands.widths) <= 5000
+
+
+@pytest.mark.parametrize("radii,hot", [
+    ((3, 4, -1, 9), None), ((18, -1, -1, -1), None), ((4, 3, 4, 4), None), ((0, 17, -1, -1), None), ((3, 4, 4, 4), 20),
+    ((9, -1, 8, -1), 5),
+])
+def test_uneven_radii_find_the_same_pairs(spark, radii, hot):
+    assert sum(r + 1 for r in radii) >= 19
+    rows = hashes(5, 120, 4, 14)
+    df = table(spark, rows)
+    got = near_pairs(df, df, 18, Bands(4, 18, 0, radii), same_input=True, hot_bucket=hot).collect()
+    assert len(got) == len({(r.lo, r.hi) for r in got})
+    assert {(r.lo, r.hi): r.distance for r in got} == brute(rows, 18)
+
+
+def test_best_radii_are_the_cheapest_that_suffice():
+    rnd = random.Random(2)
+    for _ in range(40):
+        m, t = rnd.randint(1, 4), rnd.randint(0, 7)
+        costs = [[0.0] + sorted(rnd.random() * 100 for _ in range(rnd.randint(3, 8))) for _ in range(m)]
+        wanted = min((
+            sum(own[s] for own, s in zip(costs, steps))
+            for steps in itertools.product(*(range(len(own)) for own in costs)) if sum(steps) >= t + 1
+        ), default=None)
+        radii = best_radii(costs, t)
+        assert (wanted is None) == (not radii)
+        if radii:
+            assert sum(r + 1 for r in radii) >= t + 1 or sum(min(r + 1, t + 1) for r in radii) >= t + 1
+            assert sum(own[r + 1] for own, r in zip(costs, radii)) == pytest.approx(wanted)
+
+
+def test_fitted_bands_test_fewer_candidates_on_skewed_bits(spark, monkeypatch):
+    """Half of the bits are nearly constant; pairs within 18 bits, as tested and as found."""
+    rnd = random.Random(8)
+    rows = []
+    for i in range(3000):
+        h = rnd.getrandbits(32)
+        for b in range(32, 64):
+            h |= (rnd.random() < 0.03) << b
+        rows.append((signed(h), i))
+    df = table(spark, [(h, p) for h, p in dict(rows).items()])
+    monkeypatch.setattr(near, "_FIT_TESTS", 0)
+    n = df.count()
+    plain, fitted = choose_bands(n, n, 18), fit_bands(df, n, n, 18)
+
+    def tested(bands):
+        shares = close_shares([h for h, _ in rows], bands)
+        return sum(own[r] for own, r in zip(shares, bands.radii) if r >= 0) * n * n / 2
+
+    before, after = tested(plain), tested(fitted)
+    print(f"candidate tests at t=18: {before:.0f} before, {after:.0f} fitted, bands {plain.radii} and {fitted.radii}")
+    assert after < 0.7 * before
+    small = [r for r in rows if r[1] < 400]
+    part = table(spark, small)
+    got = near_pairs(part, part, 18, fitted, same_input=True, hot_bucket=None).collect()
+    assert {(r.lo, r.hi): r.distance for r in got} == brute(small, 18)
