@@ -49,7 +49,9 @@ TRIGGER = 16
 #: Text parsed at a time, and dictionary text per block.
 SLICE_BYTES = 4 << 20
 BLOCK_BYTES = 6 << 20
-#: A task holds one block up to this many tasks, beyond that up to so many blocks.
+#: Blocks that a task visits one after another: a few up to this many tasks, more beyond.
+#: Spark adds up the phrases of a task's blocks before it shuffles them.
+FEW_BLOCKS = 4
 MANY_TASKS = 1000
 BLOCKS_PER_TASK = 32
 
@@ -207,7 +209,7 @@ def frequent_phrases(
     words that occurs ``least`` times in its language; ``f`` is exact for all of them."""
     total = docs.agg(F.sum(F.octet_length(text_or_empty(text_column)).cast("long"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
-    tasks = max(min(n_blocks, MANY_TASKS), n_blocks // BLOCKS_PER_TASK)
+    tasks = max(min(-(-n_blocks // FEW_BLOCKS), MANY_TASKS), n_blocks // BLOCKS_PER_TASK)
     dealt = chunks(docs, lang_column, text_column, longest, trigger).withColumn(
         "block", F.pmod(F.xxhash64("lang", "chunk"), F.lit(n_blocks)).cast("int")
     )
