@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import per_text, text_or_empty
+from lumenlake.llm.common import digest_of, held, per_text, text_or_empty
 
 WORD_BITS = 8
 WORD_MASK = (1 << WORD_BITS) - 1
@@ -181,10 +181,6 @@ class Codec:
         return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
 
 
-#: One codec per worker and broadcast vocabulary, so that the cache outlives a task.
-_codecs: dict[int, Codec] = {}
-
-
 def round_trip(
     docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -193,14 +189,12 @@ def round_trip(
     ``vocabulary`` is read on the driver and sent to the workers: it has a fixed
     size, and the file need not exist elsewhere.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
-    number = hash((vocabulary, pattern, id(shared)))
+    ranks = read_ranks(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    content = digest_of("codec", ranks, pattern)
 
     def make() -> Callable[[str], tuple]:
-        if number not in _codecs:
-            _codecs.clear()
-            _codecs[number] = Codec(shared.value, pattern)
-        return _codecs[number].report
+        return held(content, lambda: Codec(shared.value, pattern)).report
 
     return per_text(
         docs, id_column, text_or_empty(text_column),
@@ -212,10 +206,12 @@ def encode_texts(
     docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """``doc_id, ids``: the token ids themselves."""
-    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
+    ranks = read_ranks(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    content = digest_of("codec", ranks, pattern)
 
     def make() -> Callable[[str], tuple]:
-        codec = Codec(shared.value, pattern)
+        codec = held(content, lambda: Codec(shared.value, pattern))
         return lambda text: (codec.encode(text),)
 
     return per_text(docs, id_column, text_or_empty(text_column), "ids array<int>", make)

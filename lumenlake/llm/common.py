@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -22,6 +24,26 @@ def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+_held: dict[str, object] = {}
+
+
+def held(content: str, make: Callable[[], object]) -> object:
+    """What ``make`` builds, kept by this worker for later tasks of the same ``content``.
+
+    ``content`` is a digest of all that ``make`` depends on.  Nested functions travel to
+    the workers with copies of their module's variables; this function is imported there,
+    so that its dictionary is the worker's own.  Only the last one built is kept.
+    """
+    if content not in _held:
+        _held.clear()
+        _held[content] = make()
+    return _held[content]
+
+
+def digest_of(*parts: object) -> str:
+    return hashlib.sha256(pickle.dumps(parts)).hexdigest()
+
+
 def large_text(parts: Iterable[pa.Array]) -> pa.Array:
     """String arrays in a row, with offsets of their own that start at 0.
 

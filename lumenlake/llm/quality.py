@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import per_text, text_or_empty
+from lumenlake.llm.common import digest_of, held, per_text, text_or_empty
 from lumenlake.scratch import store
 
 WINDOW = 8
@@ -134,20 +134,15 @@ class Meter:
         )
 
 
-_meters: dict[int, Meter] = {}
-
-
 def measures(docs: DataFrame, model: str, id_column: str, text_column: str, language_column: str | None) -> DataFrame:
     """Counts and token measures per row."""
     with open(model, "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())  # fixed size
-    number = hash((model, id(shared)))
+        pieces = f.read()  # fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    content = digest_of("meter", pieces)
 
     def make() -> Callable[[str], tuple]:
-        if number not in _meters:
-            _meters.clear()
-            _meters[number] = Meter(shared.value)
-        return _meters[number].measure
+        return held(content, lambda: Meter(shared.value)).measure
 
     spoken = F.lit(None).cast("string") if language_column is None else F.lower(F.trim(F.col(language_column)))
     fields = (

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import per_text, text_or_empty
+from lumenlake.llm.common import digest_of, held, per_text, text_or_empty
 from lumenlake.scratch import store
 
 ORDER = 8
@@ -169,9 +169,6 @@ class Scorer:
         return round(1 / (1 + math.exp(-max(-60.0, min(60.0, z)))), 9)
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[list[tuple[float, float]], list[float]]:
     """Ridge-penalised logistic regression by Newton steps."""
     mean, deviation = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -279,14 +276,12 @@ def score_toxicity(
     spark = docs.sparkSession
     source = docs.select(F.col(id_column).alias("doc_id"), text_or_empty(text_column).alias("text"))
     known = labels.select(F.col(id_column).alias("doc_id"), F.col(label_column).alias("toxic"))
-    shared = spark.sparkContext.broadcast(fit(source, known))
-    number = id(shared)
+    model = fit(source, known)
+    shared = spark.sparkContext.broadcast(model)
+    content = digest_of("scorer", model)
 
     def make() -> Callable[[str], tuple]:
-        if number not in _scorers:
-            _scorers.clear()
-            _scorers[number] = Scorer(shared.value)
-        scorer = _scorers[number]
+        scorer = held(content, lambda: Scorer(shared.value))
         return lambda text: (scorer.score(text),)
 
     scored = per_text(source, "doc_id", F.col("text"), "score double", make)
