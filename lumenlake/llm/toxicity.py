@@ -9,13 +9,15 @@ all its words, and the means over its one, three and six most toxic ones, so tha
 an abusive passage counts however long the text around it is.  A logistic curve,
 fitted on labelled rows that gave no counts, turns that into a score.
 
-Bounds: at most :data:`SAMPLE_ROWS` labelled rows per class are used, chosen by a
-hash; the model holds their sequences only and is what the driver collects and
+Bounds: at most :data:`SAMPLE_ROWS` labelled ids per class are used, chosen by a
+hash, with one row each; the model holds their sequences only and is what the driver collects and
 sends to the workers.  Everything else covers all documents.
 
 Nulls count as empty texts.  Texts without letters get the base rate as score.
 Without labels of both classes, that is every text's score.  Ids may be null
-(never labelled) or repeat; every input row gives one row.
+(never labelled) or repeat; every input row gives one row.  Of labelled rows that
+share an id, the smallest text is learnt from; an id labelled both ways is toxic.
+Equal hashes at the edge of the sample are taken by id; equal texts score alike.
 """
 
 from __future__ import annotations
@@ -186,15 +188,18 @@ def is_held_out(id_column: Column) -> Column:
 
 
 def _sample(labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
-    """Bounded choice of labelled rows, and the number there are of each class."""
+    """Bounded choice of labelled ids, and the number there are of each class."""
     known = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(
         F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~is_held_out(F.col("doc_id"))
     )
     known = store(known, "labelled")
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= SAMPLE_ROWS).drop("r")
+    # A limit over an order keeps so many rows per task before they meet.
+    chosen = [
+        known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS) for k in (0, 1)
+    ]
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    return chosen.withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(CALIBRATE)) == 0), counts
+    calibrates = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(CALIBRATE)) == 0
+    return chosen[0].unionByName(chosen[1]).withColumn("calibrates", calibrates), counts
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -205,8 +210,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     base = (counts.get(1, 0) + 0.5) / (n + 1)
     if len(counts) < 2:
         return Model({}, {}, [], [], base)
-    # At most 2 * SAMPLE_ROWS ids.
-    sample = store(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "calibrates", "text"), "tox-sample")
+    # At most 2 * SAMPLE_ROWS ids, one row each.
+    listed = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "calibrates")
+    sample = store(listed.agg(F.min("text").alias("text")), "tox-sample")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

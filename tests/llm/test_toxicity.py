@@ -82,3 +82,36 @@ def test_edges(spark):
     assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
     alone = toxicity.score_toxicity(docs, labels.limit(0)).collect()
     assert len({r["score"] for r in alone}) == 1 and {r["predicted"] for r in alone} == {0}
+
+
+def test_sample_is_a_bounded_choice_of_ids_with_one_row_each(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 5)
+    labels = spark.range(60).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"))
+    chosen, counts = toxicity._sample(labels)
+    hashed = spark.range(60).select("id", F.xxhash64("id")).collect()
+    free = [r for r in hashed if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    wanted = {k: sorted((r[1], r[0]) for r in free if r[0] % 2 == k)[:5] for k in (0, 1)}
+    assert {(r["doc_id"], r["toxic"]) for r in chosen.collect()} == {(i, k) for k in wanted for _, i in wanted[k]}
+    assert counts == {k: sum(r[0] % 2 == k for r in free) for k in (0, 1)}
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" in plan and "Window" not in plan
+
+
+def test_a_hot_labelled_id_is_learnt_from_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "_logistic", lambda x, y, w: seen.append(len(x)) or ([(0.0, 1.0)] * 5, [0.0] * 6))
+    texts = [(i, f"text number {chr(97 + i % 26)} of class {'bad' if i % 2 else 'good'}") for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    for copies in (1, 200):
+        docs = spark.createDataFrame(texts + texts[:2] * (copies - 1), "doc_id long, text string")
+        toxicity.fit(docs, labels)
+    assert seen[0] == seen[1] > 0
+
+
+def test_very_long_text_counts_whole(spark):
+    labels = table(spark, SF, "labels")
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    long = "the house and the water " * 100_000
+    extra = spark.createDataFrame([(-1, long), (-2, long + long), (-3, long)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs.unionByName(extra), labels).collect()}
+    assert got[-1] == got[-3] and 0 <= got[-2] <= 1
