@@ -3,17 +3,20 @@
 A public vocabulary measures each text: characters per token, the share of tokens
 that fall back to bytes, and the evenness of the token distribution (entropy over
 its maximum for that many tokens).  Bands come from all texts of a language, or
-of the script of most words where no language is given: quartiles of a histogram in fixed steps,
-widened by :data:`WIDE` times their distance (and by a least width), so that only
-texts far from their language are rejected.  Histograms are grouped counts; their
+of the script of most words where no language is given, and of a size class (texts of
+as many binary digits of tokens), as short texts scatter more and evenness falls with
+length: quartiles of a histogram in fixed steps, widened by :data:`WIDE` times their
+distance (and by a least width), so that only texts far from their like are rejected.  Histograms are grouped counts; their
 quartiles do not depend on the order of rows.
 
 Besides that, the base rule rejects texts with fewer than 20 words or with over
 30 % of their words in repeated windows of eight words.
 
 Nulls count as texts without words.  Ids may be null or repeat; every input row
-gives one row.  A language with fewer than :data:`LEAST_TEXTS` judged texts uses
-the bands of all texts.  An empty table gives no rows.
+gives one row.  Where a language has fewer than :data:`LEAST_TEXTS` texts of a size
+class, the bands of all its texts hold, else those of all texts of that class, else
+those of all texts.  A quartile is the lowest step up to which a quarter of the texts
+lie; a value on a bound fits.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,12 +40,11 @@ MOST_REPEATED = 30
 #: Outer fences as Tukey has them.
 WIDE = 3.0
 LEAST_TEXTS = 50
-#: Texts with fewer tokens are not judged by them: their measures scatter too much.
-LEAST_TOKENS = 100
 CACHE = 300_000
 CACHED_LENGTH = 64
 #: Step of the histogram and least distance of a bound from its quartile.
 STEPS = {"chars_per_token": (0.01, 0.1), "byte_share": (0.001, 0.05), "evenness": (0.002, 0.05)}
+FENCES = [f"{side}_{m}" for m in STEPS for side in ("low", "high")]
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -153,34 +155,41 @@ def measures(docs: DataFrame, model: str, id_column: str, text_column: str, lang
     return per_text(source, "doc_id", F.col("text"), fields, make, keep="spoken")
 
 
-def _bands(judged: DataFrame) -> DataFrame:
-    """``band, low_*, high_*``: one row per language or script, and one for all ('')."""
+def _bands(measured: DataFrame) -> DataFrame:
+    """``band, size, n, low_*, high_*`` from all texts with a token: one row per language
+    or script and size class, one per language or script (size 0), one per size class
+    (band ''), and one for all."""
     steps = F.array(*[
         F.struct(F.lit(m).alias("measure"), F.floor(F.col(m) / step).cast("long").alias("step"))
         for m, (step, _) in STEPS.items()
     ])
-    bins = judged.select("band", F.explode(steps).alias("s")).groupBy("band", "s.measure", "s.step").count()
-    total = bins.groupBy(F.lit("").alias("band"), "measure", "step").agg(F.sum("count").alias("count"))
-    both = bins.filter("band != ''").unionByName(total)
-    up = Window.partitionBy("band", "measure").orderBy("step")
-    whole = Window.partitionBy("band", "measure")
-    placed = both.withColumn("upto", F.sum("count").over(up)).withColumn("n", F.sum("count").over(whole))
+    judged = measured.filter("n_tokens > 0")
+    bins = judged.select("band", "size", F.explode(steps).alias("s")).groupBy("band", "size", "s.measure", "s.step").count()
+    wider = F.array_distinct(F.array(*[
+        F.struct(band.alias("band"), size.alias("size"))
+        for band in (F.col("band"), F.lit("")) for size in (F.col("size"), F.lit(0))
+    ]))
+    both = (
+        bins.withColumn("k", F.explode(wider)).groupBy("k.band", "k.size", "measure", "step")
+        .agg(F.sum("count").alias("count"))
+    )
+    # Rows of a band are its steps.
+    whole = Window.partitionBy("band", "size", "measure")
+    placed = both.withColumn("upto", F.sum("count").over(whole.orderBy("step"))).withColumn("n", F.sum("count").over(whole))
 
     def quartile(q: float):
         return F.min(F.when(F.col("upto") >= F.col("n") * q, F.col("step")))
 
-    quarters = placed.groupBy("band", "measure").agg(
+    quarters = placed.groupBy("band", "size", "measure").agg(
         F.max("n").alias("n"), quartile(0.25).alias("q1"), quartile(0.75).alias("q3")
     )
-    out = None
+    sides = []
     for m, (step, least) in STEPS.items():
         spread = F.greatest((F.col("q3") - F.col("q1") + 1) * step * WIDE, F.lit(least))
-        part = quarters.filter(F.col("measure") == m).select(
-            "band", F.col("n").alias(f"n_{m}"), (F.col("q1") * step - spread).alias(f"low_{m}"),
-            ((F.col("q3") + 1) * step + spread).alias(f"high_{m}"),
-        )
-        out = part if out is None else out.join(part, "band")
-    return out.withColumnRenamed("n_evenness", "n_band").drop("n_chars_per_token", "n_byte_share")
+        own = F.col("measure") == m
+        sides.append(F.max(F.when(own, F.col("q1") * step - spread)).alias(f"low_{m}"))
+        sides.append(F.max(F.when(own, (F.col("q3") + 1) * step + spread)).alias(f"high_{m}"))
+    return quarters.groupBy("band", "size").agg(F.max("n").alias("n"), *sides)
 
 
 def fertility_rules(
@@ -193,26 +202,26 @@ def fertility_rules(
     """Counts, token measures, ``base_failed`` and ``kept`` per row."""
     measured = store(measures(docs, model, id_column, text_column, language_column), "measures").withColumn(
         "band", F.coalesce(F.nullif(F.col("spoken"), F.lit("")), "script", F.lit(""))
+    ).withColumn("size", F.length(F.bin("n_tokens")))
+    bands = store(_bands(measured), "bands")
+    fence = F.struct(*FENCES)
+    known = bands.filter((F.col("n") >= LEAST_TEXTS) | ((F.col("band") == "") & (F.col("size") == 0)))
+    named, unnamed = known.filter("band != ''"), known.filter("band = ''")
+    joined = (
+        measured.join(named.filter("size > 0").select("band", "size", fence.alias("f1")), ["band", "size"], "left")
+        .join(named.filter("size = 0").select("band", fence.alias("f2")), "band", "left")
+        .join(unnamed.filter("size > 0").select("size", fence.alias("f3")), "size", "left")
     )
-    judged = measured.filter(F.col("n_tokens") >= LEAST_TOKENS)
-    bands = store(_bands(judged), "bands")
-    own = bands.filter((F.col("band") != "") & (F.col("n_band") >= LEAST_TEXTS))
-    common = bands.filter("band = ''").select(
-        *[F.col(f"{side}_{m}").alias(f"all_{side}_{m}") for m in STEPS for side in ("low", "high")]
-    )
-    joined = measured.join(own, "band", "left")
-    if (row := common.first()) is not None:  # one row
-        joined = joined.withColumns({k: F.lit(v) for k, v in row.asDict().items()})
-    else:
-        joined = joined.withColumns({k: F.lit(None).cast("double") for k in common.columns})
+    every = unnamed.filter("size = 0").first()  # one row, none for texts without tokens
+    last = [] if every is None else [F.struct(*[F.lit(every[c]).alias(c) for c in FENCES])]
+    joined = joined.withColumn("f", F.coalesce("f1", "f2", "f3", *last))
     within = F.lit(True)
     for m in STEPS:
-        low, high = (F.coalesce(f"{s}_{m}", f"all_{s}_{m}") for s in ("low", "high"))
         if m != "evenness":
-            within = within & (F.col(m) <= high)
+            within = within & (F.col(m) <= F.col(f"f.high_{m}"))
         if m != "byte_share":
-            within = within & (F.col(m) >= low)
-    fits = F.coalesce(within, F.lit(True)) | (F.col("n_tokens") < LEAST_TOKENS)
+            within = within & (F.col(m) >= F.col(f"f.low_{m}"))
+    fits = (F.col("n_tokens") == 0) | F.coalesce(within, F.lit(True))
     failed = (F.col("n_words") < LEAST_WORDS) | (
         100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")
     )

@@ -75,3 +75,69 @@ def test_the_script_is_that_of_all_words():
     for t in (text, glossary, every_other):
         assert meter.measure(t)[-1] == "LATIN"
     assert meter.measure("12 - слово " + "с" * 100)[-1] == "CYRILLIC" and meter.measure("1 2")[-1] == ""
+
+
+def plain_fences(rows: list[dict]) -> dict[str, tuple[float, float]]:
+    """Outer fences of each measure around the quartiles of its steps."""
+    fences = {}
+    for m, (step, least) in quality.STEPS.items():
+        steps = sorted(math.floor(r[m] / step) for r in rows)
+        q1, q3 = (steps[math.ceil(len(steps) * q) - 1] for q in (0.25, 0.75))
+        spread = max((q3 - q1 + 1) * step * quality.WIDE, least)
+        fences[m] = (q1 * step - spread, (q3 + 1) * step + spread)
+    return fences
+
+
+def test_bands_and_verdicts_against_plain_version(spark):
+    sf = SF.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    spoken = quality.F.when(docs["doc_id"] % 3 == 0, docs["lang"])
+    extra = [(-i, "junk", " ".join(["water"] * 3 + [f"w{i}", "x" * i] * 12)) for i in range(1, 60)] + [(-99, "rare", "ᚠ" * 900)]
+    docs = docs.select("doc_id", spoken.alias("lang"), "text").unionByName(
+        spark.createDataFrame(extra, "doc_id long, lang string, text string")
+    )
+    rows = [r.asDict() for r in quality.measures(docs, MODEL, "doc_id", "text", "lang").collect()]
+    got = {r["doc_id"]: r for r in quality.fertility_rules(docs, MODEL).collect()}
+    groups: dict[tuple, list[dict]] = {}
+    for r in rows:
+        r["band"] = r["spoken"] or r["script"] or ""
+        r["size"] = len(f"{r['n_tokens']:b}")
+        if r["n_tokens"]:
+            for key in {(r["band"], r["size"]), (r["band"], 0), ("", r["size"]), ("", 0)}:
+                groups.setdefault(key, []).append(r)
+    fences = {k: plain_fences(g) for k, g in groups.items() if len(g) >= quality.LEAST_TEXTS or k == ("", 0)}
+    verdicts = set()
+    for r in rows:
+        order = [("", r["size"]), ("", 0)]
+        if r["band"]:
+            order = [(r["band"], r["size"]), (r["band"], 0), *order]
+        f = next(fences[k] for k in order if k in fences)
+        fits = not r["n_tokens"] or (
+            f["chars_per_token"][0] <= r["chars_per_token"] <= f["chars_per_token"][1]
+            and r["byte_share"] <= f["byte_share"][1] and r["evenness"] >= f["evenness"][0]
+        )
+        failed = r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]
+        assert got[r["doc_id"]]["kept"] == (fits and not failed), r
+        verdicts.add((fits, failed))
+    assert len(got) == len(rows) and len(verdicts) >= 3
+
+
+def test_short_texts_are_judged_too(spark):
+    fine = [(i, " ".join(random.Random(i).choices("the and of to in is with water house great".split(), k=24)), "en") for i in range(200)]
+    odd = [(500, " ".join(f"{chr(0x13000 + i)}" for i in range(24)), "en")]
+    docs = spark.createDataFrame(fine + odd, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality.fertility_rules(docs, MODEL).collect()}
+    assert got[500]["n_words"] == 24 and not got[500]["base_failed"] and not got[500]["kept"]
+    assert sum(got[i]["kept"] for i in range(200)) == 200
+
+
+def test_clashing_columns_long_texts_and_repeated_rows(spark):
+    long = "the house and the great water of all in it " * 60_000
+    names = ["band", "size", "f", "f1", "n", "measure", "step", "script", "spoken", "n_tokens", "kept", "_text", "low_evenness"]
+    rows = [(1, long, "en"), (1, long, "en"), (2, "short", "en"), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs = docs.withColumns({c: quality.F.lit("clash") for c in names})
+    got = sorted(quality.fertility_rules(docs, MODEL).collect())
+    assert [r["doc_id"] for r in got] == [1, 1, 2, 3] and got[0] == got[1]
+    assert got[0]["n_words"] == 10 * 60_000 == got[0]["n_repeat_words"] and got[0]["base_failed"]
+    assert got[3]["n_tokens"] == 0 and not got[3]["kept"]
