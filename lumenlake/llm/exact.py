@@ -96,11 +96,17 @@ def latest(spark: SparkSession, out: str, id_type: str) -> DataFrame:
     )
 
 
-def _other_bytes(rows: DataFrame, groups: DataFrame) -> DataFrame:
+def _other_bytes(rows: DataFrame, arrived: DataFrame, groups: DataFrame) -> DataFrame:
     """Of ``rows (key, doc_id, text_sha256, text)``, those that share a digest but not
-    the bytes of the row that the state retains for it."""
+    the bytes of the row that the state retains for it.
+
+    The ids of hits come from the arrivals; only texts with such an id are moved, and
+    each is compared with the text that the retained row's id locates.
+    """
     hit = groups.filter("arrived > 1").select("key", "keep_id")
-    hits = store(rows.join(hit, "key"), "dedup-hits")
+    ids = store(arrived.join(hit, "key").select("doc_id").distinct(), "dedup-ids")
+    named = rows.join(ids.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    hits = store(named.join(hit, "key"), "dedup-hits")
     located = hits.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     texts = store(located.groupBy("key").agg(F.min("text").alias("keep_text")), "dedup-texts")
     return store(hits.join(texts, "key").filter("text != keep_text").drop("keep_id", "keep_text"), "dedup-other")
@@ -141,7 +147,7 @@ def exact_duplicates(
             )
         id_type = arrivals.schema["doc_id"].dataType.simpleString()
         groups = store(latest(spark, out, id_type), "dedup-groups")
-        other = _other_bytes(rows, groups)
+        other = _other_bytes(rows, arrived, groups)
         collided = not other.isEmpty()
         if collided:
             # Those rows leave their groups and are settled in a further round.
@@ -171,21 +177,20 @@ def exact_duplicates(
 
 def drop_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they were."""
-    decided = store(exact_duplicates(docs, id_column, text_column).filter("kept"), "dedup-kept")
-    listed = decided.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("listings"))
-    sha = F.sha2(normalized(text_column).cast("binary"), 256)
+    decided = store(exact_duplicates(docs, id_column, text_column).select("doc_id", "text_sha256", "kept"), "dedup-kept")
+    per_id = decided.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("stays"))
+    # Ids with one row that stays, nearly all as a rule, are in no join's list.
+    apart = store(per_id.filter("n > 1 OR NOT stays").select(F.col("doc_id").alias("_id"), "stays"), "dedup-apart")
+    out = docs.join(apart, docs[id_column].eqNullSafe(apart["_id"]), "left_anti")
+    several = apart.filter("stays").select("_id")
+    if several.isEmpty():
+        return out
+    # Rows that share an id are told apart by their texts.
     own = "_own"
     while own in docs.columns:
         own += "_"
-
-    def chosen(condition: str) -> DataFrame:
-        keep = listed.filter(condition).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-        marked = docs.withColumn(own, sha)
-        on = marked[id_column].eqNullSafe(keep["_id"]) & (marked[own] == keep["_sha"])
-        return marked.join(keep, on, "left_semi")
-
-    out = chosen("listings = 1").drop(own)
-    if not listed.filter("listings > 1").isEmpty():
-        repeated = chosen("listings > 1").dropDuplicates([id_column, own]).drop(own)
-        out = out.unionByName(repeated)
-    return out
+    keep = decided.filter("kept").join(several, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").distinct()
+    shared = docs.join(several, docs[id_column].eqNullSafe(several["_id"]), "left_semi")
+    shared = shared.withColumn(own, F.sha2(normalized(text_column).cast("binary"), 256))
+    on = shared[id_column].eqNullSafe(keep["doc_id"]) & (shared[own] == keep["text_sha256"])
+    return out.unionByName(shared.join(keep, on, "left_semi").dropDuplicates([id_column, own]).drop(own))

@@ -54,3 +54,20 @@ def test_state_goes_on_with_new_arrivals(spark):
     assert exact.update_state(spark, folder, parsed, state, out) >= 1
     got = {r["key"]: (r["keep_id"], r["arrived"], r["keep_locator"]) for r in exact.latest(spark, out, "bigint").collect()}
     assert got == {"k": (3, 2, "f#3"), "m": (6, 1, "f#6")}
+
+
+def test_only_ids_that_go_are_joined(spark):
+    long = "a long text of many words " * 50_000
+    rows = [(i, f"text {i % 90}", "k") for i in range(100)] + [(200, long, "k"), (201, long + "x", "k"), (202, long, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    kept = exact.drop_duplicates(docs)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "LeftSemi" not in plan and "sha2" not in plan
+    assert sorted(r["doc_id"] for r in kept.collect()) == [*range(90), 200, 201]
+
+
+def test_ids_shared_by_texts_that_stay_and_go(spark):
+    rows = [(1, "a"), (1, "b"), (2, "b"), (2, "c"), (2, "c"), (None, "c"), (None, "d"), (None, "d"), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_id", F.lit("clash"))
+    found = sorted(map(str, (tuple(r)[:2] for r in exact.drop_duplicates(docs).collect())))
+    assert found == sorted(map(str, [(1, "a"), (1, "b"), (2, "c"), (None, "d"), (3, None)]))
