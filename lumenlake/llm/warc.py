@@ -27,14 +27,18 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenlake.llm.common import text_or_empty
+from lumenlake.operators.skew import attach
 from lumenlake.scratch import new_path, store
 
 LEAST_BYTES = 100
+#: Size of the filter of revisits, 16 MB at most however many there are, in maps of so many bits.
+FILTER_BITS = 1 << 27
+BITMAP_BITS = 1 << 15
 MAGIC = b"\x1f\x8b\x08"
 RANGE = 8 << 20
 MOST_TASKS = 100_000
@@ -81,23 +85,60 @@ def _open_folder(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
 
+def _bit() -> Column:
+    return F.pmod(F.xxhash64("page_id", "digest"), F.lit(FILTER_BITS))
+
+
+def find_revisits(rows: DataFrame) -> DataFrame:
+    """``page_id, digest, first`` of the rows that revisit another one, each once; stored.
+
+    Only ids and digests are shuffled; a payload that a third of the rows have is split.
+    """
+    large = F.col("page_id").isNotNull() & (F.col("octets") >= LEAST_BYTES)
+    ids = store(rows.filter(large).select("page_id", "digest"), "payload-ids")
+    shared = (
+        ids.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.count("*").alias("n"))
+        .filter(F.col("first") < F.col("last")).drop("last")
+    )
+    met = attach(ids, shared, "digest", "n", F.col("page_id")).filter(F.col("page_id") != F.col("first"))
+    return store(met.select("page_id", "digest", "first").distinct(), "revisits")
+
+
+def flag_revisits(rows: DataFrame, revisits: DataFrame) -> DataFrame:
+    """``rows`` with ``known``: true for all revisits, and for rows whose bit one of them shares.
+
+    The filter is broadcast and has :data:`FILTER_BITS` bits in all.
+    """
+    place = _bit() % BITMAP_BITS
+    part = F.floor(_bit() / BITMAP_BITS).alias("part")
+    bitmaps = store(revisits.groupBy(part).agg(F.bitmap_construct_agg(place).alias("bits")), "revisit-filter")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    known = F.coalesce(F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1, F.lit(False))
+    known = known & F.col("page_id").isNotNull() & (F.col("octets") >= LEAST_BYTES)
+    return rows.select("*", part).join(F.broadcast(bitmaps), "part", "left").select(*rows.columns, known.alias("known"))
+
+
 def plan_records(pages: DataFrame, id_column: str, url_column: str, html_column: str) -> DataFrame:
-    """Payloads with their digest and the id of the row that stores them."""
+    """Payloads with their digest and the id of the row that stores them.
+
+    Rows that a filter of the revisits doesn't know are responses and stay in the task
+    that read them; only the others are joined by id with the revisits, which decide.
+    """
     payload = text_or_empty(html_column).cast("binary")
     rows = pages.select(
         F.col(id_column).cast("long").alias("page_id"), F.col(url_column).alias("url"), payload.alias("payload"),
         F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("octets"),
     )
-    first = store(
-        rows.filter(F.col("octets") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("first")),
-        "payloads",
+    revisits = find_revisits(rows)
+    tested = flag_revisits(rows, revisits)
+    columns = ["page_id", "url", "payload", "digest"]
+    alone = tested.filter("NOT known").select(
+        *columns, F.lit(False).alias("revisit"), F.lit(None).cast("long").alias("refers_to")
     )
-    joined = rows.join(first, "digest", "left")
-    again = (F.col("first").isNotNull() & F.col("page_id").isNotNull() & (F.col("page_id") != F.col("first")))
-    again = again & (F.col("octets") >= LEAST_BYTES)
-    return joined.select(
-        "page_id", "url", "payload", "digest", again.alias("revisit"), F.when(again, F.col("first")).alias("refers_to")
+    met = tested.filter("known").join(revisits, ["page_id", "digest"], "left").select(
+        *columns, F.col("first").isNotNull().alias("revisit"), F.col("first").alias("refers_to")
     )
+    return alone.unionByName(met)
 
 
 def write_archives(records: DataFrame, folder: str) -> DataFrame:

@@ -78,6 +78,37 @@ def test_revisits_nulls_and_repeats(spark):
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [1, 8, 1 << 17])
+def test_filter_of_revisits_decides_nothing(spark, monkeypatch, bits):
+    """Bits that rows share send more of them through the join; records stay the same."""
+    monkeypatch.setattr(warc, "FILTER_BITS", bits)
+    random.seed(3)
+    texts = {n: f"<p>{random.randrange(150)}</p>" * random.choice((2, 30)) for n in range(400)}
+    first: dict[str, int] = {}
+    for n, text in texts.items():
+        first.setdefault(text, n)
+    pages = spark.createDataFrame([(n, "u", t) for n, t in texts.items()], "page_id long, url string, html string")
+    records = warc.plan_records(pages.repartition(5), "page_id", "url", "html").collect()
+    got = {r["page_id"]: (r["revisit"], r["refers_to"], bytes(r["payload"])) for r in records}
+    assert len(records) == 400
+    assert got == {
+        n: (True, first[t], t.encode()) if len(t) >= 100 and first[t] != n else (False, None, t.encode())
+        for n, t in texts.items()
+    }
+
+
+def test_only_revisits_are_joined(spark):
+    """Of 3,000 rows, 100 revisit: all are known to the filter, and next to none of the others."""
+    rows = spark.range(3000).selectExpr(
+        "id AS page_id", "cast(if(id % 30 = 7, 7, id) AS string) AS digest", "200 AS octets"
+    )
+    revisits = warc.find_revisits(rows)
+    assert {(r["page_id"], r["first"]) for r in revisits.collect()} == {(n, 7) for n in range(37, 3000, 30)}
+    known = {r["page_id"] for r in warc.flag_revisits(rows, revisits).filter("known").collect()}
+    assert known >= set(range(37, 3000, 30))
+    assert len(known) <= 102
+
+
 def test_archives_can_be_listed_and_split(spark):
     folder = new_path(spark, "archives")
     pages = spark.range(300).selectExpr("id AS page_id", "'u' AS url", "repeat(cast(id AS string), 400) AS html")
